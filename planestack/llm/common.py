@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Record batches in pieces of so many rows, which keeps small what a worker turns into Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs(batches: Iterator, key: str, columns: list[str]) -> Iterator[tuple]:
     """(key, {column: array}) for each run of equal keys in Arrow batches that are sorted by key, across batch borders."""
     import numpy as np
@@ -98,5 +105,3 @@ def crc_remainder(of: int) -> F.Column:
     """crc32 of doc_id as text, modulo `of`."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(of)
 
-
-Learner = Callable[[list, "object", "object"], None]

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 PARTITIONS = 6
 #: A partition makes at least so many updates a round: small samples are gone over more often.
 LEAST = 1500
+#: Features in no larger part of a partition's rows are passed over.
+RARE = 0.001
 
 
 class Ftrl:
@@ -39,41 +41,56 @@ class Ftrl:
 
 def train(
     sample: DataFrame,
-    step: Callable[[Ftrl, dict], None],
+    step: Callable[[Ftrl, dict, np.ndarray], None],
     size: int,
     rounds: int,
-    start: tuple[np.ndarray, np.ndarray] | None = None,
+    start: dict[int, float] | None = None,
     passes: int = 1,
     **settings: float,
 ) -> np.ndarray:
-    """Weights after `rounds` rounds of `passes` passes or more each; `step` makes the updates for one row of the sample (a dict of its columns)."""
+    """Weights after `rounds` rounds of `passes` passes or more each.
+
+    `step` makes the updates for one row of the sample (a dict of its columns) on the features that a mask allows: those in
+    more than RARE of a partition's rows, counting `ids`. start: the first z of some coordinates, which are always allowed.
+    Only the coordinates that a partition has touched come back.
+    """
     spark = sample.sparkSession
-    z, n = start if start is not None else (np.zeros(size, np.float32), np.zeros(size, np.float32))
-    names = sample.columns
+    z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    fixed = list(start or {size - 1: 0.0})
+    z[fixed] = list((start or {size - 1: 0.0}).values())
 
     for _ in range(rounds):
-        state = spark.sparkContext.broadcast((z, n))
+        at = np.flatnonzero((n > 0) | (z != 0)).astype(np.int32)
+        state = spark.sparkContext.broadcast((at, z[at], n[at]))
 
         def local(batches: Iterator, state=state) -> Iterator:
             import pyarrow as pa
 
-            model = Ftrl(size, z=state.value[0], n=state.value[1], **settings)
             rows = [row for batch in batches for row in batch.to_pylist()]
-            for row in rows * max(passes, -(-LEAST // max(1, len(rows)))):
-                step(model, row)
-            if rows:
-                yield pa.RecordBatch.from_pydict(
-                    {"rows": [len(rows)], "z": [model.z.astype(np.float32).tobytes()], "n": [model.n.astype(np.float32).tobytes()]}
-                )
-
-        back = sample.select(*names).mapInArrow(local, "rows long, z binary, n binary").collect()
-        if not back:
-            break
-        share = np.array([r["rows"] for r in back], np.float64)
-        share /= share.sum()
-        z = sum(w * np.frombuffer(r["z"], np.float32) for w, r in zip(share, back, strict=True)).astype(np.float32)
-        n = sum(w * np.frombuffer(r["n"], np.float32) for w, r in zip(share, back, strict=True)).astype(np.float32)
+            if not rows:
+                return
+            at, z0, n0 = state.value
+            model = Ftrl(size, **settings)
+            model.z[at], model.n[at] = z0, n0
+            before = model.n.copy()
+            allowed = np.bincount(np.concatenate([np.unique(np.frombuffer(r["ids"], np.int32)) for r in rows]), minlength=size) > RARE * len(rows)
+            allowed[fixed] = True
+            for row in rows * max(passes, -(-LEAST // len(rows))):
+                step(model, row, allowed)
+            own = np.flatnonzero(model.n != before).astype(np.int32)
+            yield pa.RecordBatch.from_pydict(
+                {"rows": [len(rows)], "at": [own.tobytes()], "z": [model.z[own].astype(np.float32).tobytes()], "n": [model.n[own].astype(np.float32).tobytes()]}
+            )
+
+        back = sample.mapInArrow(local, "rows long, at binary, z binary, n binary").collect()
+        total = sum(r["rows"] for r in back)
+        z0, n0 = z.copy(), n.copy()
+        for r in back:
+            own = np.frombuffer(r["at"], np.int32)
+            z[own] += r["rows"] / total * (np.frombuffer(r["z"], np.float32) - z0[own])
+            n[own] += r["rows"] / total * (np.frombuffer(r["n"], np.float32) - n0[own])
         state.destroy()
+        del back
     return Ftrl(size, z=z, n=n, **settings).weights(slice(None))
 
 

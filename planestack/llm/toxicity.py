@@ -28,11 +28,11 @@ MOST = 12_000
 ROUNDS = 5
 #: Times a partition goes over its rows in each round.
 PASSES = 3
-SETTINGS = {"alpha": 0.5, "beta": 1.0, "l1": 0.5, "l2": 0.2}
+SETTINGS = {"alpha": 0.5, "beta": 1.0, "l1": 2.0, "l2": 0.2}
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 WORD = re.compile(r"\w+")
 #: Distinct words whose weight a task remembers before it starts afresh.
-MEMO = 1 << 20
+MEMO = 1 << 17
 
 
 def features(word: str) -> list[int]:
@@ -56,7 +56,7 @@ def _featurised(rows: DataFrame) -> DataFrame:
     def make(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.slices(batches):
             out = [_instances(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -70,13 +70,13 @@ def _featurised(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, y int, ids binary, counts binary")
 
 
-def _step(model: ftrl.Ftrl, row: dict) -> None:
+def _step(model: ftrl.Ftrl, row: dict, allowed: np.ndarray) -> None:
     ids, counts = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["counts"], np.int32)
     if not len(counts):
         return
     at, where = np.unique(ids, return_inverse=True)
     at = np.append(at, BIAS)
-    w = model.weights(at)
+    w = np.where(allowed[at], model.weights(at), 0.0)
     starts = np.cumsum(counts) - counts
     score = np.add.reduceat(w[where], starts) + w[-1]
     p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
@@ -85,7 +85,8 @@ def _step(model: ftrl.Ftrl, row: dict) -> None:
     toxic = max(-np.expm1(log_clean), 1e-9)
     slope = -clean / toxic * p if row["y"] else p
     g = np.append(np.bincount(where, np.repeat(slope, counts), len(at) - 1), slope.sum())
-    model.update(at, w, g)
+    own = allowed[at]
+    model.update(at[own], w[own], g[own])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: F.Column | None = None, most: int = MOST) -> np.ndarray:
@@ -93,9 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: F.
     keep = ~held_out if held_out is not None else F.lit(True)
     rows, path = common.materialize(_featurised(ftrl.spread(common.training_rows(docs, labels, label, keep, most))), "mil")
     # A bag of sentences starts out improbable: the bias is set so that w = -6 there.
-    z = np.zeros(SIZE, np.float32)
-    z[BIAS] = 6 * (SETTINGS["beta"] / SETTINGS["alpha"] + SETTINGS["l2"]) + SETTINGS["l1"]
-    weights = ftrl.train(ftrl.spread(rows), _step, SIZE, ROUNDS, (z, np.zeros(SIZE, np.float32)), PASSES, **SETTINGS)
+    z = 6 * (SETTINGS["beta"] / SETTINGS["alpha"] + SETTINGS["l2"]) + SETTINGS["l1"]
+    weights = ftrl.train(ftrl.spread(rows), _step, SIZE, ROUNDS, {BIAS: z}, PASSES, **SETTINGS)
     common.drop(docs.sparkSession, path)
     return weights
 
@@ -113,7 +113,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
         bias = by_id.get(BIAS, 0.0)
         memo: dict[str, tuple] = {}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in common.slices(batches):
             scores, found = [], []
             for text in batch.column("text").to_pylist():
                 log_clean, spans = 0.0, []
