@@ -30,7 +30,7 @@ PASSES = 2
 SETTINGS = {"alpha": 1.0, "beta": 1.0, "l1": 0.3, "l2": 0.3}
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Distinct tokens whose hash a task remembers before it starts afresh.
-MEMO = 1 << 20
+MEMO = 1 << 17
 SAME = 2_654_435_761
 
 
@@ -68,15 +68,15 @@ def _featurised(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         features = Features()
-        for batch in batches:
+        for batch in common.slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": [features(t).tobytes() for t in batch.column("text").to_pylist()]})
 
     return rows.mapInArrow(make, "doc_id long, y int, ids binary")
 
 
-def _step(model: ftrl.Ftrl, row: dict) -> None:
+def _step(model: ftrl.Ftrl, row: dict, allowed: np.ndarray) -> None:
     ids = np.frombuffer(row["ids"], np.int32)
-    at = np.append(ids, BIAS)
+    at = np.append(ids[allowed[ids]], BIAS)
     x = np.full(len(at), 1 / np.sqrt(max(1, len(ids))))
     x[-1] = 1
     w = model.weights(at)
@@ -104,7 +104,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         table = np.zeros(SIZE, np.float32)
         table[shared.value[0]] = shared.value[1]
         features, bias = Features(), float(table[BIAS])
-        for batch in batches:
+        for batch in common.slices(batches):
             scores, counts = [], []
             for text in batch.column("text").to_pylist():
                 ids = features(text)
