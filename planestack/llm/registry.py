@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planestack.llm import quality, secrets, toxicity, url_filter
+from planestack.llm import bpe, fingerprint, mixing, quality, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
+        "op7_bpe": bpe.op7_bpe,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.OP8_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op8_url_filter": url_filter.OP8_SQL}
