@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planestack.llm import bpe, fingerprint, mixing, quality, secrets, toxicity, url_filter
+from planestack.llm import ann, bpe, fingerprint, mixing, quality, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
+        "op6_nearest": ann.op6_nearest,
         "op7_bpe": bpe.op7_bpe,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_fingerprint": fingerprint.op9_fingerprint,
