@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from planestack.llm import common
 
 #: Bytes of text after which a block ends; bytes of text for each bucket of words.
-BLOCK, BUCKET = 8 << 20, 8 << 20
+BLOCK, BUCKET = 4 << 20, 8 << 20
 
 
 def vocabulary_path() -> str:
@@ -64,12 +64,12 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """For each block: a row with its documents' codes (bucket -1), and a row with its words for each bucket that has some."""
 
     def split(batches: Iterator) -> Iterator:
-        import uuid
-
         import numpy as np
         import pyarrow as pa
         import zstandard
+        from pyspark import TaskContext
 
+        part, numbers = TaskContext.get().partitionId(), count()
         names = ["block", "bucket", "doc_ids", "counts", "codes", "buckets", "words"]
         kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -81,7 +81,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             rank[order] = np.arange(len(words))
             words = [words[i] for i in order]
             of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            block = uuid.uuid4().hex
+            block = f"{part}-{next(numbers)}"
             rows = [(block, -1, ids, _pack(np.array(counts)), _pack(rank[codes]), _pack(of), None)]
             by = np.argsort(of, kind="stable")
             edges = np.flatnonzero(np.diff(of[by])) + 1
@@ -155,10 +155,14 @@ def _ragged(starts, lengths):
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded (the ids' pieces with a space between)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded (the ids' pieces with a space between).
+
+    The texts are split twice, for the words and for the codes, which takes less than keeping both. Blocks are therefore named
+    by partition and number: docs must give the same partitions each time it is read, as a scan of files does.
+    """
     path = path or vocabulary_path()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, _ = common.materialize(_blocks(docs, max(16, -(-size // BUCKET))), "blocks")
+    blocks = _blocks(docs, max(16, -(-size // BUCKET)))
     encoded = _encoded(blocks, path)
 
     def place(left, right):
@@ -174,6 +178,8 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             lengths.append(_unpack(right.column("lengths")[int(i)].as_py()))
             flat.append(_unpack(right.column("ids")[int(i)].as_py()))
         own = np.argsort(of, kind="stable")
+        if sum(map(len, lengths)) != len(of):
+            raise ValueError("the rows of docs came in another order when they were read again")
         by_bucket = np.concatenate(lengths).astype(np.int64) if lengths else np.empty(0, np.int64)
         flat = np.concatenate(flat) if flat else np.empty(0, np.uint32)
         length, start = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
@@ -190,6 +196,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             n_tokens.append(len(found))
             ids.append(found.astype("<u4").tobytes())
             texts.append(" ".join(filter(None, map(decoded.__getitem__, mine.tolist()))))
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(texts, pa.string())})
 
     left = blocks.filter("bucket < 0").select("block", "doc_ids", "counts", "codes", "buckets")
