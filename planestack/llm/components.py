@@ -1,0 +1,42 @@
+"""Connected components by contraction: hooks to the smallest neighbour, pointer jumping, then the graph between the roots."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from planestack.llm import common
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root of every node in edges (a, b); root is the smallest node reachable.
+
+    Each round hooks every node to its smallest neighbour (a minimum per node, combined before the shuffle, so a hub costs one
+    row for each task), follows hooks to the roots, and keeps only the edges between different roots. Tables are written to
+    the shared folder after each step and dropped when the next one stands.
+    """
+    spark = edges.sparkSession
+    edges, at = common.materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    roots, roots_at = None, None
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a")).toDF("node", "to")
+        hooks, hooks_at = common.materialize(both.groupBy("node").agg(F.least("node", F.min("to")).alias("root")), "hooks")
+        while True:
+            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped, jumped_at = common.materialize(hooks.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "hooks")
+            common.drop(spark, hooks_at)
+            hooks, hooks_at = jumped.select("node", "root"), jumped_at
+            if jumped.filter("moved").isEmpty():
+                break
+        if roots is None:
+            roots, roots_at = hooks, hooks_at
+        else:
+            step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            merged, merged_at = common.materialize(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            common.drop(spark, roots_at)
+            roots, roots_at = merged, merged_at
+        end = lambda c: hooks.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+        left, left_at = common.materialize(edges.join(end("a"), "a").join(end("b"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        common.drop(spark, at)
+        edges, at = left, left_at
+    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
