@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planestack.llm import ann, bpe, fingerprint, mixing, near_dedup, quality, secrets, toxicity, url_filter
+from planestack.llm import ann, bpe, fingerprint, mixing, near_dedup, quality, repeats, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_repeats": repeats.op2_repeats,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op5_secrets": secrets.op5_secrets,
