@@ -7,8 +7,8 @@
    if its sketches differ in few enough bits.
 3. Pairs between different components are confirmed on full sets, most similar first: one pair for each two components, then
    8, 64 and so on, until none is left between different components. Members of a component need no more pairs.
-4. In buckets that still hold several components, the pairs across components are screened block by block (all pairs of a
-   bucket are never listed; only those that pass the screen leave the task) and confirmed in the same way.
+4. In buckets that still hold several components, members of different components are compared block by block inside the
+   tasks, on sets of shortened hashes; one similar pair for each two components leaves the task and is confirmed as above.
 
 A pair with a similarity of 0.8 shares no band with a probability of 5e-8 and fails the screen with less than 1e-8. Nothing is
 capped: large buckets are split into blocks of members, hot centres are split by Spark's skew join.
@@ -34,7 +34,7 @@ PART, LEAST = 100, 80
 BANDS, ROWS, BITS = 32, 4, 512
 #: Differing sketch bits up to which a pair is looked at: six deviations above the mean at similarity 0.8.
 MOST_BITS = 96
-#: Members of a block when a bucket's remaining pairs are screened.
+#: Members of a chunk when a bucket's remaining pairs are compared.
 BLOCK = 512
 #: Bits of the filter that spares documents without a candidate the second pass; beyond its capacity it only spares fewer.
 FILTER_BITS = 1 << 23
@@ -201,13 +201,13 @@ def _filter(ids: DataFrame):
     return bits
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; the sets of the documents concerned are made anew from the texts."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, set (sorted 64-bit hashes) of the documents with these ids, and perhaps of some more, made anew from the texts."""
     import numpy as np
 
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
 
-    def sets(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held = bits.value
@@ -218,10 +218,17 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             at = int(Shingles.mix(np.array([doc_id], np.int64).view(np.uint64))[0]) % FILTER_BITS
             return held[at >> 3] >> (7 - (at & 7)) & 1
 
-        for ids, found in _chunks(batches, wanted):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
+        for found_ids, found in _chunks(batches, wanted):
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(found_ids, pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
+
+    return _raw(docs).mapInArrow(run, "doc_id long, set binary")
 
-    every = _raw(docs).mapInArrow(sets, "doc_id long, set binary")
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    import numpy as np
+
+    every = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -278,9 +285,16 @@ def _joined(docs: DataFrame, candidates: DataFrame, roots: DataFrame | None) ->
         many *= 8
 
 
-def _across(buckets: DataFrame, roots: DataFrame | None, odd: DataFrame) -> DataFrame:
-    """Candidates (a, b, bits) across components within buckets (key, id, centre, size) that hold several."""
-    rows = buckets.filter("size > 2").select("key", "id", "centre", "size")
+def _across(docs: DataFrame, buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Candidates (a, b, bits) across components within buckets (key, id, centre, size) that hold several.
+
+    All pairs across the components of a bucket are compared inside tasks, on sets of 32-bit hashes, which can only show too
+    many common shingles; of the pairs similar enough, one for each two components leaves a block.
+    """
+    # Buckets with the same members, as copies have in many bands, count once.
+    same = buckets.filter("size > 2").groupBy("key", "centre", "size").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    once = same.groupBy("size", "x", "y").agg(F.min(F.struct("key", "centre")).alias("k")).select("k.key", F.col("k.centre").alias("middle"))
+    rows = buckets.join(once, "key").select("key", "id", F.col("middle").alias("centre"))
     if roots is not None:
         of = lambda c, as_: roots.select(F.col("node").alias(c), F.col("root").alias(as_))
         rows = rows.join(of("id", "own"), "id", "left").join(of("centre", "main"), "centre", "left")
@@ -288,8 +302,8 @@ def _across(buckets: DataFrame, roots: DataFrame | None, odd: DataFrame) -> Data
     else:
         rows = rows.withColumns({"own": F.col("id"), "main": F.col("centre")})
     rows = rows.withColumn("apart", F.col("own") != F.col("main"))
-    counts = rows.groupBy("key").agg(F.sum(F.col("apart").cast("long")).alias("others"), F.count(F.lit(1)).alias("all")).filter("others > 1 OR (others = 1 AND all > 2)")
-    rows = rows.join(counts, "key").join(odd.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    counts = rows.groupBy("key").agg(F.sum(F.col("apart").cast("long")).alias("others"), F.count(F.lit(1)).alias("all")).filter("others > 0 AND all > 2")
+    rows, _ = common.materialize(rows.join(counts, "key"), "across")
     # Members of the centre's component fall into `mains` chunks, the rest into `rests`; each block holds a chunk of the rest
     # and one of either kind, so blocks are bounded and every pair that isn't inside the centre's component meets once.
     parts = {"mains": F.ceil((F.col("all") - F.col("others")) / BLOCK), "rests": F.ceil(F.col("others") / BLOCK)}
@@ -300,29 +314,49 @@ def _across(buckets: DataFrame, roots: DataFrame | None, odd: DataFrame) -> Data
     with_main = F.when(F.col("mains") > 0, F.transform(upto(F.greatest(F.col("mains"), F.lit(1))), lambda m: block(F.lit("m"), m, chunk))).otherwise(F.array().cast("array<string>"))
     with_rest = F.transform(upto(F.greatest(F.col("rests"), F.lit(1))), lambda r: block(F.lit("r"), F.least(r, chunk), F.greatest(r, chunk)))
     places = F.when(F.col("apart"), F.concat(with_main, with_rest)).otherwise(F.transform(upto(F.greatest(F.col("rests"), F.lit(1))), lambda r: block(F.lit("m"), chunk, r)))
-    rows = rows.select("key", "id", "own", "apart", "sketch", F.explode(places).alias("block"))
-    rows = rows.withColumn("at", F.xxhash64("key", "block"))
-    rows = rows.repartition(F.col("at")).sortWithinPartitions("at").select("at", "id", "own", "apart", "sketch")
+    rows = rows.withColumn("at", F.explode(F.transform(places, lambda p: F.xxhash64("key", p)))).select("at", "id", "own", "apart")
+
+    def short(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(np.frombuffer(s, np.uint64).astype(np.uint32)).tobytes() for s in batch.column("set").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "set": pa.array(sets, pa.binary())})
+
+    sets = _sets(docs, rows.select("id").distinct()).mapInArrow(short, "id long, set binary").dropDuplicates(["id"])
+    rows = rows.join(sets, "id").repartition(F.col("at")).sortWithinPartitions("at").select("at", "id", "own", "apart", "set")
 
     def screen(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        wide = BITS // 64
-        for _, held in common.runs(batches, "at", ["id", "own", "apart", "sketch"]):
-            ids, own = held["id"].astype(np.int64), held["own"].astype(np.int64)
-            apart = held["apart"].astype(bool)
-            x = np.frombuffer(b"".join(held["sketch"]), np.uint64).reshape(-1, wide)
+        for _, held in common.runs(batches, "at", ["id", "own", "apart", "set"]):
+            ids, own, apart = held["id"].astype(np.int64), held["own"].astype(np.int64), held["apart"].astype(bool)
+            if len(np.unique(own)) < 2:
+                continue
+            sets = [np.frombuffer(s, np.uint32) for s in held["set"]]
+            sizes = np.array([len(s) for s in sets])
+            known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            mark = np.zeros(len(known), np.int32)
             main = not apart.all()
-            out = ([], [], [])
+            done, out = set(), ([], [], [])
             for i in np.flatnonzero(apart):
                 fits = (own != own[i]) & (~apart if main else np.arange(len(ids)) > i)
-                at = np.flatnonzero(fits)
-                bits = np.bitwise_count(x[at] ^ x[i]).sum(axis=1, dtype=np.int64)
-                for j, n in zip(at[bits <= MOST_BITS].tolist(), bits[bits <= MOST_BITS].tolist(), strict=True):
-                    out[0].append(min(ids[i], ids[j]))
-                    out[1].append(max(ids[i], ids[j]))
-                    out[2].append(n)
+                fits &= PART * np.minimum(sizes, sizes[i]) >= LEAST * np.maximum(sizes, sizes[i])
+                if not fits.any():
+                    continue
+                mine = flat[starts[i] : starts[i] + sizes[i]]
+                mark[mine] = 1
+                shared = np.add.reduceat(mark[flat], starts)
+                mark[mine] = 0
+                for j in np.flatnonzero(fits & (PART * shared >= LEAST * (sizes + sizes[i] - shared))):
+                    ends = (min(own[i], own[j]), max(own[i], own[j]))
+                    if ends not in done:
+                        done.add(ends)
+                        for column, value in zip(out, (min(ids[i], ids[j]), max(ids[i], ids[j]), 0), strict=True):
+                            column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "bits"), out, strict=True)})
 
@@ -344,9 +378,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = buckets.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     candidates, candidates_at = common.materialize(_screened(pairs, odd), "candidates")
     roots = _joined(docs, candidates, None)
-    more, more_at = common.materialize(_across(buckets, roots, odd), "more")
-    seen = candidates.select("a", "b")
-    roots = _joined(docs, more.join(seen, ["a", "b"], "left_anti"), roots)
+    more, more_at = common.materialize(_across(docs, buckets, roots), "more")
+    roots = _joined(docs, more, roots)
     # From the classes' components to the documents: the class of a document, its root, and the classes that share an id.
     own = of_class.select("doc_id", "class").distinct()
     if roots is not None:
