@@ -39,7 +39,7 @@ BLOCK = 512
 #: Bits of the filter that spares documents without a candidate the second pass; beyond its capacity it only spares fewer.
 FILTER_BITS = 1 << 23
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 class Shingles:
@@ -201,8 +201,8 @@ def _filter(ids: DataFrame):
     return bits
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, set (sorted 64-bit hashes) of the documents with these ids, and perhaps of some more, made anew from the texts."""
+def _sets(docs: DataFrame, ids: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, set (sorted hashes of 64 bits, or of 32) of the documents with these ids, and perhaps of more, made anew."""
     import numpy as np
 
     bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
@@ -219,6 +219,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             return held[at >> 3] >> (7 - (at & 7)) & 1
 
         for found_ids, found in _chunks(batches, wanted):
+            if short:
+                found = [np.unique(s.astype(np.uint32)) for s in found]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(found_ids, pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
 
     return _raw(docs).mapInArrow(run, "doc_id long, set binary")
@@ -316,15 +318,7 @@ def _across(docs: DataFrame, buckets: DataFrame, roots: DataFrame | None) -> Dat
     places = F.when(F.col("apart"), F.concat(with_main, with_rest)).otherwise(F.transform(upto(F.greatest(F.col("rests"), F.lit(1))), lambda r: block(F.lit("m"), chunk, r)))
     rows = rows.withColumn("at", F.explode(F.transform(places, lambda p: F.xxhash64("key", p)))).select("at", "id", "own", "apart")
 
-    def short(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [np.unique(np.frombuffer(s, np.uint64).astype(np.uint32)).tobytes() for s in batch.column("set").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "set": pa.array(sets, pa.binary())})
-
-    sets = _sets(docs, rows.select("id").distinct()).mapInArrow(short, "id long, set binary").dropDuplicates(["id"])
+    sets = _sets(docs, rows.select("id").distinct(), True).select(F.col("doc_id").alias("id"), "set").dropDuplicates(["id"])
     rows = rows.join(sets, "id").repartition(F.col("at")).sortWithinPartitions("at").select("at", "id", "own", "apart", "set")
 
     def screen(batches: Iterator) -> Iterator:
