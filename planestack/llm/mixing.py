@@ -26,6 +26,8 @@ MARGINALS = ["source", "lang", "topic"]
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 KEEP = 0.8
 ROUNDS = 6
+#: Cells up to which their table is sent to all tasks, so that texts needn't be shuffled.
+FEW_CELLS = 20_000
 #: Values of the hash that decides: a document is kept if its hash is below its probability times this.
 DRAWS = 1 << 28
 
@@ -56,25 +58,26 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).filter("tokens > 0")
 
 
-def targets(cell_rows: DataFrame, column: str, temper: float) -> DataFrame:
-    """(column, target): shares that add up to 1."""
-    by = cell_rows.groupBy(column).agg(F.sum("tokens").cast("double").alias("t")).withColumn("t", F.pow("t", F.lit(temper)))
-    total = by.agg(F.sum("t").alias("all"))
-    return by.crossJoin(F.broadcast(total)).select(column, (F.col("t") / F.col("all")).alias("target"))  # total: one row
+def with_targets(cell_rows: DataFrame, temper: dict[str, float]) -> DataFrame:
+    """The cells with t_<marginal>: the wanted share of the cell's value in each marginal (one total comes to the driver)."""
+    rows = cell_rows
+    for column, power in temper.items():
+        by = cell_rows.groupBy(column).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t"))
+        total = by.agg(F.sum("t")).first()[0] or 1.0
+        by = by.select(F.col(column).alias("v"), (F.col("t") / F.lit(total)).alias(f"t_{column}"))
+        rows = rows.join(by.hint("merge"), F.col(column).eqNullSafe(F.col("v"))).drop("v")
+    return rows
 
 
-def rake(cell_rows: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cell_rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The cells with `weight`, so that weight * tokens meets the wanted shares of each marginal in turn."""
     spark = cell_rows.sparkSession
-    total = cell_rows.agg(F.sum("tokens")).first()[0] or 0
-    names = list(cell_rows.columns)
-    rows = cell_rows.withColumn("weight", F.lit(1.0))
-    old = None
+    total = float(cell_rows.agg(F.sum("tokens")).first()[0] or 0)
+    rows, old = cell_rows.withColumn("weight", F.lit(1.0)), None
     for _ in range(rounds):
-        for column, shares in wanted.items():
-            have = rows.groupBy(column).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
-            scale = have.alias("h").join(shares.alias("s"), F.col(f"h.{column}").eqNullSafe(F.col(f"s.{column}"))).select(F.col(f"h.{column}").alias("v"), (F.col("target") * float(total) / F.col("have")).alias("scale"))
-            rows = rows.join(scale, F.col(column).eqNullSafe(F.col("v"))).select(*names, (F.col("weight") * F.col("scale")).alias("weight"))
+        for column in MARGINALS:
+            have = rows.groupBy(F.col(column).alias("v")).agg((F.max(f"t_{column}") * total / F.sum(F.col("tokens") * F.col("weight"))).alias("scale"))
+            rows = rows.join(have.hint("merge"), F.col(column).eqNullSafe(F.col("v"))).withColumn("weight", F.col("weight") * F.col("scale")).drop("v", "scale")
         rows, path = common.materialize(rows, "raked")
         if old:
             common.drop(spark, old)
@@ -100,8 +103,8 @@ def decided(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     rows = docs.select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
     rows, _ = common.materialize(rows, "mix")
     cell_rows, _ = common.materialize(cells(rows), "cells")
-    raked = rake(cell_rows, {c: targets(cell_rows, c, TEMPER[c]) for c in MARGINALS})
-    p = probabilities(raked, keep).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "weight", "p")
+    cell_rows, _ = common.materialize(with_targets(cell_rows, TEMPER), "cells")
+    p = probabilities(rake(cell_rows), keep).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "weight", "p")
     fits = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MARGINALS]
     rows = rows.join(p, fits[0] & fits[1] & fits[2], "left")
     rows = rows.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "p": F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(1.0))).otherwise(1.0)})
@@ -113,6 +116,8 @@ def mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     found = decided(docs, keep)
     cut = found.groupBy(*MARGINALS).agg(F.max(F.when(F.col("tokens") > 0, F.col("p"))).alias("_p"))
     cut = cut.select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "_p")
+    if cut.count() <= FEW_CELLS:
+        cut = F.broadcast(cut)  # its size has just been checked; a larger table is joined by shuffle
     rows = docs.withColumns({"_of": topic_of(F.col("text")), "_tokens": tokens_of(F.col("text"))})
     fits = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("_of").eqNullSafe(F.col("_topic"))
     kept = rows.join(cut, fits, "left").filter((F.col("_tokens") == 0) | (draw_of() < F.coalesce("_p", F.lit(1.0)) * DRAWS))
