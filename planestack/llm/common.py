@@ -2,47 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="planestack-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back, which cuts its lineage; also the path.
-
-    The files are deleted when the JVM ends, or earlier by drop(path).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    fs, at = _hadoop(spark, path)
-    fs.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table that materialize() wrote."""
-    fs, at = _hadoop(spark, path)
-    fs.delete(at, True)
+from planestack.sources.scratch import drop, materialize  # noqa: F401
 
 
 def renamed(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planestack.llm import common
-from planestack.llm.components import components
+from planestack.operators.graph import components
 
 WORDS = 4
 #: Links need PART * intersection >= LEAST * union.
