@@ -34,38 +34,42 @@ def sorted_rotations(symbols: np.ndarray, length: int) -> np.ndarray:
         have *= 2
 
 
-def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marked: np.ndarray | None = None):
-    """(place, group, prefix) after `length` rounds over the shards' transforms.
+def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marked: np.ndarray | None = None, step: int = 1):
+    """(place, group, prefix) after rounds over the shards' transforms that reach `length` symbols.
 
     place: for each merged rank, its index in the concatenated shards' orders; group: number of the interval of rotations that
-    agree in their first `length` symbols; prefix: common symbols with the rank before (`length` if that many or more).
+    agree in their first `length` symbols; prefix: common symbols with the rank before (`length` if that many or more), rounded
+    down to a multiple of step. step: symbols that a round goes on by, 1 or 2 (transforms then hold pairs of symbols; at most
+    256 different symbols, and an even length).
     marked: which rotations count (in the order of the concatenated orders); if no interval holds two of them, the rounds end
     early and group tells every rank apart.
     """
     sizes = np.array([len(s) for s in shards])
     n = int(sizes.sum())
     alphabet = np.unique(np.concatenate(shards))
-    small = np.uint8 if len(alphabet) <= 256 else np.uint16
-    transforms = np.concatenate([np.searchsorted(alphabet, s[o - 1]).astype(small) for s, o in zip(shards, orders, strict=True)])
+    coded = [np.searchsorted(alphabet, s) for s in shards]
+    if step == 2 and (len(alphabet) > 256 or length % 2):
+        step = 1
+    kind = np.uint8 if len(alphabet) <= 256 and step == 1 else np.uint16
+    before = [c[o - 1] if step == 1 else c[o - 2] * len(alphabet) + c[o - 1] for c, o in zip(coded, orders, strict=True)]
+    transforms = np.concatenate(before).astype(kind)
     number = np.uint8 if len(shards) <= 256 else np.uint16
     interleave = np.repeat(np.arange(len(shards)), sizes).astype(number)
     group = np.zeros(n, np.int32)
     prefix = np.full(n, length, np.uint8)
     prefix[:1] = 0
-    read = np.empty(n, small)
+    read = np.empty(n, kind)
     place = np.argsort(interleave, kind="stable")
-    for done in range(length):
+    for turn in range(length // step):
         read[place] = transforms
         dealt = np.argsort(read, kind="stable")
         symbols, groups = read[dealt], group[dealt]
         apart = (symbols[1:] != symbols[:-1]) | (groups[1:] != groups[:-1])
         interleave = interleave[dealt]
-        group[1:] = np.cumsum(apart)
-        fresh = np.flatnonzero(apart) + 1
-        fresh = fresh[prefix[fresh] == length]
-        prefix[fresh] = done
+        np.cumsum(apart, out=group[1:])
+        np.minimum(prefix[1:], np.where(apart, np.uint8(turn * step), np.uint8(length)), out=prefix[1:])
         place = np.argsort(interleave, kind="stable")
-        if marked is not None and done % 6 == 5:
+        if marked is not None and turn % 6 == 5:
             held = np.empty(n, bool)
             held[place] = marked
             if np.bincount(group[held], minlength=1).max(initial=0) < 2:

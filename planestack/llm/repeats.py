@@ -33,7 +33,7 @@ BLOCK, PIECE, BUCKET = 4 << 20, 1 << 20, 12 << 20
 #: Different runs of a minimizer over which its windows are dealt out one by one.
 HOT = 4096
 #: Bytes merged at once, and bytes of a shard.
-MERGED, SHARD = 1 << 20, 1 << 17
+MERGED, SHARD = 1 << 16, 1 << 14
 LAST = (1 << 63) - 1
 
 
@@ -289,7 +289,7 @@ def covered_windows(data, lengths, of):
     whole[ragged(ends - lengths - 1, lengths - LENGTH + 1)] = True
     owner = np.full(len(symbols), LAST, np.int64)
     owner[place] = np.repeat(of, lengths)
-    ranks, group, _ = bwt.merge(shards, orders, LENGTH, whole[where])
+    ranks, group, _ = bwt.merge(shards, orders, LENGTH, whole[where], 2)
     at = where[ranks]
     mine = np.where(whole[at], owner[at], LAST)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
