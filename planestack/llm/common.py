@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from planestack.sources.scratch import drop, materialize  # noqa: F401
 
 
-def renamed(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns, so that further columns of the input can't clash with an operator's own."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns as one struct, `row`, so that whatever their names they can't clash with an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,9 @@ def topic_of(text: F.Column) -> F.Column:
     )
 
 
-def draw_of() -> F.Column:
+def draw_of(doc_id: F.Column) -> F.Column:
     """A hash of the id from 0 up to DRAWS."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 7), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit("mix-"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, 7), 16, 10).cast("long")
 
 
 def cells(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def decided(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     fits = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MARGINALS]
     rows = rows.join(p, fits[0] & fits[1] & fits[2], "left")
     rows = rows.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "p": F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(1.0))).otherwise(1.0)})
-    return rows.withColumn("kept", draw_of() < F.col("p") * DRAWS).select("doc_id", *MARGINALS, "tokens", "weight", "p", "kept")
+    return rows.withColumn("kept", draw_of(F.col("doc_id")) < F.col("p") * DRAWS).select("doc_id", *MARGINALS, "tokens", "weight", "p", "kept")
 
 
 def mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -118,10 +118,11 @@ def mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     cut = cut.select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "_p")
     if cut.count() <= FEW_CELLS:
         cut = F.broadcast(cut)  # its size has just been checked; a larger table is joined by shuffle
-    rows = docs.withColumns({"_of": topic_of(F.col("text")), "_tokens": tokens_of(F.col("text"))})
-    fits = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("_of").eqNullSafe(F.col("_topic"))
-    kept = rows.join(cut, fits, "left").filter((F.col("_tokens") == 0) | (draw_of() < F.coalesce("_p", F.lit(1.0)) * DRAWS))
-    return common.renamed(kept, docs.columns)
+    text = F.col("row.text")
+    rows = common.boxed(docs).withColumns({"_of": topic_of(text), "_tokens": tokens_of(text)})
+    fits = F.col("row.source").eqNullSafe(F.col("_source")) & F.col("row.lang").eqNullSafe(F.col("_lang")) & F.col("_of").eqNullSafe(F.col("_topic"))
+    kept = rows.join(cut, fits, "left").filter((F.col("_tokens") == 0) | (draw_of(F.col("row.doc_id")) < F.coalesce("_p", F.lit(1.0)) * DRAWS))
+    return common.unboxed(kept)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,14 +66,36 @@ class Shingles:
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(31))
 
-    def __call__(self, texts: list[bytes]) -> list:
-        """A sorted array of distinct hashes for each text."""
+    @staticmethod
+    def _stretches(texts: list[bytes]):
+        """Lists of (text number, part) of about CHUNK bytes; texts are cut at white space only."""
+        held, size = [], 0
+        for number, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = len(text)
+                if end - at > CHUNK:
+                    end = max(text.rfind(c, at, at + CHUNK) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) + 1
+                    if end <= at:  # one word of more than CHUNK bytes
+                        found = [i for i in (text.find(c, at) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) if i >= 0]
+                        end = min(found) + 1 if found else len(text)
+                held.append((number, text[at:end]))
+                size += end - at
+                at = end
+                if size >= CHUNK:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def _hashed(self, group: list[tuple[int, bytes]]):
+        """Word hashes of a stretch, and (text number, count of words) of its parts."""
         import numpy as np
 
-        joined = b" ".join([t.lower() for t in texts]) + b" "
+        joined = b" ".join([t.lower() for _, t in group]) + b" "
         data = np.frombuffer(joined, np.uint8)
         if len(self.powers) < len(data):
-            n = max(len(data), CHUNK + (CHUNK >> 2))
+            n = max(len(data), CHUNK + (CHUNK >> 1))
             self.powers = np.cumprod(np.append(np.uint64(1), np.full(n, self.base)))
             self.inverses = np.cumprod(np.append(np.uint64(1), np.full(n, self.inverse)))
         blank = self.space[data]
@@ -81,9 +103,25 @@ class Shingles:
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         sums = np.cumsum(np.append(np.uint64(0), self.of_byte[data] * self.powers[: len(data)]))
         words = self.mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        firsts = np.searchsorted(starts, np.cumsum(lengths) - lengths)
-        lasts = np.searchsorted(starts, np.cumsum(lengths))
+        stops = np.searchsorted(starts, np.cumsum([len(t) + 1 for _, t in group]))
+        return words, list(zip((i for i, _ in group), np.diff(stops, prepend=0).tolist(), strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list:
+        """A sorted array of distinct hashes for each text."""
+        import numpy as np
+
+        parts, counts = [], []
+        for group in self._stretches(texts):
+            words, n = self._hashed(group)
+            parts.append(words)
+            counts.append(n)
+        words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        # A long text lies in several stretches: (text number, words) of each add up.
+        total = np.zeros(len(texts), np.int64)
+        for number, n in (c for own in counts for c in own):
+            total[number] += n
+        lasts = np.cumsum(total)
+        firsts = lasts - total
         k = self.words
         full = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for i in range(k):
@@ -394,9 +432,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without the documents that aren't the first of their component; all columns unchanged."""
-    dropped = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
-    return common.renamed(kept, docs.columns)
+    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return common.unboxed(common.boxed(docs).join(dropped, F.col("row.doc_id") == F.col("doc_id"), "left_anti"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,14 +55,14 @@ def _joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _keys(df: DataFrame) -> DataFrame:
+def _keys(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """With two hashes that stand for the row's id and text, which may be null."""
-    return df.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(7), "doc_id")})
+    return df.withColumns({"_k1": F.xxhash64(doc_id, text), "_k2": F.xxhash64(text, F.lit(7), doc_id)})
 
 
 def parts(docs: DataFrame) -> DataFrame:
     """doc_id, _k1, _k2 and `parts`: array<struct<start,kind,end>> of all parts, strong and weak (no text)."""
-    rows = _keys(common.renamed(docs, ["doc_id", "text"]))
+    rows = _keys(docs.select("doc_id", "text"), "doc_id", "text")
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), "\x01\x02", "\x03\x03")
     rows = rows.withColumns({n: _found(text, p) for n, p in (("f_assign", ASSIGN), ("f_access", ACCESS), ("f_hex", HEX), ("f_id", ID), ("f_email", EMAIL), ("f_endpoint", ENDPOINT))})
 
@@ -121,9 +121,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span (overlapping ones together) replaced by [kind]; n_chars follows the text. Other columns stay."""
-    spans = find(docs).select("_k1", "_k2", F.array_sort("spans").alias("_s")).filter(F.size("_s") > 0).dropDuplicates(["_k1", "_k2"])
+    spans = find(docs).select("_k1", "_k2", F.array_sort("spans").alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["_k1", "_k2"])
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    text = F.col("text")
+    text = F.col("row.text")
 
     def add(state: F.Column, s: F.Column) -> F.Column:
         gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
@@ -131,11 +131,13 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_s", start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    rows = _keys(docs).join(spans, ["_k1", "_k2"], "left").withColumn("text", F.when(F.col("_s").isNotNull(), clean).otherwise(text))
+    clean = F.aggregate("spans", start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    rows = _keys(common.boxed(docs), "row.doc_id", "row.text").join(spans, ["_k1", "_k2"], "left")
+    rows = rows.select("row", F.when(F.col("spans").isNotNull(), clean).alias("clean"))
+    new = F.col("row").withField("text", F.coalesce("clean", text))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_s").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return common.renamed(rows, docs.columns)
+        new = new.withField("n_chars", F.when(F.col("clean").isNotNull(), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return common.unboxed(rows.select(new.alias("row")))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

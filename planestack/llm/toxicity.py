@@ -100,14 +100,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: F.
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns (doc_id), _score, _sentences: array of (start, end, score) of the sentences at or over the threshold.
+def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
+    """row, score, sentences: array of (start, end, score) of the sentences at or over the threshold.
 
-    Positions are code points; they are null where lower case has another length. The text needn't be carried.
+    rows: boxed documents. Positions are code points; they are null where lower case has another length.
     """
-    carry = ["doc_id"] if carry is None else carry
     at = np.flatnonzero(weights)
-    shared = docs.sparkSession.sparkContext.broadcast((at, weights[at]))
+    shared = rows.sparkSession.sparkContext.broadcast((at, weights[at]))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -119,7 +118,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, carry: l
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in common.slices(batches):
             scores, found = [], []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column("row").field("text").to_pylist():
                 log_clean, spans = 0.0, []
                 text = text or ""
                 low = text.lower()
@@ -151,17 +150,14 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, carry: l
                 log_clean += quiet * np.log1p(-1 / (1 + np.exp(-min(30.0, max(-30.0, bias)))))
                 scores.append(float(-np.expm1(log_clean)))
                 found.append([{"start": a, "end": b, "score": float(p)} for a, b, p in spans])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array(found, kind)], [*batch.schema.names[1:], "_score", "_sentences"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64()), pa.array(found, kind)], ["row", "score", "sentences"])
 
-    rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in carry])
-    fields = [f.simpleString().split(":", 1) for f in docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields]
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in fields), "_score double", "_sentences array<struct<start:int,end:int,score:double>>"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, sentences array<struct<start:int,end:int,score:double>>")
 
 
 def clean(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score under the threshold; all columns unchanged."""
-    return common.renamed(score(docs, weights, threshold, docs.columns).filter(F.col("_score") < threshold), docs.columns)
+    return common.unboxed(score(common.boxed(docs), weights, threshold).filter(F.col("score") < threshold))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,12 +165,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = common.crc_remainder(5) == 0
-    scored = score(docs, train(docs, labels, held_out=held_out))
+    scored = score(common.boxed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), train(docs, labels, held_out=held_out))
+    scored = scored.select("row.doc_id", "score", "sentences")
     return scored.select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
-        F.size("_sentences").alias("n_sentences"),
-        F.col("_sentences").alias("sentences"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_sentences"),
+        "sentences",
     )
