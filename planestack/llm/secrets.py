@@ -25,6 +25,8 @@ from planestack.llm import common
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "id", "key", "endpoint"]
 SCOPE = 240
+#: Pieces of a text that are added up at a time.
+RUN = 64
 #: Patterns with two groups: all that stands before the value, and the value.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA)([A-Z0-9]{12,})"
@@ -35,18 +37,29 @@ ENDPOINT = r"""()(https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![0-9.])[0-9]{1,3}(?:\.
 
 
 def _found(text: F.Column, pattern: str) -> F.Column:
-    """array<struct<start,end,value>> of the matches, value being the length of the second group."""
+    """array<struct<start,end,value>> of the matches, value being the length of the second group.
+
+    The pieces between marks are outside and inside of matches in turn. Their lengths are added up in runs of RUN pieces, so
+    that the cost stays near linear in the number of matches.
+    """
     pieces = F.split(F.regexp_replace(text, pattern, "\x01$1\x02$2\x01"), "\x01", -1)
     none = F.array().cast("array<struct<start:int,end:int,value:int>>")
+    runs = F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(RUN)), lambda a: F.slice(pieces, a, RUN))
+
+    def width(piece: F.Column) -> F.Column:
+        """Length without the mark between the groups, which no piece outside of a match has."""
+        return F.length(piece) - F.when(piece.contains("\x02"), 1).otherwise(0)
+
+    sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, p: n + width(p)))
+    begins = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
 
     def add(state: F.Column, piece: F.Column) -> F.Column:
-        inside, n = state["inside"], F.length(piece)
-        n = F.when(inside, n - 1).otherwise(n)
-        own = F.struct(state["at"].alias("start"), (state["at"] + n).alias("end"), (F.length(F.substring_index(piece, "\x02", -1))).alias("value"))
-        return F.struct((state["at"] + n).alias("at"), (~inside).alias("inside"), F.when(inside, F.concat(state["spans"], F.array(own))).otherwise(state["spans"]).alias("spans"))
+        end = state["at"] + width(piece)
+        own = F.struct(state["at"].alias("start"), end.alias("end"), F.length(F.substring_index(piece, "\x02", -1)).alias("value"))
+        return F.struct(end.alias("at"), F.when(piece.contains("\x02"), F.concat(state["spans"], F.array(own))).otherwise(state["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, add, lambda s: s["spans"])).otherwise(none)
+    of_run = lambda r, begin: F.aggregate(r, F.struct(begin.alias("at"), none.alias("spans")), add, lambda s: s["spans"])
+    return F.when(text.rlike(pattern), F.flatten(F.zip_with(runs, begins, of_run))).otherwise(none)
 
 
 def _joined(spans: F.Column) -> F.Column:
@@ -125,14 +138,17 @@ def redact(docs: DataFrame) -> DataFrame:
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     text = F.col("row.text")
 
+    # Spans that begin before the end of an earlier one are part of it: the ends so far are kept as a running maximum.
     def add(state: F.Column, s: F.Column) -> F.Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        more = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.element_at(kinds, s["kind"] + 1))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
+        own = F.struct(state["at"].alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["cuts"], F.array(own))).otherwise(state["cuts"]).alias("cuts"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,kind:int>>").alias("cuts"))
+    done = F.aggregate("spans", start, add)
+    pieces = F.transform("done.cuts", lambda c: F.concat(F.substring(text, c["from"] + 1, c["to"] - c["from"]), F.element_at(kinds, c["kind"] + 1)))
+    clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.col("done.at") + 1, F.length(text)))
     rows = _keys(common.boxed(docs), "row.doc_id", "row.text").join(spans, ["_k1", "_k2"], "left")
+    rows = rows.withColumn("done", F.when(F.col("spans").isNotNull(), done))
     rows = rows.select("row", F.when(F.col("spans").isNotNull(), clean).alias("clean"))
     new = F.col("row").withField("text", F.coalesce("clean", text))
     if "n_chars" in docs.columns:
