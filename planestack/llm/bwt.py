@@ -22,7 +22,7 @@ def sorted_rotations(symbols: np.ndarray, length: int) -> np.ndarray:
         key = (key << bits) | np.roll(symbols, -i).astype(np.int64)
     have = min(fit, length)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ties may fall either way: they agree in all symbols that count
         if have >= length:
             return order
         ordered = key[order]
@@ -34,12 +34,12 @@ def sorted_rotations(symbols: np.ndarray, length: int) -> np.ndarray:
         have *= 2
 
 
-def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marked: np.ndarray | None = None, step: int = 1):
+def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marked: np.ndarray | None = None, step: int = 1, prefixes: bool = True):
     """(place, group, prefix) after rounds over the shards' transforms that reach `length` symbols.
 
     place: for each merged rank, its index in the concatenated shards' orders; group: number of the interval of rotations that
     agree in their first `length` symbols; prefix: common symbols with the rank before (`length` if that many or more), rounded
-    down to a multiple of step. step: symbols that a round goes on by, 1 or 2 (transforms then hold pairs of symbols; at most
+    down to a multiple of step (left at `length` without prefixes). step: symbols that a round goes on by, 1 or 2 (transforms then hold pairs of symbols; at most
     256 different symbols, and an even length).
     marked: which rotations count (in the order of the concatenated orders); if no interval holds two of them, the rounds end
     early and group tells every rank apart.
@@ -67,7 +67,8 @@ def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marke
         apart = (symbols[1:] != symbols[:-1]) | (groups[1:] != groups[:-1])
         interleave = interleave[dealt]
         np.cumsum(apart, out=group[1:])
-        np.minimum(prefix[1:], np.where(apart, np.uint8(turn * step), np.uint8(length)), out=prefix[1:])
+        if prefixes:
+            np.minimum(prefix[1:], np.where(apart, np.uint8(turn * step), np.uint8(length)), out=prefix[1:])
         place = np.argsort(interleave, kind="stable")
         if marked is not None and turn % 6 == 5:
             held = np.empty(n, bool)

@@ -289,7 +289,7 @@ def covered_windows(data, lengths, of):
     whole[ragged(ends - lengths - 1, lengths - LENGTH + 1)] = True
     owner = np.full(len(symbols), LAST, np.int64)
     owner[place] = np.repeat(of, lengths)
-    ranks, group, _ = bwt.merge(shards, orders, LENGTH, whole[where], 2)
+    ranks, group, _ = bwt.merge(shards, orders, LENGTH, whole[where], 2, False)
     at = where[ranks]
     mine = np.where(whole[at], owner[at], LAST)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
