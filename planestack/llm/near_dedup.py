@@ -404,7 +404,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_class, _ = common.materialize(linked.join(classes, ["k1", "k2", "n"]).select("doc_id", "class", F.when(F.col("doc_id") == F.col("class"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("class"), F.col("sketch")).alias("sketch")), "classes")
     firsts = of_class.filter("doc_id = class").dropDuplicates(["doc_id", "sketch"])
     odd = firsts.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    members = firsts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct()
+    members = firsts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     stars = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("c.id").alias("centre"), "size")
     buckets, buckets_at = common.materialize(members.join(stars, "key"), "buckets")
     pairs = buckets.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
