@@ -131,9 +131,9 @@ def judge(urls: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     keyed = parts.select("url", F.explode(F.array_distinct(keyed)).alias("key"))
 
     shards, _ = common.materialize(_shards(rule_keys.unionByName(list_keys), bits), "digests")
-    hits, _ = common.materialize(_probe(keyed.select("key"), shards, bits), "hits")
     actions = rules.select(F.concat(F.lit("R"), "host", "path").alias("key"), "action")
-    hits = hits.join(actions, "key", "left")
+    # Written out, so that the join below stands on plain exchanges and a key that very many URLs share can be split.
+    hits, _ = common.materialize(_probe(keyed.select("key"), shards, bits).join(actions, "key", "left"), "hits")
     # A URL meets a handful of keys, so its group is small however often the URL or the key occurs.
     best = F.max(F.when(F.col("key").startswith("R"), F.struct(F.length("key").alias("n"), F.substring("key", 2, 1 << 30).alias("rule"), F.col("action").alias("action"))))
     found = keyed.join(hits, "key").groupBy("url").agg(best.alias("best"), F.max(F.col("key").startswith("B")).alias("listed"))
