@@ -2,7 +2,7 @@
 
 Tokens are runs of word characters or runs of other visible characters. A token that repeats the one before it is replaced by
 a fixed mark, so that stutter looks alike whatever the word. Features are the distinct unigrams and bigrams of a text with the
-weight 1 / sqrt(count of distinct features), plus a bias.
+weight log(1 + count), scaled to unit length, plus a bias.
 
 Defined results: a null or empty text has only the bias. Repeated rows are scored each for itself; further columns are left
 out.
@@ -35,12 +35,12 @@ SAME = 2_654_435_761
 
 
 class Features:
-    """Distinct feature ids of texts; remembers the hashes of tokens."""
+    """Distinct feature ids of a text and their weights; remembers the hashes of tokens."""
 
     def __init__(self) -> None:
         self.memo: dict[str, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         tokens = TOKEN.findall(text or "")
         memo = self.memo
         try:
@@ -53,14 +53,16 @@ class Features:
                     memo[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
             own = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
         if not len(own):
-            return np.empty(0, np.int32)
+            return np.empty(0, np.int32), np.empty(0, np.float32)
         again = np.append(False, own[1:] == own[:-1])
         own = np.where(again, np.uint64(SAME), own)
         pairs = own[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         pairs = (pairs ^ (pairs >> np.uint64(29))) >> np.uint64(11)
         ids = np.concatenate([own, pairs]) % np.uint64(BIAS)
         ids = np.sort(ids.astype(np.int32))
-        return ids[np.append(True, ids[1:] != ids[:-1])]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        weight = np.log1p(np.diff(np.append(first, len(ids)))).astype(np.float32)
+        return ids[first], weight / np.sqrt(weight @ weight)
 
 
 def _featurised(rows: DataFrame) -> DataFrame:
@@ -69,16 +71,16 @@ def _featurised(rows: DataFrame) -> DataFrame:
 
         features = Features()
         for batch in common.slices(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": [features(t).tobytes() for t in batch.column("text").to_pylist()]})
+            found = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": [i.tobytes() for i, _ in found], "weights": [w.tobytes() for _, w in found]})
 
-    return rows.mapInArrow(make, "doc_id long, y int, ids binary")
+    return rows.mapInArrow(make, "doc_id long, y int, ids binary, weights binary")
 
 
 def _step(model: ftrl.Ftrl, row: dict, allowed: np.ndarray) -> None:
     ids = np.frombuffer(row["ids"], np.int32)
-    at = np.append(ids[allowed[ids]], BIAS)
-    x = np.full(len(at), 1 / np.sqrt(max(1, len(ids))))
-    x[-1] = 1
+    own = allowed[ids]
+    at, x = np.append(ids[own], BIAS), np.append(np.frombuffer(row["weights"], np.float32)[own], 1.0)
     w = model.weights(at)
     p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
     model.update(at, w, (p - row["y"]) * x)
@@ -107,8 +109,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in common.slices(batches):
             scores, counts = [], []
             for text in batch.column("text").to_pylist():
-                ids = features(text)
-                z = bias + float(table[ids].sum(dtype=np.float64)) / np.sqrt(max(1, len(ids)))
+                ids, weight = features(text)
+                z = bias + float(table[ids] @ weight)
                 scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
                 counts.append(len(ids))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64()), "n_features": pa.array(counts, pa.int32())})
