@@ -212,3 +212,28 @@ def slice_by_organelle(spark, sf):
 def path_names(spark, sf):
     e = table(spark, sf, "events")
     return e.select("event_id", F.format_string("z%04d", "event_id").alias("slice"), F.format_string("iteration_%02d", F.col("event_id") % 120).alias("step"), F.element_at(F.split(F.concat(F.lit("a/b/"), "event_type"), "/"), -1).alias("slug"))
+
+
+@query("SELECT event_id, 'a' AS key, event_id % 5 AS v FROM events UNION ALL SELECT event_id, 'b', 10 FROM events UNION ALL SELECT event_id, 'c', event_id % 3 FROM events")
+def map_merge(spark, sf):
+    """Two maps of settings merged, the right one winning."""
+    n = F.col("event_id")
+    left = F.create_map(F.lit("a"), n % 5, F.lit("b"), n % 7)
+    right = F.create_map(F.lit("b"), F.lit(10).cast("long"), F.lit("c"), n % 3)
+    both = F.map_zip_with(left, right, lambda k, x, y: F.coalesce(y, x))
+    return table(spark, sf, "events").select("event_id", F.explode(both).alias("key", "v"))
+
+
+@query("SELECT event_id, p FROM (SELECT event_id, unnest([0, 1, 3]) AS p FROM events)")
+def removed_indices(spark, sf):
+    """Positions of a list of four without those named for removal (out-of-range ones are ignored)."""
+    held = F.array(*[F.lit(i) for i in range(4)])
+    left = F.filter(held, lambda p, i: ~F.array_contains(F.array(F.lit(2), F.lit(9)), i))
+    return table(spark, sf, "events").select("event_id", F.explode(left).alias("p"))
+
+
+@query("SELECT organelle_key, name, r, g, b, d.n IS NOT NULL AS has_classes FROM (VALUES " + ", ".join(str(o).replace('"', "'") for o in dims.ORGANELLES) + ") o(organelle_key, name, color_name, r, g, b) LEFT JOIN (VALUES " + ", ".join(f"('{k}', {len(v)})" for k, v in dims.FINE_CLASSES.items() if v) + ") d(k, n) ON d.k = organelle_key")
+def organelle_dimension(spark, sf):
+    """The organelles, and which of them have fine classes."""
+    with_classes = dims.fine_classes(spark).select("organelle_key").distinct().withColumn("n", F.lit(1))
+    return dims.organelles(spark).join(with_classes, "organelle_key", "left").select("organelle_key", "name", "r", "g", "b", F.col("n").isNotNull().alias("has_classes"))

@@ -85,3 +85,11 @@ def stream_early_stop(spark, sf):
     names = ["iterations", "converged", "best", "best_i"]
     last = spark.read.parquet(f"{folder}/out").groupBy("run").agg(F.max_by(F.struct(*names), "batch").alias("s"))
     return last.select("run", *[F.col(f"s.{n}").alias(n) for n in names])
+
+
+@query(f"WITH {HISTORY} SELECT run, count(*) AS iterations, max(score) AS best, round(avg(score), 6) AS mean FROM history GROUP BY run")
+def run_summaries(spark, sf):
+    """The JSON of whole runs, parsed again."""
+    lines = reports.run_summary(history(spark, sf))
+    r = lines.select(F.from_json("value", "run long, iterations long, best double, mean double").alias("r"))
+    return r.select("r.run", "r.iterations", "r.best", F.round("r.mean", 6).alias("mean"))

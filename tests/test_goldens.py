@@ -163,3 +163,39 @@ def test_sinc_weights_add_up():
     for out, into in ((5, 8), (16, 8), (8, 8)):
         assert np.allclose(images.windowed_sinc(out, into).sum(axis=1), 1)
     assert np.allclose(images.windowed_sinc(8, 8), np.eye(8))
+
+
+def test_images_of_a_folder(spark, tmp_path):
+    grey, colour = np.arange(6, dtype=np.uint8).reshape(2, 3), np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    (tmp_path / "a.PNG").write_bytes(images.encode_png(grey))
+    (tmp_path / "b.png").write_bytes(images.encode_png(colour))
+    (tmp_path / "c.txt").write_text("no image")
+    found = images.listed(spark, str(tmp_path))
+    assert found.count() == 2
+    rows = {(r.path[-5:], r.y, r.x): (r.r, r.g, r.b) for r in images.pixels_of(found).collect()}
+    assert rows[("a.PNG", 1, 2)] == (5, 5, 5) and rows[("b.png", 1, 0)] == (6, 7, 8) and len(rows) == 10
+
+
+def test_settings(tmp_path):
+    from planestack import config
+
+    (tmp_path / "c.yaml").write_text("z-step: 4\nlora:\n  rank: 8\n  lr-decay: 0.5\n")
+    file = config.load(str(tmp_path / "c.yaml"))
+    assert file == {"z_step": 4, "lora_rank": 8, "lora_lr_decay": 0.5}
+    assert config.merged({"z_step": 1, "roi": None}, file, {"z_step": 2, "lora_rank": None}) == {"z_step": 2, "roi": None, "lora_rank": 8, "lora_lr_decay": 0.5}
+
+
+def test_refinement_loop_climbs(spark):
+    runs = spark.createDataFrame([(1, 3.5)], "run long, start double")
+    rows = refine.refine(runs, lambda run, v: v, lambda run, v: 1 - abs(v - 3.9) / 4, 6, 0.999).orderBy("i").collect()
+    assert [r.i for r in rows] == list(range(1, len(rows) + 1))
+    assert max(r.score for r in rows) > rows[0].score
+    assert all(1.0 <= r.value <= 30.0 for r in rows)
+
+
+def test_multiscale_metadata_without_translation(spark):
+    from planestack.operators import catalog
+
+    js = '{"multiscales":[{"datasets":[{"path":"s0","coordinateTransformations":[{"scale":[4.0,2.0,2.0]}]}]}]}'
+    r = catalog.scales(spark.createDataFrame([("v", js)], "path string, json string")).first()
+    assert (r.scale, r.resolution, r.offset) == ("s0", [4.0, 2.0, 2.0], [0.0, 0.0, 0.0])
