@@ -12,22 +12,25 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of every node in edges (a, b); root is the smallest node reachable.
 
     Each round hooks every node to its smallest neighbour (a minimum per node, combined before the shuffle, so a hub costs one
-    row for each task), follows hooks to the roots, and keeps only the edges between different roots. Tables are written to
-    the shared folder after each step and dropped when the next one stands.
+    row for each task), follows hooks to the roots, and keeps only the edges between different roots. What a round leaves is
+    written to the shared folder, and dropped when the next round stands.
     """
     spark = edges.sparkSession
     edges, at = scratch.materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    def jumped(hooks: DataFrame) -> DataFrame:
+        up = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        return hooks.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+
     roots, roots_at = None, None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "to")
-        hooks, hooks_at = scratch.materialize(both.groupBy("node").agg(F.least("node", F.min("to")).alias("root")), "hooks")
-        while True:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped, jumped_at = scratch.materialize(hooks.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "hooks")
+        first = both.groupBy("node").agg(F.least("node", F.min("to")).alias("root"))
+        hooks, hooks_at = scratch.materialize(jumped(first).select("node", "root"), "hooks")
+        while not jumped(hooks).filter("moved").isEmpty():
+            twice, twice_at = scratch.materialize(jumped(jumped(hooks).select("node", "root")).select("node", "root"), "hooks")
             scratch.drop(spark, hooks_at)
-            hooks, hooks_at = jumped.select("node", "root"), jumped_at
-            if jumped.filter("moved").isEmpty():
-                break
+            hooks, hooks_at = twice, twice_at
         if roots is None:
             roots, roots_at = hooks, hooks_at
         else:
@@ -36,7 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
             scratch.drop(spark, roots_at)
             roots, roots_at = merged, merged_at
         end = lambda c: hooks.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-        left, left_at = scratch.materialize(edges.join(end("a"), "a").join(end("b"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        left = edges.join(end("a"), "a").join(end("b"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        if left.isEmpty():
+            break
+        kept, kept_at = scratch.materialize(left, "edges")
         scratch.drop(spark, at)
-        edges, at = left, left_at
+        edges, at = kept, kept_at
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -199,3 +199,25 @@ def test_multiscale_metadata_without_translation(spark):
     js = '{"multiscales":[{"datasets":[{"path":"s0","coordinateTransformations":[{"scale":[4.0,2.0,2.0]}]}]}]}'
     r = catalog.scales(spark.createDataFrame([("v", js)], "path string, json string")).first()
     assert (r.scale, r.resolution, r.offset) == ("s0", [4.0, 2.0, 2.0], [0.0, 0.0, 0.0])
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    from planestack.operators import graph
+
+    draw = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 501 + i) for i in range(30)] + [(700 + i, 700 + (i + 1) % 9) for i in range(9)]
+    edges += [(int(a), int(b)) for a, b in draw.integers(1000, 1200, (120, 2))] + [(3, 3)]
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
