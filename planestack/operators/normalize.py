@@ -11,7 +11,8 @@ from planestack.functions import pixels
 def auto_norms(values: DataFrame, key: str, value: str, low: float = 1.0, high: float = 99.0) -> DataFrame:
     """key, min, max: exact percentiles of each group, to one decimal (0 and 255 where there is no value).
 
-    The percentile aggregate counts distinct values before the shuffle, so a large group is merged from counts.
+    The exact percentile keeps a count for each distinct value, before and after the shuffle. Raw volumes hold 8 or 16 bits, so a
+    group has 65,536 counts at most however many voxels it has; round wide values first.
     """
     p = values.groupBy(key).agg(F.percentile(F.col(value), F.array(F.lit(low / 100), F.lit(high / 100))).alias("p"))
     return p.select(key, F.coalesce(F.round(F.col("p")[0], 1), F.lit(0.0)).alias("min"), F.coalesce(F.round(F.col("p")[1], 1), F.lit(255.0)).alias("max"))
