@@ -115,6 +115,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _encoded(blocks: DataFrame, path: str) -> DataFrame:
     """block, bucket, lengths and ids (packed) of each block's words in the order of its list; each word is encoded once."""
+    held: dict = {}  # the model, once for all groups of a task
 
     def encode(table):
         import os
@@ -123,10 +124,12 @@ def _encoded(blocks: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        if not held:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
+            held["model"] = Tokenizer.from_file(path)
+        model = held["model"]
         lists = [zstandard.decompress(w).split(b"\n") for w in table.column("words").to_pylist()]
         words = list({w for own in lists for w in own})
         lengths, ids = [], []
@@ -164,14 +167,18 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = _blocks(docs, max(16, -(-size // BUCKET)))
     encoded = _encoded(blocks, path)
+    held: dict = {}  # the id-to-piece table, once for all groups of a task
 
     def place(left, right):
         import numpy as np
         import pyarrow as pa
-        from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        pieces = np.array([(model.id_to_token(i) or "") for i in range(model.get_vocab_size(with_added_tokens=True))], object)
+        if not held:
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_file(path)
+            held["pieces"] = np.array([(model.id_to_token(i) or "") for i in range(model.get_vocab_size(with_added_tokens=True))], object)
+        pieces = held["pieces"]
         of = _unpack(left.column("buckets")[0].as_py()).astype(np.int64)
         lengths, flat = [], []
         for i in np.argsort(right.column("bucket").to_numpy()):
