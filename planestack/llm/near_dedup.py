@@ -400,7 +400,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows, _ = common.materialize(sketches(docs), "sketches")
     linked = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class"))
+    # Written out, so that the join below stands on plain exchanges and a set that very many documents share can be split.
+    classes, classes_at = common.materialize(linked.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class")), "sets")
     of_class, _ = common.materialize(linked.join(classes, ["k1", "k2", "n"]).select("doc_id", "class", F.when(F.col("doc_id") == F.col("class"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("class"), F.col("sketch")).alias("sketch")), "classes")
     firsts = of_class.filter("doc_id = class").dropDuplicates(["doc_id", "sketch"])
     odd = firsts.select("doc_id", "sketch").dropDuplicates(["doc_id"])
@@ -419,7 +420,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         own = own.select("doc_id", F.col("class").alias("root"))
     own = own.groupBy("doc_id").agg(F.min("root").alias("root"))
-    for path in (buckets_at, candidates_at, more_at):
+    for path in (classes_at, buckets_at, candidates_at, more_at):
         common.drop(spark, path)
     result = rows.select("doc_id", "n").join(own, "doc_id", "left")
     return result.select(

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
