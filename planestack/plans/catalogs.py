@@ -185,8 +185,11 @@ def new_instance_ids(spark, sf):
 
 @query("SELECT r.i, coalesce(n, 0) AS n FROM (SELECT unnest(range(200)) AS i) r LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) e ON r.i = e.user_id")
 def fill_missing(spark, sf):
-    e = table(spark, sf, "events").filter("event_type = 'view'").groupBy(F.col("user_id").alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(200).withColumnRenamed("id", "i").join(e, "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts of 0 .. n-1: the 200 positions of the SQL, and all further ones up to the largest id (which the SQL leaves out)."""
+    events = table(spark, sf, "events")
+    n = max(200, (events.agg(F.max("user_id")).first()[0] or 0) + 1)
+    e = events.filter("event_type = 'view'").groupBy(F.col("user_id").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.range(n).withColumnRenamed("id", "i").join(e, "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT a.event_id AS point, b.event_id AS background FROM events a JOIN events b USING (user_id) WHERE a.event_type = 'purchase' AND b.event_type = 'error' AND a.event_id % 5 = 0")
