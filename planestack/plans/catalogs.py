@@ -199,6 +199,31 @@ def background_to_instances(spark, sf):
     return a.join(e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("background")), "user_id").select("point", "background")
 
 
+@query(
+    """WITH p AS (SELECT user_id, list(event_id ORDER BY event_id) AS points FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+b AS (SELECT user_id, list(event_id ORDER BY event_id) AS background FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT user_id, unnest(points) AS event_id, 'point' AS role FROM p JOIN b USING (user_id) UNION ALL SELECT user_id, unnest(background), 'background' FROM p JOIN b USING (user_id)"""
+)
+def background_to_all_instances(spark, sf):
+    """Every point and every background of each user with both: all pairs by membership, one row for each event."""
+    e = table(spark, sf, "events").filter("event_type IN ('purchase', 'error')")
+    both = e.groupBy(F.col("user_id").alias("u")).agg(F.count_if(F.col("event_type") == "purchase").alias("p"), F.count_if(F.col("event_type") == "error").alias("b")).filter("p > 0 AND b > 0").select("u")
+    role = F.when(F.col("event_type") == "purchase", "point").otherwise("background")
+    return e.join(both, F.col("user_id") == F.col("u")).select("user_id", "event_id", role.alias("role"))
+
+
+@query(
+    """SELECT 'union' AS op, doc_id FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)
+UNION ALL SELECT 'intersect', doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'except', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)"""
+)
+def set_ops_all(spark, sf):
+    """The set operations on all documents."""
+    d, lab = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id")
+    tag = lambda df, op: df.select(F.lit(op).alias("op"), "doc_id")
+    return tag(d.union(lab).distinct(), "union").unionByName(tag(d.intersect(lab), "intersect")).unionByName(tag(d.subtract(lab), "except"))
+
+
 @query("SELECT a.doc_id, a.source, b.quality FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) a JOIN (SELECT quality, doc_id AS i FROM labels) b USING (i)")
 def zip_by_ordinal(spark, sf):
     i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
