@@ -3,7 +3,10 @@
 Tokens are added up in cells of source, language and topic. Each marginal in turn is raked: the weights of its values are
 scaled so that the weighted tokens meet the targets, until the cells fit all three. A document of a cell is then kept with a
 probability in proportion to its cell's weight, found against a hash of its id, so a run can be repeated and any executor
-decides alike. The kept share is set so that the expected tokens are KEEP of all; a probability over 1 is cut to 1.
+decides alike. The kept share is set so that the expected tokens are KEEP of all; a probability over 1 is cut to 1, and the
+others are scaled up by one factor without raking again. So the sample misses the raked marginals where cells are cut. A value
+whose target is over 1 / KEEP times its share of the input can't meet it at this KEEP: it has too few tokens. op4_shares tells
+the target and the reached share of each value.
 
 The target of a value is its share of tokens to the power TEMPER, normalised, which evens out a dominant source. The topic is
 the form of the text (a table, shouting, symbols, repeated words, prose), as no subject column exists.
@@ -26,6 +29,8 @@ MARGINALS = ["source", "lang", "topic"]
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 KEEP = 0.8
 ROUNDS = 6
+#: Columns of the report on marginals.
+SHARES = ["input", "target", "expected", "kept"]
 #: Cells up to which their table is sent to all tasks, so that texts needn't be shuffled.
 FEW_CELLS = 20_000
 #: Values of the hash that decides: a document is kept if its hash is below its probability times this.
@@ -130,6 +135,25 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *MARGINALS, "tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept")
 
 
+def shares(rows: DataFrame) -> DataFrame:
+    """marginal, value, input, target, expected, kept: shares of each value in the tokens of decided rows and of their sample."""
+    out = None
+    for column, power in TEMPER.items():
+        t = F.col("tokens")
+        by = rows.groupBy(F.col(column).alias("value")).agg(F.sum(t).alias("input"), F.sum(t * F.col("p")).alias("expected"), F.sum(F.when(F.col("kept"), t).otherwise(0)).alias("kept"))
+        by = by.filter("input > 0").withColumn("target", F.pow(F.col("input").cast("double"), F.lit(power)))
+        total = by.agg(*[F.sum(c).alias(f"all_{c}") for c in SHARES])
+        by = by.crossJoin(F.broadcast(total))  # one row
+        by = by.select(F.lit(column).alias("marginal"), "value", *[F.round(F.col(c) / F.col(f"all_{c}"), 4).alias(c) for c in SHARES])
+        out = by if out is None else out.unionByName(by)
+    return out
+
+
+def op4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = common.materialize(decided(common.documents(spark, sf_dir)).select(*MARGINALS, "tokens", "p", "kept"), "shares")
+    return shares(rows)
+
+
 def _sql() -> str:
     t = "coalesce(text, '')"
     has = lambda s: f"contains({t}, '{s}')"
@@ -166,3 +190,13 @@ FROM d LEFT JOIN p4 q ON d.source IS NOT DISTINCT FROM q.source AND d.lang IS NO
 
 
 OP4_SQL = _sql()
+
+
+def _shares_sql() -> str:
+    one = lambda c: f"""SELECT '{c}' AS marginal, {c} AS value, sum(tokens) AS input, pow(sum(tokens), {TEMPER[c]}) AS target,
+    sum(tokens * p) AS expected, coalesce(sum(tokens) FILTER (kept), 0) AS kept FROM r GROUP BY {c} HAVING sum(tokens) > 0"""
+    share = ", ".join(f"round(({c} / sum({c}) OVER (PARTITION BY marginal))::DOUBLE, 4) AS {c}" for c in SHARES)
+    return f"WITH r AS ({OP4_SQL}) SELECT marginal, value, {share} FROM ({' UNION ALL '.join(one(c) for c in TEMPER)})"
+
+
+OP4_SHARES_SQL = _shares_sql()

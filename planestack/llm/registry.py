@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeats": repeats.op2_repeats,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_mixing": mixing.op4_mixing,
+        "op4_shares": mixing.op4_shares,
         "op5_secrets": secrets.op5_secrets,
         "op6_nearest": ann.op6_nearest,
         "op7_bpe": bpe.op7_bpe,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op8_url_filter": url_filter.OP8_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op4_shares": mixing.OP4_SHARES_SQL, "op8_url_filter": url_filter.OP8_SQL}
