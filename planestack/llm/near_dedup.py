@@ -20,6 +20,7 @@ left out (near_duplicates) or kept (deduplicate).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,8 @@ PART, LEAST = 100, 80
 BANDS, ROWS, BITS = 32, 4, 512
 #: Differing sketch bits up to which a pair is looked at: six deviations above the mean at similarity 0.8.
 MOST_BITS = 96
+#: Bits of a hash (32 at most) when a bucket's remaining pairs are compared.
+SHORT = 32
 #: Members of a chunk when a bucket's remaining pairs are compared.
 BLOCK = 512
 #: Bits of the filter that spares documents without a candidate the second pass; beyond its capacity it only spares fewer.
@@ -240,9 +243,10 @@ def _filter(ids: DataFrame):
 
 
 def _sets(docs: DataFrame, ids: DataFrame, short: bool = False) -> DataFrame:
-    """doc_id, set (sorted hashes of 64 bits, or of 32) of the documents with these ids, and perhaps of more, made anew."""
+    """doc_id, set (sorted hashes of 64 bits, or of SHORT), n (of 64 bits) of the documents with these ids, and perhaps more."""
     import numpy as np
 
+    low = np.uint64((1 << SHORT) - 1)
     bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
 
     def run(batches: Iterator) -> Iterator:
@@ -257,11 +261,12 @@ def _sets(docs: DataFrame, ids: DataFrame, short: bool = False) -> DataFrame:
             return held[at >> 3] >> (7 - (at & 7)) & 1
 
         for found_ids, found in _chunks(batches, wanted):
+            n = [len(s) for s in found]
             if short:
-                found = [np.unique(s.astype(np.uint32)) for s in found]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(found_ids, pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
+                found = [np.unique((s & low).astype(np.uint32)) for s in found]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(found_ids, pa.int64()), "set": pa.array([s.tobytes() for s in found], pa.binary()), "n": pa.array(n, pa.int64())})
 
-    return _raw(docs).mapInArrow(run, "doc_id long, set binary")
+    return _raw(docs).mapInArrow(run, "doc_id long, set binary, n long")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -325,11 +330,12 @@ def _joined(docs: DataFrame, candidates: DataFrame, roots: DataFrame | None) ->
         many *= 8
 
 
-def _across(docs: DataFrame, buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _across(docs: DataFrame, buckets: DataFrame, roots: DataFrame | None, refused: DataFrame | None = None, many: int = 1) -> DataFrame:
     """Candidates (a, b, bits) across components within buckets (key, id, centre, size) that hold several.
 
-    All pairs across the components of a bucket are compared inside tasks, on sets of 32-bit hashes, which can only show too
-    many common shingles; of the pairs similar enough, one for each two components leaves a block.
+    All pairs across the components of a bucket are compared inside tasks, on sets of 32-bit hashes. Collisions hide common
+    shingles, at most as many as the smaller loss of the two sets, by which the bound is loosened. Of the pairs similar enough,
+    `many` for each two components leave a block, none of them in `refused` (a, b).
     """
     # Buckets with the same members, as copies have in many bands, count once.
     same = buckets.filter("size > 2").groupBy("key", "centre", "size").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
@@ -356,37 +362,45 @@ def _across(docs: DataFrame, buckets: DataFrame, roots: DataFrame | None) -> Dat
     places = F.when(F.col("apart"), F.concat(with_main, with_rest)).otherwise(F.transform(upto(F.greatest(F.col("rests"), F.lit(1))), lambda r: block(F.lit("m"), chunk, r)))
     rows = rows.withColumn("at", F.explode(F.transform(places, lambda p: F.xxhash64("key", p)))).select("at", "id", "own", "apart")
 
-    sets = _sets(docs, rows.select("id").distinct(), True).select(F.col("doc_id").alias("id"), "set").dropDuplicates(["id"])
-    rows = rows.join(sets, "id").repartition(F.col("at")).sortWithinPartitions("at").select("at", "id", "own", "apart", "set")
+    sets = _sets(docs, rows.select("id").distinct(), True).select(F.col("doc_id").alias("id"), "set", "n").dropDuplicates(["id"])
+    if refused is not None:
+        no = refused.select(F.col("a").alias("id"), "b").union(refused.select("b", "a")).groupBy("id").agg(F.collect_set("b").alias("no"))
+        sets = sets.join(no, "id", "left")
+    else:
+        sets = sets.withColumn("no", F.lit(None).cast("array<bigint>"))
+    rows = rows.join(sets, "id").repartition(F.col("at")).sortWithinPartitions("at").select("at", "id", "own", "apart", "set", "n", "no")
 
     def screen(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for _, held in common.runs(batches, "at", ["id", "own", "apart", "set"]):
+        for _, held in common.runs(batches, "at", ["id", "own", "apart", "set", "n", "no"]):
             ids, own, apart = held["id"].astype(np.int64), held["own"].astype(np.int64), held["apart"].astype(bool)
             if len(np.unique(own)) < 2:
                 continue
             sets = [np.frombuffer(s, np.uint32) for s in held["set"]]
-            sizes = np.array([len(s) for s in sets])
+            sizes, n = np.array([len(s) for s in sets]), held["n"].astype(np.int64)
+            loss = n - sizes
             known, flat = np.unique(np.concatenate(sets), return_inverse=True)
             starts = np.cumsum(sizes) - sizes
             mark = np.zeros(len(known), np.int32)
             main = not apart.all()
-            done, out = set(), ([], [], [])
+            done, out = Counter(), ([], [], [])
             for i in np.flatnonzero(apart):
                 fits = (own != own[i]) & (~apart if main else np.arange(len(ids)) > i)
-                fits &= PART * np.minimum(sizes, sizes[i]) >= LEAST * np.maximum(sizes, sizes[i])
+                fits &= PART * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i])
+                if held["no"][i] is not None:
+                    fits &= ~np.isin(ids, held["no"][i])
                 if not fits.any():
                     continue
                 mine = flat[starts[i] : starts[i] + sizes[i]]
                 mark[mine] = 1
-                shared = np.add.reduceat(mark[flat], starts)
+                shared = np.add.reduceat(mark[flat], starts) + np.minimum(loss, loss[i])
                 mark[mine] = 0
-                for j in np.flatnonzero(fits & (PART * shared >= LEAST * (sizes + sizes[i] - shared))):
+                for j in np.flatnonzero(fits & (PART * shared >= LEAST * (n + n[i] - shared))):
                     ends = (min(own[i], own[j]), max(own[i], own[j]))
-                    if ends not in done:
-                        done.add(ends)
+                    if done[ends] < many:
+                        done[ends] += 1
                         for column, value in zip(out, (min(ids[i], ids[j]), max(ids[i], ids[j]), 0), strict=True):
                             column.append(value)
             if out[0]:
@@ -411,8 +425,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = buckets.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     candidates, candidates_at = common.materialize(_screened(pairs, odd), "candidates")
     roots = _joined(docs, candidates, None)
-    more, more_at = common.materialize(_across(docs, buckets, roots), "more")
-    roots = _joined(docs, more, roots)
+    # A refused pair may stand before a true one of the same two components: blocks are repeated without it.
+    refused, many, spent = None, 1, []
+    while True:
+        more, at = common.materialize(_across(docs, buckets, roots, refused, many), "more")
+        spent.append(at)
+        roots = _joined(docs, more, roots)
+        apart = _labelled(more, roots).filter("la <> lb").select("a", "b")
+        if apart.isEmpty():
+            break
+        refused, at = common.materialize(apart if refused is None else refused.union(apart), "refused")
+        spent.append(at)
+        many *= 8
     # From the classes' components to the documents: the class of a document, its root, and the classes that share an id.
     own = of_class.select("doc_id", "class").distinct()
     if roots is not None:
@@ -420,7 +444,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         own = own.select("doc_id", F.col("class").alias("root"))
     own = own.groupBy("doc_id").agg(F.min("root").alias("root"))
-    for path in (classes_at, buckets_at, candidates_at, more_at):
+    for path in (classes_at, buckets_at, candidates_at, *spent):
         common.drop(spark, path)
     result = rows.select("doc_id", "n").join(own, "doc_id", "left")
     return result.select(
