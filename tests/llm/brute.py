@@ -38,9 +38,9 @@ def shingles(text, k=4):
     return frozenset([tuple(words)]) if words else frozenset()
 
 
-def near(rows):
+def near(rows, k=4):
     """{doc_id: text} -> {doc_id: (n_shingles, component)}"""
-    sets = {i: shingles(t) for i, t in rows.items()}
+    sets = {i: shingles(t, k) for i, t in rows.items()}
     root = {i: i for i in rows}
 
     def find(i):

@@ -87,7 +87,7 @@ def test_near_duplicates(spark, texts):
     rows |= {20_000: "One two three", 20_001: "one TWO\tthree", 20_002: "one two", 20_003: None, 20_004: " "}
     df = spark.createDataFrame([(i, t, "k") for i, t in rows.items()], "doc_id long, text string, bands string")
     want = brute.near(rows)
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(df).collect()}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(df, 4).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
@@ -98,7 +98,7 @@ def test_near_duplicates_in_small_blocks(spark, texts, monkeypatch):
     rows = dict(texts)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     want = brute.near(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 4).collect()} == want
 
 
 SECRETS = [
@@ -229,7 +229,7 @@ def test_pipeline(spark, tmp_path):
             assert docs.join(before, "doc_id", "left_anti").isEmpty()
         if name == "near_dedup":
             rows = {r.doc_id: r.text for r in before.collect()}
-            firsts = {i for i, (_, root) in brute.near(rows).items() if root == i}
+            firsts = {i for i, (_, root) in brute.near(rows, 5).items() if root == i}
             assert {r.doc_id for r in docs.select("doc_id").collect()} == firsts
         if name == "secrets":
             assert docs.count() == before.count()
