@@ -1,10 +1,6 @@
 """Queries over all of their rows, where ids go beyond those of the smallest tables."""
 
-import numpy as np
-
-from planestack.llm import mixing, near_dedup
 from planestack.plans import registry
-from tests.llm import brute
 
 
 def saved(spark, tmp_path, name, rows, schema):
@@ -30,27 +26,3 @@ def test_set_operations_take_all_documents(spark, tmp_path):
     sf = saved(spark, tmp_path, "labels", [(i,) for i in (2, 3, 9)], "doc_id long")
     got = {(r.op, r.doc_id) for r in registry.queries()["set_ops_all"](spark, sf).collect()}
     assert got == {("union", i) for i in (1, 2, 3, 4, 9)} | {("intersect", i) for i in (2, 3)} | {("except", i) for i in (1, 4)}
-
-
-def test_shares_tell_a_target_that_is_missed(spark):
-    docs = [(i, "a", "en", "w " * 10) for i in range(400)] + [(1000 + i, "b", "es", "w " * 10) for i in range(4)]
-    rows = mixing.decided(spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")).cache()
-    got = {(r.marginal, r.value): r for r in mixing.shares(rows).collect()}
-    b = got["source", "b"]
-    assert rows.filter("source = 'b' AND p < 1").isEmpty()
-    assert abs(b.input - 4 / 404) < 1e-4 and abs(b.target - 4**0.7 / (4**0.7 + 400**0.7)) < 1e-4
-    assert abs(b.expected - 4 / (0.8 * 404)) < 1e-3 and b.expected < b.target
-
-
-def test_near_duplicates_with_colliding_short_hashes(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SHORT", 8)
-    draw = np.random.default_rng(5)
-    base, rows = [f"v{i}" for i in range(260)], {}
-    for i in range(60):
-        words = list(base)
-        for at in draw.choice(len(words), 3 + i // 6, replace=False):
-            words[at] = f"w{i}x{at}"
-        rows[i] = " ".join(words)
-    want = {i: root for i, (_, root) in brute.near(rows).items()}
-    got = near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
