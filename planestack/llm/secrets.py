@@ -25,8 +25,10 @@ from planestack.llm import common
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "id", "key", "endpoint"]
 SCOPE = 240
-#: Pieces of a text that are added up at a time.
+#: Pieces of a text that are added up at a time, at least.
 RUN = 64
+#: Code points of the stretches into which a text is cut before spans are taken out of it.
+STRETCH = 4096
 #: Patterns with two groups: all that stands before the value, and the value.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA)([A-Z0-9]{12,})"
@@ -36,30 +38,40 @@ EMAIL = r"()((?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9.-]+)"
 ENDPOINT = r"""()(https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.]))"""
 
 
+def _let(value: F.Column, use) -> F.Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _found(text: F.Column, pattern: str) -> F.Column:
     """array<struct<start,end,value>> of the matches, value being the length of the second group.
 
-    The pieces between marks are outside and inside of matches in turn. Their lengths are added up in runs of RUN pieces, so
-    that the cost stays near linear in the number of matches.
+    The pieces between marks are outside and inside of matches in turn. They are split once and added up in runs whose length
+    is the root of their number (RUN at least), so no step looks at all pieces more than once.
     """
-    pieces = F.split(F.regexp_replace(text, pattern, "\x01$1\x02$2\x01"), "\x01", -1)
     none = F.array().cast("array<struct<start:int,end:int,value:int>>")
-    runs = F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(RUN)), lambda a: F.slice(pieces, a, RUN))
 
     def width(piece: F.Column) -> F.Column:
         """Length without the mark between the groups, which no piece outside of a match has."""
         return F.length(piece) - F.when(piece.contains("\x02"), 1).otherwise(0)
 
-    sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, p: n + width(p)))
-    begins = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
-
     def add(state: F.Column, piece: F.Column) -> F.Column:
         end = state["at"] + width(piece)
         own = F.struct(state["at"].alias("start"), end.alias("end"), F.length(F.substring_index(piece, "\x02", -1)).alias("value"))
         return F.struct(end.alias("at"), F.when(piece.contains("\x02"), F.concat(state["spans"], F.array(own))).otherwise(state["spans"]).alias("spans"))
 
-    of_run = lambda r, begin: F.aggregate(r, F.struct(begin.alias("at"), none.alias("spans")), add, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), F.flatten(F.zip_with(runs, begins, of_run))).otherwise(none)
+    def of_runs(runs: F.Column) -> F.Column:
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, p: n + width(p)))
+        begins = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
+        of_run = lambda r, begin: F.aggregate(r, F.struct(begin.alias("at"), none.alias("spans")), add, lambda s: s["spans"])
+        return F.flatten(F.zip_with(runs, begins, of_run))
+
+    def of_pieces(pieces: F.Column) -> F.Column:
+        run = F.greatest(F.lit(RUN), F.floor(F.sqrt(F.size(pieces))).cast("int"))
+        cut = _let(run, lambda n: F.transform(F.sequence(F.lit(1), F.size(pieces), n), lambda a: F.slice(pieces, a, n)))
+        return F.when(F.size(pieces) > 1, _let(cut, of_runs)).otherwise(none)
+
+    return _let(F.split(F.regexp_replace(text, pattern, "\x01$1\x02$2\x01"), "\x01", -1), of_pieces)
 
 
 def _joined(spans: F.Column) -> F.Column:
@@ -101,7 +113,7 @@ def parts(docs: DataFrame) -> DataFrame:
 def _linked(rows: DataFrame) -> DataFrame:
     """_k1, _k2 and `added`: the weak candidates that have their partners."""
     role = F.when(F.col("kind").isin(1, 3), "i").when(F.col("kind").isin(0, 2, 4), "s").otherwise("e")
-    spans = rows.filter(F.size("parts") > 1).select("_k1", "_k2", F.explode(F.array_distinct("parts")).alias("p")).select("_k1", "_k2", "p.*").distinct().withColumn("role", role)
+    spans = rows.filter(F.size("parts") > 1).select("_k1", "_k2", F.explode("parts").alias("p")).select("_k1", "_k2", "p.*").distinct().withColumn("role", role)
     # A span reaches the bins from its start to its end; long ones reach several.
     bins = F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)))
     held = spans.withColumn("bin", bins).groupBy("_k1", "_k2", "bin", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
@@ -132,24 +144,42 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
+def _stretches(text: F.Column) -> F.Column:
+    """The text in stretches of STRETCH code points, by way of pieces of 64 stretches (a substring is sought from the start)."""
+    wide = 64 * STRETCH
+    upto = lambda n, step: F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
+    pieces = F.transform(upto(F.length(text), wide), lambda a: F.substring(text, a + 1, F.lit(wide)))
+    return F.flatten(F.transform(pieces, lambda p: F.transform(upto(F.length(p), STRETCH), lambda a: F.substring(p, a + 1, F.lit(STRETCH)))))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span (overlapping ones together) replaced by [kind]; n_chars follows the text. Other columns stay."""
-    spans = find(docs).select("_k1", "_k2", F.array_sort("spans").alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["_k1", "_k2"])
+    from pyspark.sql import Window
+
+    found = find(docs).select("_k1", "_k2", "spans").filter(F.size("spans") > 0).dropDuplicates(["_k1", "_k2"])
+    # Spans that begin before the end of an earlier one are part of it.
+    earlier = Window.partitionBy("_k1", "_k2").orderBy("s.start", "s.kind", "s.end").rowsBetween(Window.unboundedPreceding, -1)
+    each = found.select("_k1", "_k2", F.explode("spans").alias("s")).withColumn("from", F.coalesce(F.max("s.end").over(earlier), F.lit(0)))
+    cut = F.when(F.col("s.start") >= F.col("from"), F.struct("from", F.col("s.start").alias("to"), F.col("s.kind").alias("kind")))
+    spans = each.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max("s.end").alias("at"))
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     text = F.col("row.text")
 
-    # Spans that begin before the end of an earlier one are part of it: the ends so far are kept as a running maximum.
-    def add(state: F.Column, s: F.Column) -> F.Column:
-        own = F.struct(state["at"].alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["cuts"], F.array(own))).otherwise(state["cuts"]).alias("cuts"))
+    def between(parts: F.Column, a: F.Column, b: F.Column) -> F.Column:
+        """The text from a up to b, out of its stretches."""
+        first, last = F.floor(a / STRETCH).cast("int"), F.floor(b / STRETCH).cast("int")
+        piece = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        head = F.substring(piece(first), a - first * STRETCH + 1, F.lit(STRETCH))
+        tail = F.substring(piece(last), F.lit(1), b - last * STRETCH)
+        inner = F.array_join(F.slice(parts, first + 2, last - first - 1), "")
+        return F.when(first == last, F.substring(piece(first), a - first * STRETCH + 1, b - a)).otherwise(F.concat(head, inner, tail))
+
+    def without(parts: F.Column) -> F.Column:
+        pieces = F.transform("cuts", lambda c: F.concat(between(parts, c["from"], c["to"]), F.element_at(kinds, c["kind"] + 1)))
+        return F.concat(F.array_join(pieces, ""), between(parts, F.col("at"), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,kind:int>>").alias("cuts"))
-    done = F.aggregate("spans", start, add)
-    pieces = F.transform("done.cuts", lambda c: F.concat(F.substring(text, c["from"] + 1, c["to"] - c["from"]), F.element_at(kinds, c["kind"] + 1)))
-    clean = F.concat(F.array_join(pieces, ""), F.substring(text, F.col("done.at") + 1, F.length(text)))
     rows = _keys(common.boxed(docs), "row.doc_id", "row.text").join(spans, ["_k1", "_k2"], "left")
-    rows = rows.withColumn("done", F.when(F.col("spans").isNotNull(), done))
-    rows = rows.select("row", F.when(F.col("spans").isNotNull(), clean).alias("clean"))
+    rows = rows.select("row", F.when(F.col("cuts").isNotNull(), _let(_stretches(text), without)).alias("clean"))
     new = F.col("row").withField("text", F.coalesce("clean", text))
     if "n_chars" in docs.columns:
         new = new.withField("n_chars", F.when(F.col("clean").isNotNull(), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))

@@ -65,6 +65,25 @@ def base_spans(text):
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
 
 
+def all_spans(text, scope=240):
+    """Base spans and the weak ones whose complementary parts stand within the scope, compared pair by pair."""
+    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    named = r"""(?:user(?:name|_?id)?|login|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=@-]{3,}"""
+    weak = {(m.start(), 3, m.end()) for m in re.finditer(named, text, re.I | re.A)}
+    weak |= {(m.start(), 3, m.end()) for m in re.finditer(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9.-]+", text)}
+    weak |= {(m.start(), 4, m.end()) for m in ASSIGN.finditer(text) if 4 <= len(m[2]) <= 7}
+    endpoint = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])"
+    weak |= {(m.start(), 5, m.end()) for m in re.finditer(endpoint, text)}
+    role = {0: "s", 1: "i", 2: "s", 3: "i", 4: "s", 5: "e"}
+    needs = {3: {"s"}, 4: {"i"}, 5: {"i", "s"}}
+    near = lambda w, p: p[0] <= w[2] + scope and p[2] >= w[0] - scope
+    every = [*base, *weak]
+    linked = [w for w in weak if needs[w[1]] <= {role[p[1]] for p in every if near(w, p)}]
+    return sorted([*base, *linked])
+
+
 def nearest(ids, x, queries, k):
     out = {}
     for q in queries:
