@@ -57,8 +57,8 @@ def training_rows(
 ) -> DataFrame:
     """doc_id, text and y (0 or 1) of at most `most` labelled training rows, those with the smallest hash of doc_id.
 
-    Null labels or ids are left out; of several labels for one id the largest counts. The ids are picked first, so that
-    only `most` short rows meet; their texts follow by a join whose small side has that bound.
+    Null labels or ids are left out; of several labels for one id the largest counts, of several texts the smallest. The ids
+    are picked first, so that only `most` short rows meet; their texts follow by a join whose small side has that bound.
     """
     ids = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train)
@@ -67,7 +67,7 @@ def training_rows(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def crc_remainder(of: int) -> F.Column:

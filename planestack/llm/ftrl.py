@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 PARTITIONS = 6
 #: A partition makes at least so many updates a round: small samples are gone over more often.
 LEAST = 1500
-#: Features in no larger part of a partition's rows are passed over.
-RARE = 0.001
 
 
 class Ftrl:
@@ -41,7 +39,7 @@ class Ftrl:
 
 def train(
     sample: DataFrame,
-    step: Callable[[Ftrl, dict, np.ndarray], None],
+    step: Callable[[Ftrl, dict], None],
     size: int,
     rounds: int,
     start: dict[int, float] | None = None,
@@ -50,9 +48,8 @@ def train(
 ) -> np.ndarray:
     """Weights after `rounds` rounds of `passes` passes or more each.
 
-    `step` makes the updates for one row of the sample (a dict of its columns) on the features that a mask allows: those in
-    more than RARE of a partition's rows, counting `ids`. start: the first z of some coordinates, which are always allowed.
-    Only the coordinates that a partition has touched come back.
+    `step` makes the updates for one row of the sample (a dict of its columns). start: the first z of some coordinates. Only the
+    coordinates that a partition has touched come back, `size` at most; which of them get a weight is up to l1.
     """
     spark = sample.sparkSession
     z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
@@ -73,10 +70,8 @@ def train(
             model = Ftrl(size, **settings)
             model.z[at], model.n[at] = z0, n0
             before = model.n.copy()
-            allowed = np.bincount(np.concatenate([np.unique(np.frombuffer(r["ids"], np.int32)) for r in rows]), minlength=size) > RARE * len(rows)
-            allowed[fixed] = True
             for row in rows * max(passes, -(-LEAST // len(rows))):
-                step(model, row, allowed)
+                step(model, row)
             own = np.flatnonzero(model.n != before).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {"rows": [len(rows)], "at": [own.tobytes()], "z": [model.z[own].astype(np.float32).tobytes()], "n": [model.n[own].astype(np.float32).tobytes()]}

@@ -77,10 +77,9 @@ def _featurised(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, y int, ids binary, weights binary")
 
 
-def _step(model: ftrl.Ftrl, row: dict, allowed: np.ndarray) -> None:
+def _step(model: ftrl.Ftrl, row: dict) -> None:
     ids = np.frombuffer(row["ids"], np.int32)
-    own = allowed[ids]
-    at, x = np.append(ids[own], BIAS), np.append(np.frombuffer(row["weights"], np.float32)[own], 1.0)
+    at, x = np.append(ids, BIAS), np.append(np.frombuffer(row["weights"], np.float32), 1.0)
     w = model.weights(at)
     p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
     model.update(at, w, (p - row["y"]) * x)

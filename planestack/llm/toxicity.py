@@ -2,7 +2,7 @@
 
 A sentence has the probability sigmoid(w.x + b) over its hashed distinct words and word beginnings (3 to 6 letters, so that the
 inflected forms of a stem share weight); a document combines its sentences by noisy-or, 1 - prod(1 - p). Training follows the gradient of the document's log-loss into every sentence (FTRL-proximal), so the
-sentences that make a document toxic are located without any sentence label.
+sentences that make a document toxic are located without any sentence label. No feature is left out; l1 keeps most at 0.
 
 Defined results: a null or empty text, or one without words, has no sentence and scores 0. Repeated rows are scored each for
 itself. Further columns are left out.
@@ -70,13 +70,13 @@ def _featurised(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, y int, ids binary, counts binary")
 
 
-def _step(model: ftrl.Ftrl, row: dict, allowed: np.ndarray) -> None:
+def _step(model: ftrl.Ftrl, row: dict) -> None:
     ids, counts = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["counts"], np.int32)
     if not len(counts):
         return
     at, where = np.unique(ids, return_inverse=True)
     at = np.append(at, BIAS)
-    w = np.where(allowed[at], model.weights(at), 0.0)
+    w = model.weights(at)
     starts = np.cumsum(counts) - counts
     score = np.add.reduceat(w[where], starts) + w[-1]
     p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
@@ -85,8 +85,7 @@ def _step(model: ftrl.Ftrl, row: dict, allowed: np.ndarray) -> None:
     toxic = max(-np.expm1(log_clean), 1e-9)
     slope = -clean / toxic * p if row["y"] else p
     g = np.append(np.bincount(where, np.repeat(slope, counts), len(at) - 1), slope.sum())
-    own = allowed[at]
-    model.update(at[own], w[own], g[own])
+    model.update(at, w, g)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: F.Column | None = None, most: int = MOST) -> np.ndarray:
@@ -100,10 +99,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: F.
     return weights
 
 
+def _located(spans: list[tuple], threshold: float) -> list[tuple]:
+    """The spans (start, end, p) at or over the threshold, and more, the likeliest first, until all reach it by noisy-or."""
+    kept, clean = [], 1.0
+    for span in sorted(spans, key=lambda s: (-s[2], s[0])):
+        if span[2] < threshold and 1 - clean >= threshold:
+            break
+        kept.append(span)
+        clean *= 1 - span[2]
+    return sorted(kept)
+
+
+def _span(start: int, end: int, p: float, place: np.ndarray | None) -> dict:
+    if place is not None:
+        start, end = int(np.searchsorted(place, start, "right")), int(np.searchsorted(place, end - 1, "right")) + 1
+    return {"start": start, "end": end, "score": float(p)}
+
+
 def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """row, score, sentences: array of (start, end, score) of the sentences at or over the threshold.
+    """row, score, sentences: array of (start, end, score), in the order of the text.
 
-    rows: boxed documents. Positions are code points; they are null where lower case has another length.
+    sentences: those at or over the threshold; if a document is over it with none of these enough, also the fewest others, the
+    likeliest first, whose noisy-or reaches the threshold together. So each document over the threshold has some. rows: boxed
+    documents. Positions are code points of the text itself.
     """
     at = np.flatnonzero(weights)
     shared = rows.sparkSession.sparkContext.broadcast((at, weights[at]))
@@ -122,7 +140,9 @@ def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
                 log_clean, spans = 0.0, []
                 text = text or ""
                 low = text.lower()
-                same = len(low) == len(text)
+                place = None  # where lower case has another length: the end of each character in it
+                if len(low) != len(text):
+                    place = np.cumsum([len(c.lower()) for c in text])
                 quiet = 0
                 for m in SENTENCE.finditer(low):
                     words = set(WORD.findall(m[0]))
@@ -145,11 +165,10 @@ def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
                     total += sum(seen.values())
                     p = 1 / (1 + np.exp(-min(30.0, max(-30.0, total))))
                     log_clean += np.log1p(-min(p, 1 - 1e-12))
-                    if p >= threshold:
-                        spans.append((m.start(), m.end(), p) if same else (None, None, p))
+                    spans.append((m.start(), m.end(), p))
                 log_clean += quiet * np.log1p(-1 / (1 + np.exp(-min(30.0, max(-30.0, bias)))))
                 scores.append(float(-np.expm1(log_clean)))
-                found.append([{"start": a, "end": b, "score": float(p)} for a, b, p in spans])
+                found.append([_span(a, b, p, place) for a, b, p in _located(spans, threshold)] if scores[-1] >= threshold else [])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64()), pa.array(found, kind)], ["row", "score", "sentences"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, sentences array<struct<start:int,end:int,score:double>>")
