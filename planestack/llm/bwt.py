@@ -34,15 +34,15 @@ def sorted_rotations(symbols: np.ndarray, length: int) -> np.ndarray:
         have *= 2
 
 
-def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marked: np.ndarray | None = None, step: int = 1, prefixes: bool = True):
+def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marked: np.ndarray | None = None, step: int = 1):
     """(place, group, prefix) after rounds over the shards' transforms that reach `length` symbols.
 
     place: for each merged rank, its index in the concatenated shards' orders; group: number of the interval of rotations that
     agree in their first `length` symbols; prefix: common symbols with the rank before (`length` if that many or more), rounded
-    down to a multiple of step (left at `length` without prefixes). step: symbols that a round goes on by, 1 or 2 (transforms then hold pairs of symbols; at most
+    down to a multiple of step. step: symbols that a round goes on by, 1 or 2 (transforms then hold pairs of symbols; at most
     256 different symbols, and an even length).
     marked: which rotations count (in the order of the concatenated orders); if no interval holds two of them, the rounds end
-    early and group tells every rank apart.
+    early: group tells every rank apart, and prefixes are those of the rounds that were made.
     """
     sizes = np.array([len(s) for s in shards])
     n = int(sizes.sum())
@@ -58,6 +58,7 @@ def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marke
     group = np.zeros(n, np.int32)
     prefix = np.full(n, length, np.uint8)
     prefix[:1] = 0
+    known = np.zeros(max(0, n - 1), bool)  # neighbours that have been told apart
     read = np.empty(n, kind)
     place = np.argsort(interleave, kind="stable")
     for turn in range(length // step):
@@ -67,14 +68,16 @@ def merge(shards: list[np.ndarray], orders: list[np.ndarray], length: int, marke
         apart = (symbols[1:] != symbols[:-1]) | (groups[1:] != groups[:-1])
         interleave = interleave[dealt]
         np.cumsum(apart, out=group[1:])
-        if prefixes:
-            np.minimum(prefix[1:], np.where(apart, np.uint8(turn * step), np.uint8(length)), out=prefix[1:])
+        fresh = np.flatnonzero(apart & ~known)  # told apart in this round: their common prefix ends here
+        prefix[1:][fresh] = turn * step
+        known[fresh] = True
         place = np.argsort(interleave, kind="stable")
         if marked is not None and turn % 6 == 5:
             held = np.empty(n, bool)
             held[place] = marked
             if np.bincount(group[held], minlength=1).max(initial=0) < 2:
                 group = np.arange(n, dtype=np.int32)
+                prefix[1:][~known] = (turn + 1) * step
                 break
     back = np.empty(n, np.int64)
     back[place] = np.arange(n)

@@ -4,15 +4,19 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 documents are brought together as follows.
 
 1. The windows of a document are cut into runs with the same minimizer (the smallest hash of their 20-byte grams), so equal
-   windows share their minimizer wherever they stand. Blocks of documents send the minimizer, a hash of the run and the id.
+   windows share their minimizer wherever they stand. Within a block of documents equal runs are put together first; the block
+   sends the minimizer, a hash of the run and the smallest id once for each different run, however often it repeats there.
 2. For each minimizer, equal runs count once, with their smallest id; a copy with a larger id is covered whole. A minimizer that
    occurs in one document only, or in equal runs only, needs no more. Blocks learn this from one code for each run they sent.
 3. The first copies of different runs under one minimizer are sent as bytes, dealt out by minimizer (if a minimizer has very
-   many, by window, so that no group grows without bound). A task splits its runs into shards, sorts each shard's rotations,
-   and merges the transforms by interleave refinement for 50 rounds: intervals of rotations with 50 common bytes are the equal
-   windows, and those with a smaller id in their interval are covered.
+   many, by window, so that they spread). A task splits its runs into shards, sorts each shard's rotations,
+   and merges the transforms by interleave refinement for 50 rounds, which give the common prefixes of neighbours; intervals of
+   rotations with a common prefix of 50 bytes are the equal windows, and those with a smaller id in their interval are covered.
 4. Each block puts its covered windows together and cuts them out.
 
+Runs that are equal as a whole are told by 96 bits of hash (their minimizer's and their own, over mixed 8-byte grams), so that
+their bytes needn't move; which windows different runs have in common is decided on the bytes, by the merged transforms.
+
 Every step is a shuffle of packed rows; texts move once, by block. Nothing is capped or sampled.
 
 Defined results: a null text is empty; a null doc_id counts as larger than any other; rows with the same id count as one
@@ -33,7 +37,7 @@ BLOCK, PIECE, BUCKET = 4 << 20, 1 << 20, 12 << 20
 #: Different runs of a minimizer over which its windows are dealt out one by one.
 HOT = 4096
 #: Bytes merged at once, and bytes of a shard.
-MERGED, SHARD = 1 << 16, 1 << 14
+MERGED, SHARD = 1 << 20, 1 << 17
 LAST = (1 << 63) - 1
 
 
@@ -43,8 +47,6 @@ class Runs:
     def __init__(self) -> None:
         import numpy as np
 
-        draw = np.random.default_rng(77)
-        self.of_byte = draw.integers(1, 1 << 63, 256, np.uint64)
         self.base = np.uint64(0xD1342543DE82EF95)
         inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         n = PIECE + LENGTH
@@ -59,6 +61,16 @@ class Runs:
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
         return h ^ (h >> np.uint64(33))
 
+    @classmethod
+    def eights(cls, data):
+        """A mixed number for every eight bytes that follow each other (along the last axis)."""
+        import numpy as np
+
+        wide = data.astype(np.uint64)
+        for k in (1, 2, 4):
+            wide = wide[..., :-k] | wide[..., k:] << np.uint64(8 * k)
+        return cls.mix(wide)
+
     def __call__(self, texts: list[bytes]):
         """(data, offsets of texts, start, windows, minimizer, hash, text number) with an entry for each run."""
         import numpy as np
@@ -85,8 +97,10 @@ class Runs:
         n, w = len(data), LENGTH - GRAM + 1
         if n < LENGTH:
             return tuple(np.empty(0, np.int64) for _ in range(4))
-        sums = np.cumsum(np.append(np.uint64(0), self.of_byte[data] * self.powers[:n]))
-        least = self.mix((sums[GRAM:] - sums[:-GRAM]) * self.inverses[: n - GRAM + 1])
+        eights = self.eights(data)
+        sums = np.cumsum(np.append(np.uint64(0), eights * self.powers[: len(eights)]))
+        own = GRAM - 7  # eights of a gram
+        least = self.mix((sums[own:] - sums[:-own]) * self.inverses[: n - GRAM + 1])
         reach = 1
         while 2 * reach <= w:
             least = np.minimum(least[:-reach], least[reach:])
@@ -99,7 +113,7 @@ class Runs:
         fresh = np.append(True, (least[1:] != least[:-1]) | ~whole[:-1])
         starts = np.flatnonzero(fresh & whole)
         ends = np.flatnonzero(whole & np.append((least[1:] != least[:-1]) | ~whole[1:], True)) + 1
-        last = ends + LENGTH - 1
+        last = ends + LENGTH - 8
         name = self.mix((sums[last] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
         return starts + at, ends - starts, least[starts], name
 
@@ -135,16 +149,31 @@ _SENT = "block int, kind int, bucket int, ids binary, minimizers binary, names b
 _REPLY = "block int, kind int, bucket int, codes binary"
 
 
+def _different(minimizer, name, of):
+    """(runs, which, first, several) of a block: a run for each different one, in order of bucket-free hash; which of them each
+    run is; the smallest id of each; whether it stands under several ids."""
+    import numpy as np
+
+    order = np.lexsort((of, name, minimizer))
+    m, s, d = minimizer[order], name[order], of[order]
+    start = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (s[1:] != s[:-1]))) if len(order) else np.empty(0, np.int64)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+    first = d[start]
+    return order[start], which, first, d[np.append(start[1:], len(order)) - 1] != first if len(start) else np.empty(0, bool)
+
+
 def _announced(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Step 1: minimizer, hash and id of all runs, a row for each block and bucket."""
+    """Step 1: minimizer, hash, smallest id and whether there are more ids of the different runs, a row for each block and bucket."""
 
     def send(table):
         import pyarrow as pa
 
         ids, texts = _documents(table)
         _, _, _, _, minimizer, name, number = Runs()(texts)
-        of = _order(ids)[number]
-        rows = [(table.column("block")[0].as_py(), 1, b, pack(_steps(of[own])), pack(minimizer[own], 4), pack(name[own], 6), None, None) for b, own in _by_bucket(_high(minimizer, buckets))]
+        runs, _, first, several = _different(minimizer, name, _order(ids)[number])
+        minimizer, name = minimizer[runs], name[runs]
+        rows = [(table.column("block")[0].as_py(), 1, b, pack(_steps(first[own])), pack(minimizer[own], 4), pack(name[own]), pack(several[own], 1), None) for b, own in _by_bucket(_high(minimizer, buckets))]
         return _table(rows, _SENT, pa)
 
     return blocks.groupBy("block").applyInArrow(send, _SENT)
@@ -171,7 +200,10 @@ def _table(rows: list, schema: str, pa):
 
 
 def _answered(sent: DataFrame) -> DataFrame:
-    """Step 2: a code for each run: 0 nothing, 1 covered whole, 2 to be merged, 3 to be merged window by window."""
+    """Step 2: a code for each run: 0 nothing, 1 covered whole, 2 to be merged, 3 to be merged window by window.
+
+    In a block, only the copies with its smallest id are told by the code; those with larger ones are covered whole anyway.
+    """
 
     def answer(table):
         import numpy as np
@@ -181,7 +213,8 @@ def _answered(sent: DataFrame) -> DataFrame:
         sizes = np.array([len(i) for i in ids])
         of = np.concatenate(ids)
         minimizer = np.concatenate([unpack(x, 4) for x in table.column("minimizers").to_pylist()])
-        name = np.concatenate([unpack(x, 6) for x in table.column("names").to_pylist()])
+        name = np.concatenate([unpack(x) for x in table.column("names").to_pylist()])
+        more = np.concatenate([unpack(x, 1) for x in table.column("lengths").to_pylist()]) > 0
         order = np.lexsort((of, name, minimizer))
         m, s, d = minimizer[order], name[order], of[order]
         new_m = np.append(True, m[1:] != m[:-1])
@@ -189,7 +222,7 @@ def _answered(sent: DataFrame) -> DataFrame:
         first_m, first_s = np.flatnonzero(new_m), np.flatnonzero(new_s)
         of_m, of_s = np.cumsum(new_m) - 1, np.cumsum(new_s) - 1
         different = np.bincount(of_m[first_s], minlength=len(first_m))[of_m]
-        several = (np.minimum.reduceat(d, first_m) != np.maximum.reduceat(d, first_m))[of_m]
+        several = ((np.minimum.reduceat(d, first_m) != np.maximum.reduceat(d, first_m)) | (np.add.reduceat(more[order].astype(np.int64), first_m) > 0))[of_m]
         copied = d[first_s][of_s] < d
         codes = np.where(copied, 1, np.where((different > 1) & several, np.where(different > HOT, 3, 2), 0)).astype(np.uint8)
         back = np.empty(len(codes), np.uint8)
@@ -200,19 +233,20 @@ def _answered(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(answer, _REPLY)
 
 
-def _codes(replies, minimizer, buckets: int, kind: int = 1):
+def _codes(replies, minimizer, name, of, buckets: int):
     """The codes of a block's runs, put in place from its replies."""
     import numpy as np
 
-    by = {b: c for b, k, c in zip(replies.column("bucket").to_pylist(), replies.column("kind").to_pylist(), replies.column("codes").to_pylist(), strict=True) if k == kind}
-    codes = np.zeros(len(minimizer), np.uint8)
-    for b, own in _by_bucket(_high(minimizer, buckets)):
+    by = {b: c for b, k, c in zip(replies.column("bucket").to_pylist(), replies.column("kind").to_pylist(), replies.column("codes").to_pylist(), strict=True) if k == 1}
+    runs, which, first, _ = _different(minimizer, name, of)
+    codes = np.zeros(len(runs), np.uint8)
+    for b, own in _by_bucket(_high(minimizer[runs], buckets)):
         codes[own] = unpack(by[b], 1)
-    return codes
+    return np.where(of > first[which], 1, codes[which]).astype(np.uint8) if len(of) else codes
 
 
-def _to_merge(codes, start, windows, minimizer, name):
-    """(start, windows, where to) of what a block sends as bytes: runs with code 2, and the single windows of those with 3."""
+def _to_merge(codes, start, windows):
+    """(start, windows, count of runs, runs) of what a block sends as bytes: runs with code 2, and the windows of those with 3."""
     import numpy as np
 
     runs, hot = np.flatnonzero(codes == 2), np.flatnonzero(codes == 3)
@@ -229,9 +263,9 @@ def _shipped(blocks: DataFrame, replies: DataFrame, buckets: int, targets: int)
 
         ids, texts = _documents(left)
         make = Runs()
-        data, offsets, start, windows, minimizer, name, _ = make(texts)
-        codes = _codes(right, minimizer, buckets)
-        at, many, n_runs, runs = _to_merge(codes, start, windows, minimizer, name)
+        data, offsets, start, windows, minimizer, name, number = make(texts)
+        codes = _codes(right, minimizer, name, _order(ids)[number], buckets)
+        at, many, n_runs, runs = _to_merge(codes, start, windows)
         target = _target(data, at, n_runs, minimizer[runs], targets)
         of = _order(ids)[np.searchsorted(offsets, at, "right") - 1]
         rows = []
@@ -289,11 +323,12 @@ def covered_windows(data, lengths, of):
     whole[ragged(ends - lengths - 1, lengths - LENGTH + 1)] = True
     owner = np.full(len(symbols), LAST, np.int64)
     owner[place] = np.repeat(of, lengths)
-    ranks, group, _ = bwt.merge(shards, orders, LENGTH, whole[where], 2, False)
+    ranks, _, prefix = bwt.merge(shards, orders, LENGTH, whole[where], 2)
     at = where[ranks]
     mine = np.where(whole[at], owner[at], LAST)
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    least = np.minimum.reduceat(mine, starts)[np.cumsum(np.append(False, group[1:] != group[:-1]))]
+    fresh = prefix < LENGTH  # a repeated interval goes on while neighbours have LENGTH bytes in common
+    starts = np.flatnonzero(fresh)
+    least = np.minimum.reduceat(mine, starts)[np.cumsum(fresh) - 1]
     out = np.zeros(len(symbols), bool)
     out[at] = whole[at] & (least < owner[at])
     return out[place]
@@ -337,9 +372,9 @@ def _parts(data, length):
     least = np.empty(len(length), np.uint64)
     # The smallest gram of a piece's first window is the minimizer of all its windows.
     for a in range(0, len(length), 4096):
-        grams = data[starts[a : a + 4096][:, None] + np.arange(LENGTH)]
-        sums = np.cumsum(np.hstack([np.zeros((len(grams), 1), np.uint64), make.of_byte[grams] * make.powers[:LENGTH]]), axis=1)
-        least[a : a + 4096] = Runs.mix((sums[:, GRAM:] - sums[:, :-GRAM]) * make.inverses[:w]).min(axis=1)
+        eights = Runs.eights(data[starts[a : a + 4096][:, None] + np.arange(LENGTH)])
+        sums = np.cumsum(np.hstack([np.zeros((len(eights), 1), np.uint64), eights * make.powers[: LENGTH - 7]]), axis=1)
+        least[a : a + 4096] = Runs.mix((sums[:, GRAM - 7 :] - sums[:, : 7 - GRAM]) * make.inverses[:w]).min(axis=1)
     key = (Runs.mix(least) >> np.uint64(20)) % np.uint64(-(-len(data) // MERGED) * 2)
     return [own for _, own in _by_bucket(key.astype(np.int64))]
 
@@ -353,13 +388,13 @@ def _cut(blocks: DataFrame, replies: DataFrame, buckets: int, targets: int) -> D
         import zstandard
 
         ids, texts = _documents(left)
-        data, offsets, start, windows, minimizer, name, _ = Runs()(texts)
-        codes = _codes(right, minimizer, buckets)
+        data, offsets, start, windows, minimizer, name, number = Runs()(texts)
+        codes = _codes(right, minimizer, name, _order(ids)[number], buckets)
         change = np.zeros(len(data) + 1, np.int64)
         whole = codes == 1
         np.add.at(change, start[whole], 1)
         np.add.at(change, start[whole] + windows[whole] + LENGTH - 1, -1)
-        at, many, n_runs, runs = _to_merge(codes, start, windows, minimizer, name)
+        at, many, n_runs, runs = _to_merge(codes, start, windows)
         target = _target(data, at, n_runs, minimizer[runs], targets)
         by = {b: c for b, k, c in zip(right.column("bucket").to_pylist(), right.column("kind").to_pylist(), right.column("codes").to_pylist(), strict=True) if k == 2}
         for b, own in _by_bucket(target):
