@@ -152,16 +152,17 @@ def random_subcrop(spark, sf):
     return o.select("o_orderkey", sampling.subcrop(F.lit(100.0), F.col("e"), F.lit(1024.0), sampling.draw("c", "o_orderkey")).alias("origin"))
 
 
-@query(
-    """SELECT 'union' AS op, doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels)
-UNION ALL SELECT 'intersect', doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM labels)
+_SET_OPS = """SELECT 'union' AS op, doc_id FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)
+UNION ALL SELECT 'intersect', doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
 UNION ALL SELECT 'except', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)"""
-)
+
+
+@query(_SET_OPS)
 def set_ops(spark, sf):
+    """The set operations on all documents and all labels."""
     d, lab = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id")
-    third = d.filter("doc_id % 3 = 0")
     tag = lambda df, op: df.select(F.lit(op).alias("op"), "doc_id")
-    return tag(third.union(lab).distinct(), "union").unionByName(tag(third.intersect(lab), "intersect")).unionByName(tag(d.subtract(lab), "except"))
+    return tag(d.union(lab).distinct(), "union").unionByName(tag(d.intersect(lab), "intersect")).unionByName(tag(d.subtract(lab), "except"))
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY o) AS types FROM (SELECT user_id, event_type, min(row_number) AS o FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_number FROM events) GROUP BY ALL) GROUP BY user_id")
@@ -176,35 +177,30 @@ def instance_ordinals(spark, sf):
     return table(spark, sf, "events").select("event_id", "user_id", F.coalesce(F.lit(None).cast("long"), n - 1).alias("instance"))
 
 
-@query("SELECT event_id, (SELECT max(event_id) FROM events) + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS new_id FROM events")
+@query("SELECT event_id, max(event_id) OVER (PARTITION BY user_id) + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS new_id FROM events")
 def new_instance_ids(spark, sf):
+    """New ids of a user's points, from one above the largest that the user has."""
     e = table(spark, sf, "events")
-    top = e.agg(F.max("event_id").alias("top"))
-    return e.crossJoin(F.broadcast(top)).select("event_id", (F.col("top") + F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).alias("new_id"))  # top: one row
+    own = Window.partitionBy("user_id")
+    return e.select("event_id", (F.max("event_id").over(own) + F.row_number().over(own.orderBy("event_id"))).alias("new_id"))
 
 
-@query("SELECT r.i, coalesce(n, 0) AS n FROM (SELECT unnest(range(200)) AS i) r LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) e ON r.i = e.user_id")
+@query("SELECT r.i, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT coalesce(max(user_id), 0) + 1 FROM events))) AS i) r LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) e ON r.i = e.user_id")
 def fill_missing(spark, sf):
-    """Counts of 0 .. n-1: the 200 positions of the SQL, and all further ones up to the largest id (which the SQL leaves out)."""
+    """Counts of all positions from 0 to the largest id (one number comes to the driver)."""
     events = table(spark, sf, "events")
-    n = max(200, (events.agg(F.max("user_id")).first()[0] or 0) + 1)
+    n = (events.agg(F.max("user_id")).first()[0] or 0) + 1
     e = events.filter("event_type = 'view'").groupBy(F.col("user_id").alias("i")).agg(F.count(F.lit(1)).alias("n"))
     return spark.range(n).withColumnRenamed("id", "i").join(e, "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT a.event_id AS point, b.event_id AS background FROM events a JOIN events b USING (user_id) WHERE a.event_type = 'purchase' AND b.event_type = 'error' AND a.event_id % 5 = 0")
-def background_to_instances(spark, sf):
-    e = table(spark, sf, "events")
-    a = e.filter("event_type = 'purchase' AND event_id % 5 = 0").select("user_id", F.col("event_id").alias("point"))
-    return a.join(e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("background")), "user_id").select("point", "background")
-
-
-@query(
-    """WITH p AS (SELECT user_id, list(event_id ORDER BY event_id) AS points FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+_BACKGROUND = """WITH p AS (SELECT user_id, list(event_id ORDER BY event_id) AS points FROM events WHERE event_type = 'purchase' GROUP BY user_id),
 b AS (SELECT user_id, list(event_id ORDER BY event_id) AS background FROM events WHERE event_type = 'error' GROUP BY user_id)
 SELECT user_id, unnest(points) AS event_id, 'point' AS role FROM p JOIN b USING (user_id) UNION ALL SELECT user_id, unnest(background), 'background' FROM p JOIN b USING (user_id)"""
-)
-def background_to_all_instances(spark, sf):
+
+
+@query(_BACKGROUND)
+def background_to_instances(spark, sf):
     """Every point and every background of each user with both: all pairs by membership, one row for each event."""
     e = table(spark, sf, "events").filter("event_type IN ('purchase', 'error')")
     both = e.groupBy(F.col("user_id").alias("u")).agg(F.count_if(F.col("event_type") == "purchase").alias("p"), F.count_if(F.col("event_type") == "error").alias("b")).filter("p > 0 AND b > 0").select("u")
@@ -212,16 +208,16 @@ def background_to_all_instances(spark, sf):
     return e.join(both, F.col("user_id") == F.col("u")).select("user_id", "event_id", role.alias("role"))
 
 
-@query(
-    """SELECT 'union' AS op, doc_id FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)
-UNION ALL SELECT 'intersect', doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
-UNION ALL SELECT 'except', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)"""
-)
+@query(_BACKGROUND)
+def background_to_all_instances(spark, sf):
+    """background_to_instances under its earlier name."""
+    return background_to_instances(spark, sf)
+
+
+@query(_SET_OPS)
 def set_ops_all(spark, sf):
-    """The set operations on all documents."""
-    d, lab = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id")
-    tag = lambda df, op: df.select(F.lit(op).alias("op"), "doc_id")
-    return tag(d.union(lab).distinct(), "union").unionByName(tag(d.intersect(lab), "intersect")).unionByName(tag(d.subtract(lab), "except"))
+    """set_ops under its earlier name."""
+    return set_ops(spark, sf)
 
 
 @query("SELECT a.doc_id, a.source, b.quality FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) a JOIN (SELECT quality, doc_id AS i FROM labels) b USING (i)")

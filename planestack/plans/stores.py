@@ -23,6 +23,36 @@ def zarr_region(spark, sf):
     return zarr.read_volume(spark, root, roi=[(260.0, 1259.0), (4.0, 13.5), (0.0, 10.0)], stride=3)
 
 
+@query(f"WITH {GREY} SELECT z, y, x, CASE WHEN z BETWEEN 128 AND 255 THEN 0.0 ELSE g END::DOUBLE AS v FROM grey")
+def zarr_sparse(spark, sf):
+    """A volume whose chunk from slice 128 on isn't stored: it reads as the fill value."""
+    rows = grey(spark, sf).filter("z NOT BETWEEN 128 AND 255")
+    depth = table(spark, sf, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    root = f"{scratch.shared_dir(spark)}/volume-{uuid.uuid4().hex}"
+    zarr.write_volume(rows.select("z", "y", "x", F.col("g").alias("v")), root, (depth, 8, 8), sparse=True)
+    return zarr.read_volume(spark, root)
+
+
+@query(f"WITH {GREY} SELECT z, y, x, g::DOUBLE AS v FROM grey WHERE z BETWEEN 3 AND 98 AND (z - 3) % 5 = 0")
+def zarr_slice_index(spark, sf):
+    """Twenty slices by index, every fifth from the fourth on."""
+    depth = table(spark, sf, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    root = f"{scratch.shared_dir(spark)}/volume-{uuid.uuid4().hex}"
+    zarr.write_volume(grey(spark, sf).select("z", "y", "x", F.col("g").alias("v")), root, (depth, 8, 8))
+    return zarr.read_slices(spark, root, 3, 20, 5)
+
+
+@query("SELECT axis, n, voxel, origin, first, size FROM (SELECT unnest(['z', 'y', 'x']) AS axis, unnest([max(vec_id) + 1, 8, 8])::BIGINT AS n, unnest([4.0, 2.0, 2.0])::DOUBLE AS voxel, unnest([100.0, 0.0, 0.0])::DOUBLE AS origin, unnest([40, 2, 0])::BIGINT AS first, unnest([60, 5, 5])::BIGINT AS size FROM embeddings)")
+def zarr_info(spark, sf):
+    """Shape, voxel size, offset and a region's voxels, a row for each axis."""
+    depth = table(spark, sf, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    root = f"{scratch.shared_dir(spark)}/volume-{uuid.uuid4().hex}"
+    zarr.write_volume(grey(spark, sf).limit(0).select("z", "y", "x", F.col("g").alias("v")), root, (depth, 8, 8), resolution=(4.0, 2.0, 2.0), offset=(100.0, 0.0, 0.0), sparse=True)
+    row = zarr.info(spark, root, roi=[(260.0, 499.0), (4.0, 13.5), (0.0, 10.0)])
+    each = row.select(F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in "zyx"]).alias("axis"), "shape", "voxel_size", "offset", "begin", "size")).alias("a"))
+    return each.select("a.axis", F.col("a.shape").alias("n"), F.col("a.voxel_size").alias("voxel"), F.col("a.offset").alias("origin"), F.col("a.begin").alias("first"), "a.size")
+
+
 @query(f"{EIGHT}, n AS (SELECT DISTINCT img_id, first FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY first) AS label FROM n) SELECT img_id, y, x, label FROM c JOIN k USING (img_id, first)")
 def png_roundtrip(spark, sf):
     """Labelled masks as 16-bit PNG files, decoded again."""

@@ -1,7 +1,8 @@
 """Chunked volumes (zarr version 2, gzip, zlib or no compression) as voxel tables, and back.
 
-Metadata are small files and are read by the driver through the cluster's file system. Chunks are read by Spark's binary file
-source: a region is turned into the numbers of the chunks it touches, and only those paths are listed and opened.
+Metadata are small files and are read by the driver through the cluster's file system. A region is turned into the numbers of
+the chunks it touches, which are rows; tasks open these chunks alone and nothing is listed. A chunk that isn't stored holds the
+array's fill value. Chunks in other than row order, or with filters, are refused.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 
 
 def metadata(spark: SparkSession, root: str, scale: str = "s0") -> dict:
-    """shape, chunks, dtype, compressor, separator, and the scale's resolution and offset in nm (1 and 0 without transformations)."""
+    """shape, chunks, dtype, compressor, separator, fill, order, filters, and the scale's resolution and offset in nm (1 and 0 without transformations)."""
     array = _read_json(spark, f"{root}/{scale}/.zarray")
     resolution, offset = [1.0] * 3, [0.0] * 3
     fs, at = _hadoop(spark, f"{root}/.zattrs")
@@ -37,7 +38,7 @@ def metadata(spark: SparkSession, root: str, scale: str = "s0") -> dict:
                 t = d["coordinateTransformations"]
                 resolution = t[0]["scale"]
                 offset = t[1]["translation"] if len(t) > 1 else offset
-    return {"shape": array["shape"], "chunks": array["chunks"], "dtype": array["dtype"], "compressor": array["compressor"], "separator": array.get("dimension_separator", "."), "resolution": resolution, "offset": offset}
+    return {"shape": array["shape"], "chunks": array["chunks"], "dtype": array["dtype"], "compressor": array["compressor"], "separator": array.get("dimension_separator", "."), "fill": array.get("fill_value") or 0, "order": array.get("order", "C"), "filters": array.get("filters"), "resolution": resolution, "offset": offset}
 
 
 def region(meta: dict, roi: list[tuple[float, float]] | None) -> list[tuple[int, int]]:
@@ -53,19 +54,56 @@ def region(meta: dict, roi: list[tuple[float, float]] | None) -> list[tuple[int,
     return out
 
 
+def _store(root: str):
+    """The file system of a path, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+
+
+def index_slices(meta: dict, start: int, count: int, step: int = 1) -> range:
+    """The slices start, start + step, ...; an error if the array has fewer than three axes or they leave it."""
+    if len(meta["shape"]) < 3:
+        raise ValueError(f"slices need three axes; the array has {len(meta['shape'])}")
+    if start < 0 or start + count * step > meta["shape"][0]:
+        raise ValueError(f"slices {start} to {start + count * step} lie outside of the {meta['shape'][0]} there are")
+    return range(start, start + count * step, step)
+
+
+def read_slices(spark: SparkSession, root: str, start: int, count: int = 1, step: int = 1, scale: str = "s0") -> DataFrame:
+    """z, y, x, v of slices by index."""
+    meta = metadata(spark, root, scale)
+    return _read(spark, root, scale, meta, region(meta, None), index_slices(meta, start, count, step))
+
+
 def read_volume(spark: SparkSession, root: str, scale: str = "s0", roi: list[tuple[float, float]] | None = None, stride: int = 1) -> DataFrame:
     """z, y, x, v of a volume or region, of every stride-th slice from its first. Chunks without a wanted slice aren't read."""
     meta = metadata(spark, root, scale)
     ranges = region(meta, roi)
+    return _read(spark, root, scale, meta, ranges, range(ranges[0][0], ranges[0][1], stride))
+
+
+def info(spark: SparkSession, root: str, scale: str = "s0", roi: list[tuple[float, float]] | None = None) -> DataFrame:
+    """One row: shape, dtype, voxel_size, offset, and the voxel ranges of the region (begin, size)."""
+    meta = metadata(spark, root, scale)
+    ranges = region(meta, roi)
+    row = (meta["shape"], meta["dtype"], [float(r) for r in meta["resolution"]], [float(o) for o in meta["offset"]], [a for a, _ in ranges], [b - a for a, b in ranges])
+    return spark.createDataFrame([row], "shape array<long>, dtype string, voxel_size array<double>, offset array<double>, begin array<long>, size array<long>")
+
+
+def _read(spark: SparkSession, root: str, scale: str, meta: dict, ranges: list[tuple[int, int]], slices: range) -> DataFrame:
     chunks, shape, sep = meta["chunks"], meta["shape"], meta["separator"]
     dtype, compressor = meta["dtype"], (meta["compressor"] or {}).get("id")
     if compressor not in (None, "gzip", "zlib"):
         raise ValueError(f"chunks compressed by {compressor} can't be read")
-    wanted = [range(a // c, (b - 1) // c + 1) for (a, b), c in zip(ranges, chunks, strict=True)]
-    first = ranges[0][0]
-    depth = [cz for cz in wanted[0] if any((z - first) % stride == 0 for z in range(max(first, cz * chunks[0]), min(ranges[0][1], (cz + 1) * chunks[0])))]
-    path = f"{root}/{scale}/" + sep.join("{" + ",".join(map(str, w)) + "}" for w in (depth, wanted[1], wanted[2]))
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if meta["order"] != "C" or meta["filters"]:
+        raise ValueError("chunks in column order or with filters can't be read")
+    begins, ends = [a // c for (a, _), c in zip(ranges, chunks, strict=True)], [(b - 1) // c + 1 for (_, b), c in zip(ranges, chunks, strict=True)]
+    ny, nx = ends[1] - begins[1], ends[2] - begins[2]
+    grid = spark.range((ends[0] - begins[0]) * ny * nx).select(F.expr(f"id div {ny * nx} + {begins[0]}").alias("cz"), F.expr(f"id div {nx} % {ny} + {begins[1]}").alias("cy"), (F.col("id") % nx + begins[2]).alias("cx"))
+    # The first wanted slice from a chunk's begin on lies in the chunk.
+    low = F.greatest(F.col("cz") * chunks[0], F.lit(slices.start))
+    grid = grid.filter(F.least((F.col("cz") + 1) * chunks[0], F.lit(slices.stop)) > slices.start + F.ceil((low - slices.start) / slices.step) * slices.step)
 
     def decode(batches):
         import zlib
@@ -73,32 +111,37 @@ def read_volume(spark: SparkSession, root: str, scale: str = "s0", roi: list[tup
         import numpy as np
         import pyarrow as pa
 
+        store, folder = _store(root)
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                at = [int(n) for n in (name.split("/")[-3:] if sep == "/" else name.split("/")[-1].split(sep))]
-                raw = zlib.decompress(content, 47) if compressor else content
-                block = np.frombuffer(raw, np.dtype(dtype)).reshape(chunks)
+            for at in zip(*(batch.column(c).to_pylist() for c in ("cz", "cy", "cx")), strict=True):
+                try:
+                    with store.open_input_stream(f"{folder}/{scale}/{sep.join(map(str, at))}", compression=None) as stream:
+                        content = stream.read()
+                    block = np.frombuffer(zlib.decompress(content, 47) if compressor else content, np.dtype(dtype)).reshape(chunks)
+                except FileNotFoundError:
+                    block = np.full(chunks, meta["fill"], np.dtype(dtype))
                 begin = [max(a, i * c) for (a, _), i, c in zip(ranges, at, chunks, strict=True)]
                 end = [min(b, (i + 1) * c, n) for (_, b), i, c, n in zip(ranges, at, chunks, shape, strict=True)]
                 for z in range(begin[0], end[0]):
-                    if (z - first) % stride:
+                    if z not in slices:
                         continue
                     cut = block[z - at[0] * chunks[0], begin[1] - at[1] * chunks[1] : end[1] - at[1] * chunks[1], begin[2] - at[2] * chunks[2] : end[2] - at[2] * chunks[2]]
                     y, x = np.mgrid[begin[1] : end[1], begin[2] : end[2]]
                     yield pa.RecordBatch.from_pydict({"z": np.full(cut.size, z, np.int64), "y": y.ravel().astype(np.int64), "x": x.ravel().astype(np.int64), "v": cut.ravel().astype(np.float64)})
 
-    return files.mapInArrow(decode, "z long, y long, x long, v double")
+    return grid.mapInArrow(decode, "z long, y long, x long, v double")
 
 
 def chunk_of(column: str, size: int):
     return F.expr(f"{column} div {size}")
 
 
-def write_volume(voxels: DataFrame, root: str, shape: tuple[int, int, int], dtype: str = "|u1", resolution=(1.0, 1.0, 1.0), offset=(0.0, 0.0, 0.0)) -> None:
+def write_volume(voxels: DataFrame, root: str, shape: tuple[int, int, int], dtype: str = "|u1", resolution=(1.0, 1.0, 1.0), offset=(0.0, 0.0, 0.0), sparse: bool = False) -> None:
     """Write z, y, x, v as one scale: chunks of at most 128 a side, gzip level 5, edges padded with 0, missing voxels 0.
 
     Each chunk is put together in one task and written there, through the file system of the path (pyarrow.fs); an existing
-    array is deleted first. Metadata come last, so a volume that can be opened is whole.
+    array is deleted first. Metadata come last, so a volume that can be opened is whole. sparse: chunks without a voxel are left
+    out (they read as 0).
     """
     spark = voxels.sparkSession
     fs, at = _hadoop(spark, f"{root}/s0")
@@ -114,8 +157,8 @@ def write_volume(voxels: DataFrame, root: str, shape: tuple[int, int, int], dtyp
 
         import numpy as np
         import pyarrow as pa
-        from pyarrow import fs as pafs
-
+        if sparse and not right.num_rows:
+            return pa.table({"bytes": pa.array([0], pa.int64())})
         key = [left.column(c)[0].as_py() for c in ("cz", "cy", "cx")]
         block = np.zeros(chunks, np.dtype(dtype))
         if right.num_rows:
@@ -123,7 +166,7 @@ def write_volume(voxels: DataFrame, root: str, shape: tuple[int, int, int], dtyp
             block[where] = right.column("v").to_numpy()
         squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         data = squeeze.compress(block.tobytes()) + squeeze.flush()
-        store, folder = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+        store, folder = _store(root)
         folder = f"{folder}/s0/{key[0]}/{key[1]}"
         store.create_dir(folder, recursive=True)
         with store.open_output_stream(f"{folder}/{key[2]}") as out:
