@@ -2,8 +2,8 @@
 
 Entries (path rules and a block list) are turned into key strings; their 64-bit xxhash digests are sorted and split by range
 into shards, each a binary row: digests, offsets and the full strings. The keys that a URL could match are digested too, made
-distinct, dealt out to the shards, and probed by a vectorised binary search over the memory-mapped digests; a hit counts only
-if the stored string equals the key. The list and the URLs may both grow: no side is broadcast or collected.
+distinct, dealt out to the shards, and probed by a vectorised binary search over the digests in mapped memory (anonymous pages:
+a shard comes by shuffle, and no file is left on a machine); a hit counts only if the stored string equals the key. The list and the URLs may both grow: no side is broadcast or collected.
 
 Keys: a rule `host/path` fits a URL whose host is the rule's or a subdomain of it and whose path begins with the rule's; the
 longest rule wins. A list entry `host/segment[/segment...]` fits host and subdomains if the path's first segments are the
@@ -15,8 +15,7 @@ alike; a null page_id is kept; further columns are left out.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,22 +85,21 @@ def _probe(keys: DataFrame, shards: DataFrame, bits: int) -> DataFrame:
         empty = pa.table({"key": pa.array([], pa.string())})
         if not left.num_rows or not right.num_rows:
             return empty
-        with tempfile.TemporaryDirectory() as folder:
-            at = os.path.join(folder, "digests")
-            with open(at, "wb") as f:
-                f.write(right.column("digests")[0].as_py())
-            sorted_digests = np.memmap(at, "<i8", "r")
+        packed = right.column("digests")[0].as_py()
+        with mmap.mmap(-1, max(1, len(packed))) as pages:  # pages of memory, no file on the machine
+            pages.write(packed)
+            sorted_digests = np.frombuffer(pages, "<i8", len(packed) // 8)
             asked = left.column("digest").to_numpy()
             first = np.searchsorted(sorted_digests, asked, "left")
             last = np.searchsorted(sorted_digests, asked, "right")
-            hits = np.flatnonzero(last > first)
-            ends, strings = np.frombuffer(right.column("ends")[0].as_py(), "<i8"), right.column("strings")[0].as_py()
-            found = []
-            for i, key in zip(hits, left.column("key").take(pa.array(hits)).to_pylist(), strict=True):
-                for j in range(first[i], last[i]):
-                    if strings[ends[j - 1] if j else 0 : ends[j]] == key.encode():
-                        found.append(key)
             del sorted_digests
+        hits = np.flatnonzero(last > first)
+        ends, strings = np.frombuffer(right.column("ends")[0].as_py(), "<i8"), right.column("strings")[0].as_py()
+        found = []
+        for i, key in zip(hits, left.column("key").take(pa.array(hits)).to_pylist(), strict=True):
+            for j in range(first[i], last[i]):
+                if strings[ends[j - 1] if j else 0 : ends[j]] == key.encode():
+                    found.append(key)
         return pa.table({"key": pa.array(found, pa.string())})
 
     return probes.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(search, "key string")

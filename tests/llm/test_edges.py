@@ -89,3 +89,12 @@ def test_ids_come_back_in_order(spark):
     assert [r.doc_id for r in bpe.encode_decode(df).collect()] == [5]
     assert mixing.cells(df.withColumns({"topic": F.lit("t"), "tokens": F.lit(3)})).count() == 1
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_very_long_and_listed_urls(spark):
+    long = "http://a.example.org/en/1" + "x" * 300_000 + "/y" * 20_000
+    df = spark.createDataFrame([(1, long), (2, "http://sub.listed.test/a/b/c?x"), (3, "http://listed.test/a/bc")], "page_id long, url string")
+    rules = url_filter.rule_table(spark)
+    listed = spark.createDataFrame([("listed.test/a/b",)], "entry string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules, listed).collect()}
+    assert got == {1: ("example.org/en/1", "block"), 2: (None, "block"), 3: (None, "allow")}
