@@ -8,7 +8,7 @@ others are scaled up by one factor without raking again. So the sample misses th
 whose target is over 1 / KEEP times its share of the input can't meet it at this KEEP: it has too few tokens. op4_shares tells
 the target and the reached share of each value.
 
-The target of a value is its share of tokens to the power TEMPER, normalised, which evens out a dominant source. The topic is
+Targets may be given as a table (marginal, value, share). Without one, the target of a value is its share of tokens to the power TEMPER, normalised, which evens out a dominant source. The topic is
 the form of the text (a table, shouting, symbols, repeated words, prose), as no subject column exists.
 
 Cells stay a table: each round is a job over the cells, whose result is written to the shared folder. Rounds are few and
@@ -29,6 +29,8 @@ MARGINALS = ["source", "lang", "topic"]
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 KEEP = 0.8
 ROUNDS = 6
+#: Rounds at most when cells are raked to a tolerance.
+MOST_ROUNDS = 50
 #: Columns of the report on marginals.
 SHARES = ["input", "target", "expected", "kept"]
 #: Cells up to which their table is sent to all tasks, so that texts needn't be shuffled.
@@ -63,35 +65,66 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).filter("tokens > 0")
 
 
-def with_targets(cell_rows: DataFrame, temper: dict[str, float]) -> DataFrame:
-    """The cells with t_<marginal>: the wanted share of the cell's value in each marginal (one total comes to the driver)."""
+def with_targets(cell_rows: DataFrame, temper: dict[str, float], targets: DataFrame | None = None) -> DataFrame:
+    """The cells with t_<marginal>: the wanted share of the cell's value in each marginal (one total comes to the driver).
+
+    targets (marginal, value, share): wanted shares in place of the tempered ones. They are taken in proportion among the values
+    that have tokens; a marginal that isn't named keeps its shares, a value that isn't named in a named marginal is left out.
+    """
     rows = cell_rows
     for column, power in temper.items():
-        by = cell_rows.groupBy(column).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t"))
+        t = F.pow(F.sum("tokens").cast("double"), F.lit(power)) if targets is None else F.sum("tokens").cast("double")
+        by = cell_rows.groupBy(column).agg(t.alias("t"))
+        if targets is not None:
+            wanted = targets.filter(F.col("marginal") == column).groupBy(F.col("value").alias("w")).agg(F.sum(F.col("share").cast("double")).alias("s"))
+            if not wanted.isEmpty():
+                by = by.join(wanted.hint("merge"), F.col(column).eqNullSafe(F.col("w")), "left").select(column, F.coalesce("s", F.lit(0.0)).alias("t"))
         total = by.agg(F.sum("t")).first()[0] or 1.0
         by = by.select(F.col(column).alias("v"), (F.col("t") / F.lit(total)).alias(f"t_{column}"))
         rows = rows.join(by.hint("merge"), F.col(column).eqNullSafe(F.col("v"))).drop("v")
     return rows
 
 
-def rake(cell_rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The cells with `weight`, so that weight * tokens meets the wanted shares of each marginal in turn."""
+def residual(rows: DataFrame) -> float:
+    """The largest distance of a weighted share from its target over all marginals."""
+    worst = 0.0
+    total = rows.agg(F.sum(F.col("tokens") * F.col("weight"))).first()[0] or 1.0
+    for column in MARGINALS:
+        off = rows.groupBy(column).agg(F.abs(F.sum(F.col("tokens") * F.col("weight")) / F.lit(total) - F.max(f"t_{column}")).alias("off"))
+        worst = max(worst, off.agg(F.max("off")).first()[0] or 0.0)
+    return worst
+
+
+def rake(cell_rows: DataFrame, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """The cells with `weight`, so that weight * tokens meets the wanted shares of each marginal in turn.
+
+    tolerance: rounds end as soon as no share is further from its target (`rounds` is then the most there can be).
+    """
     spark = cell_rows.sparkSession
     total = float(cell_rows.agg(F.sum("tokens")).first()[0] or 0)
     rows, old = cell_rows.withColumn("weight", F.lit(1.0)), None
     for _ in range(rounds):
         for column in MARGINALS:
-            have = rows.groupBy(F.col(column).alias("v")).agg((F.max(f"t_{column}") * total / F.sum(F.col("tokens") * F.col("weight"))).alias("scale"))
+            held = F.sum(F.col("tokens") * F.col("weight"))
+            have = rows.groupBy(F.col(column).alias("v")).agg(F.when(held > 0, F.max(f"t_{column}") * total / F.nullif(held, F.lit(0.0))).otherwise(0.0).alias("scale"))
             rows = rows.join(have.hint("merge"), F.col(column).eqNullSafe(F.col("v"))).withColumn("weight", F.col("weight") * F.col("scale")).drop("v", "scale")
         rows, path = common.materialize(rows, "raked")
         if old:
             common.drop(spark, old)
         old = path
+        if tolerance is not None and residual(rows) <= tolerance:
+            break
     return rows
 
 
-def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
-    """source, lang, topic, p: weights scaled so that kept tokens are `keep` of all, cut to 1 (twice scaled, so nearly exact)."""
+def probabilities(raked: DataFrame, keep: float = KEEP, uncut: bool = False) -> DataFrame:
+    """source, lang, topic, p: weights scaled so that kept tokens are `keep` of all, cut to 1 (twice scaled, so nearly exact).
+
+    uncut: less is kept where a probability would be cut, so that the sample meets the raked shares.
+    """
+    if uncut:
+        most = raked.agg(F.max("weight")).first()[0] or 1.0
+        return raked.withColumn("p", F.col("weight") * F.lit(min(keep, 1 / most))).select("source", "lang", "topic", "weight", "p")
     rows = raked.withColumn("p", F.col("weight"))
     for _ in range(4):
         s = rows.agg(
@@ -103,22 +136,26 @@ def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     return rows.select("source", "lang", "topic", "weight", "p")
 
 
-def decided(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, p, kept of every row (no text)."""
+def decided(docs: DataFrame, keep: float = KEEP, targets: DataFrame | None = None, tolerance: float = 1e-4) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, weight, p, kept of every row (no text).
+
+    Without targets (see with_targets) the tempered ones hold, in ROUNDS rounds and with probabilities cut to 1. With targets the
+    cells are raked to the tolerance (MOST_ROUNDS at most) and no probability is cut; `shares` tells what is reached.
+    """
     rows = docs.select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
     rows, _ = common.materialize(rows, "mix")
     cell_rows, _ = common.materialize(cells(rows), "cells")
-    cell_rows, _ = common.materialize(with_targets(cell_rows, TEMPER), "cells")
-    p = probabilities(rake(cell_rows), keep).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "weight", "p")
+    cell_rows, _ = common.materialize(with_targets(cell_rows, TEMPER, targets), "cells")
+    p = probabilities(rake(cell_rows) if targets is None else rake(cell_rows, MOST_ROUNDS, tolerance), keep, targets is not None).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "weight", "p")
     fits = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MARGINALS]
     rows = rows.join(p, fits[0] & fits[1] & fits[2], "left")
     rows = rows.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "p": F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(1.0))).otherwise(1.0)})
     return rows.withColumn("kept", draw_of(F.col("doc_id")) < F.col("p") * DRAWS).select("doc_id", *MARGINALS, "tokens", "weight", "p", "kept")
 
 
-def mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+def mix(docs: DataFrame, keep: float = KEEP, targets: DataFrame | None = None, tolerance: float = 1e-4) -> DataFrame:
     """The rows of docs that are kept, all columns unchanged. The small table of cells meets the texts, which stay in place."""
-    found = decided(docs, keep)
+    found = decided(docs, keep, targets, tolerance)
     cut = found.groupBy(*MARGINALS).agg(F.max(F.when(F.col("tokens") > 0, F.col("p"))).alias("_p"))
     cut = cut.select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "_p")
     if cut.count() <= FEW_CELLS:

@@ -11,3 +11,21 @@ def test_shares_tell_a_target_that_is_missed(spark):
     assert rows.filter("source = 'b' AND p < 1").isEmpty()
     assert abs(b.input - 4 / 404) < 1e-4 and abs(b.target - 4**0.7 / (4**0.7 + 400**0.7)) < 1e-4
     assert abs(b.expected - 4 / (0.8 * 404)) < 1e-3 and b.expected < b.target
+
+
+def test_given_targets_are_met(spark):
+    docs = [(i, "a" if i % 4 else "b", "en" if i % 5 < 3 else "es", ("w " if i % 3 else "x@y ") * 10) for i in range(2400)] + [(9000, None, "en", None), (9001, "a", "en", " "), (9002, "c", "en", "w w")]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")
+    wanted = {("source", "a"): 0.5, ("source", "b"): 0.5, ("lang", "en"): 0.7, ("lang", "es"): 0.3}
+    targets = spark.createDataFrame([(m, v, s * 3) for (m, v), s in wanted.items()], "marginal string, value string, share double")
+    rows = mixing.decided(df, 0.8, targets, 1e-6).cache()
+    assert rows.count() == len(docs) and rows.filter("p > 1.0000001").isEmpty()
+    tokens = lambda where: rows.filter(where).selectExpr("sum(tokens * p)").first()[0]
+    for (marginal, value), share in wanted.items():
+        assert abs(tokens(f"{marginal} = '{value}'") / tokens("true") - share) < 1e-4
+    # The marginal that isn't named keeps its shares.
+    assert abs(tokens("topic = 'contact'") / tokens("true") - 1 / 3) < 1e-3
+    assert {r.doc_id for r in rows.filter("kept AND tokens = 0").collect()} == {9000, 9001}
+    assert rows.filter("doc_id = 9002").first().p == 0.0  # its source isn't named
+    kept = mixing.mix(df, 0.8, targets, 1e-6)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in rows.filter("kept").collect()}
