@@ -66,6 +66,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
     def split(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import xxhash
         import zstandard
         from pyspark import TaskContext
 
@@ -73,7 +74,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
         names = ["block", "bucket", "doc_ids", "counts", "codes", "buckets", "words"]
         kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
-        def flush(ids, counts, codes, table):
+        def flush(ids, counts, codes, table, content):
             codes, words = np.array(codes, np.int64), list(table)
             often = np.bincount(codes, minlength=len(words))
             order = np.argsort(-often, kind="stable")
@@ -81,7 +82,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             rank[order] = np.arange(len(words))
             words = [words[i] for i in order]
             of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            block = f"{part}-{next(numbers)}"
+            block = f"{part}-{next(numbers)}-{content.hexdigest()}"
             rows = [(block, -1, ids, _pack(np.array(counts)), _pack(rank[codes]), _pack(of), None)]
             by = np.argsort(of, kind="stable")
             edges = np.flatnonzero(np.diff(of[by])) + 1
@@ -92,23 +93,25 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
         def fresh():
             table = defaultdict()
             table.default_factory = count().__next__
-            return [], [], [], table
+            return [], [], [], table, xxhash.xxh3_128()
 
-        ids, counts, codes, table = fresh()
+        ids, counts, codes, table, content = fresh()
         size = 0
         for batch in common.slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = (text or b"").split()
+                content.update(b"%d %d " % (len(text or b""), doc_id or 0))
+                content.update(text or b"")
                 codes.extend(map(table.__getitem__, words))
                 ids.append(doc_id)
                 counts.append(len(words))
                 size += len(text or b"")
                 if size >= BLOCK:
-                    yield flush(ids, counts, codes, table)
-                    ids, counts, codes, table = fresh()
+                    yield flush(ids, counts, codes, table, content)
+                    ids, counts, codes, table, content = fresh()
                     size = 0
         if ids:
-            yield flush(ids, counts, codes, table)
+            yield flush(ids, counts, codes, table, content)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(split, _BLOCKS)
 
@@ -161,7 +164,8 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded (the ids' pieces with a space between).
 
     The texts are split twice, for the words and for the codes, which takes less than keeping both. Blocks are therefore named
-    by partition and number: docs must give the same partitions each time it is read, as a scan of files does.
+    by partition, number and a hash of their ids and texts: docs must give the same partitions each time it is read, as a scan
+    of files does. If it doesn't, names don't meet and the job fails; ids never reach another document.
     """
     path = path or vocabulary_path()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -179,6 +183,8 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             model = Tokenizer.from_file(path)
             held["pieces"] = np.array([(model.id_to_token(i) or "") for i in range(model.get_vocab_size(with_added_tokens=True))], object)
         pieces = held["pieces"]
+        if not left.num_rows:
+            raise ValueError("the rows of docs came in another order when they were read again")
         of = _unpack(left.column("buckets")[0].as_py()).astype(np.int64)
         lengths, flat = [], []
         for i in np.argsort(right.column("bucket").to_numpy()):

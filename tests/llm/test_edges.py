@@ -98,3 +98,10 @@ def test_very_long_and_listed_urls(spark):
     listed = spark.createDataFrame([("listed.test/a/b",)], "entry string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, rules, listed).collect()}
     assert got == {1: ("example.org/en/1", "block"), 2: (None, "block"), 3: (None, "allow")}
+
+
+def test_blocks_are_named_by_their_content(spark):
+    rows = [(1, "one two"), (2, "three"), (None, None)]
+    names = lambda r: {b.block for b in bpe._blocks(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), 16).select("block").collect()}
+    assert names(rows) == names(rows) and len(names(rows)) == 1
+    assert not names(rows) & names(rows[::-1]) and not names(rows) & names([(1, "one two"), (2, "thre "), (None, None)])
