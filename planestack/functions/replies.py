@@ -48,6 +48,17 @@ def _field(text: Column, name: str, value: str) -> Column:
     return F.nullif(F.regexp_extract(text, rf'"{name}"\s*:\s*{value}', 1), F.lit(""))
 
 
+def initial_prompt(text: Column, parsed_object: Column, default: Column) -> Column:
+    """The prompt of a reply: of its JSON object, else the first one that is quoted whole, else the default.
+
+    parsed_object: the first balanced JSON object as a string, null if none. An object that doesn't parse, or whose prompt is
+    missing or empty, leaves the choice to the quoted one, which may be empty.
+    """
+    said = F.nullif(F.from_json(parsed_object, "prompt string")["prompt"], F.lit(""))
+    quoted = rf'"prompt"\s*:\s*{STRING}'
+    return F.coalesce(said, F.when(text.rlike(quoted), F.regexp_extract(text, quoted, 1)), default)
+
+
 def evaluation(text: Column, parsed_object: Column) -> Column:
     """struct(score, dice_used, issues, refined_prompt, should_stop) of a reply.
 

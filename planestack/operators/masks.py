@@ -153,6 +153,11 @@ def markers(scored: DataFrame, above: float, width: int, least: int = 5, most: i
     return found.filter(F.col("area").between(least, most)).select("img_id", F.col("cy").alias("y"), F.col("cx").alias("x"), "area")
 
 
+def union_of(objects: DataFrame, value: str, above: float) -> DataFrame:
+    """img_id, y, x, value, any: the largest value of all objects at a pixel, and whether any of them is over the bound."""
+    return objects.groupBy("img_id", "y", "x").agg(F.max(value).alias("value"), F.bool_or(F.col(value) > above).alias("any"))
+
+
 def dice(a: DataFrame, b: DataFrame) -> DataFrame:
     """img_id, dice of two masks: 2 TP / (2 TP + FP + FN)."""
     both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), ["img_id", "y", "x"], "full")

@@ -231,6 +231,13 @@ def dice(spark, sf):
     return masks.dice(mask(spark, sf, 0.1), mask(spark, sf, 0.05))
 
 
+@query(f'WITH {GREY} SELECT z // 3 AS img_id, y, x, max(g) AS "value", max(g) > 140 AS "any" FROM grey GROUP BY ALL')
+def mask_union(spark, sf):
+    """Three slices in turn as the objects of an image, put together."""
+    objects = grey(spark, sf).select(F.expr("z div 3").alias("img_id"), "y", "x", "g")
+    return masks.union_of(objects, "g", 140)
+
+
 @query(f"WITH {GREY} SELECT z, y, x, g / 127.5::DOUBLE - 1 AS t FROM grey")
 def tensor_scale(spark, sf):
     return grey(spark, sf).select("z", "y", "x", pixels.signed(F.col("g")).alias("t"))

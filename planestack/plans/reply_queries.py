@@ -39,6 +39,20 @@ def multi_prompt(spark, sf):
     return items.select("n_nationkey", replies.multi_prompt(F.col("l")).alias("prompt"))
 
 
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'color {x} of ' || event_id WHEN 1 THEN 'cut ' || event_id WHEN 2 THEN '' WHEN 3 THEN 'default' ELSE 'default' END AS prompt FROM events"""
+)
+def initial_prompts(spark, sf):
+    """Replies with a whole object, one that is cut off, one with an empty prompt, one without a prompt, and plain text."""
+    n, kind = F.col("event_id").cast("string"), F.col("event_id") % 5
+    whole = F.concat(F.lit('so: {"reasoning": "a {b}", "prompt": "color {x} of '), n, F.lit('"} end'))
+    cut = F.concat(F.lit('{"prompt": "cut '), n, F.lit('", "reasoning": "no e'))
+    text = F.when(kind == 0, whole).when(kind == 1, cut).when(kind == 2, F.lit('{"prompt": ""}')).when(kind == 3, F.lit('{"other": 1}')).otherwise(F.lit("plain"))
+    rows = table(spark, sf, "events").select("event_id", F.left(text, F.lit(4000)).alias("text"))
+    rows = rows.withColumn("object", replies.first_object(F.col("text")))
+    return rows.select("event_id", replies.initial_prompt(F.col("text"), F.col("object"), F.lit("default")).alias("prompt"))
+
+
 def _reply(kind):
     score = F.format_string("%.2f", F.col("event_id") % 100 / 100)
     whole = F.concat(F.lit('x {"score": '), score, F.lit(', "issues": ["a", "b"], "note": {"k": "}"}} y'))
