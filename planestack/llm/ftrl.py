@@ -1,7 +1,8 @@
 """Follow-the-regularised-leader (proximal) updates on hashed features, trained by rounds of parameter mixing.
 
-Each round sends the state to a fixed number of partitions of the training sample; each runs over its rows one by one, and
-the driver averages the states that come back. State, sample and partition count all have fixed bounds.
+Each round sends the state to a number of partitions of the training sample; each runs over its rows one by one. What they
+changed is added up by blocks of coordinates in tasks, so the driver gets one sum for each touched coordinate, however many the
+partitions are. State and sample have fixed bounds.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 PARTITIONS = 6
 #: A partition makes at least so many updates a round: small samples are gone over more often.
 LEAST = 1500
+#: Blocks of coordinates whose changes are added up apart.
+BLOCKS = 8
 
 
 class Ftrl:
@@ -49,7 +52,7 @@ def train(
     """Weights after `rounds` rounds of `passes` passes or more each.
 
     `step` makes the updates for one row of the sample (a dict of its columns). start: the first z of some coordinates. Only the
-    coordinates that a partition has touched come back, `size` at most; which of them get a weight is up to l1.
+    coordinates that some partition has touched come back, `size` at most; which of them get a weight is up to l1.
     """
     spark = sample.sparkSession
     z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
@@ -62,6 +65,7 @@ def train(
 
         def local(batches: Iterator, state=state) -> Iterator:
             import pyarrow as pa
+            from pyspark import TaskContext
 
             rows = [row for batch in batches for row in batch.to_pylist()]
             if not rows:
@@ -69,24 +73,42 @@ def train(
             at, z0, n0 = state.value
             model = Ftrl(size, **settings)
             model.z[at], model.n[at] = z0, n0
-            before = model.n.copy()
+            old = Ftrl(size, z=model.z, n=model.n, **settings)
             for row in rows * max(passes, -(-LEAST // len(rows))):
                 step(model, row)
-            own = np.flatnonzero(model.n != before).astype(np.int32)
-            yield pa.RecordBatch.from_pydict(
-                {"rows": [len(rows)], "at": [own.tobytes()], "z": [model.z[own].astype(np.float32).tobytes()], "n": [model.n[own].astype(np.float32).tobytes()]}
+            own = np.flatnonzero(model.n != old.n).astype(np.int32)
+            dz, dn = (len(rows) * (model.z - old.z)[own]).astype(np.float32), (len(rows) * (model.n - old.n)[own]).astype(np.float32)
+            cut = np.searchsorted(own, np.arange(1, BLOCKS) * size // BLOCKS)
+            parts = [[p.tobytes() for p in np.split(x, cut)] for x in (own, dz, dn)]
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*range(BLOCKS)], pa.int32()), pa.array([part] * BLOCKS, pa.int32()), pa.array([len(rows)] * BLOCKS, pa.int64()), *[pa.array(p, pa.binary()) for p in parts]],
+                ["block", "part", "rows", "at", "z", "n"],
             )
 
-        back = sample.mapInArrow(local, "rows long, at binary, z binary, n binary").collect()
-        total = sum(r["rows"] for r in back)
-        z0, n0 = z.copy(), n.copy()
-        for r in back:
-            own = np.frombuffer(r["at"], np.int32)
-            z[own] += r["rows"] / total * (np.frombuffer(r["z"], np.float32) - z0[own])
-            n[own] += r["rows"] / total * (np.frombuffer(r["n"], np.float32) - n0[own])
+        total = 0
+        back = sample.mapInArrow(local, "block int, part int, rows long, at binary, z binary, n binary").groupBy("block").applyInArrow(_summed, "rows long, at binary, z binary, n binary")
+        for r in back.collect():
+            own, total = np.frombuffer(r["at"], np.int32), r["rows"]
+            z[own] += np.frombuffer(r["z"], np.float32) / total
+            n[own] += np.frombuffer(r["n"], np.float32) / total
         state.destroy()
-        del back
-    return Ftrl(size, z=z, n=n, **settings).weights(slice(None))
+    weights = np.zeros(size)
+    at = np.flatnonzero((n > 0) | (z != 0))
+    weights[at] = Ftrl(size, z=z, n=n, **settings).weights(at)
+    return weights
+
+
+def _summed(table):
+    """One row for a block of coordinates: the sums over all partitions, added in the partitions' order."""
+    import pyarrow as pa
+
+    table = table.sort_by("part")
+    at = np.frombuffer(b"".join(table.column("at").to_pylist()), np.int32)
+    known, of = np.unique(at, return_inverse=True)
+    sums = [np.bincount(of, np.frombuffer(b"".join(table.column(c).to_pylist()), np.float32), len(known)).astype(np.float32) for c in ("z", "n")]
+    rows = int(np.sum(table.column("rows").to_numpy()))
+    return pa.table({"rows": pa.array([rows], pa.int64()), "at": pa.array([known.tobytes()], pa.binary()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip("zn", sums, strict=True)}})
 
 
 def spread(rows: DataFrame) -> DataFrame:

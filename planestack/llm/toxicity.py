@@ -10,8 +10,10 @@ itself. Further columns are left out.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ SETTINGS = {"alpha": 0.5, "beta": 1.0, "l1": 2.0, "l2": 0.2}
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 WORD = re.compile(r"\w+")
 #: Distinct words whose weight a task remembers before it starts afresh.
-MEMO = 1 << 17
+MEMO = 1 << 16
 
 
 def features(word: str) -> list[int]:
@@ -123,16 +125,17 @@ def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
     likeliest first, whose noisy-or reaches the threshold together. So each document over the threshold has some. rows: boxed
     documents. Positions are code points of the text itself.
     """
-    at = np.flatnonzero(weights)
+    at = np.flatnonzero(weights).astype(np.int32)
     shared = rows.sparkSession.sparkContext.broadcast((at, weights[at]))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids, values = shared.value
-        by_id = dict(zip(ids.tolist(), values.tolist(), strict=True))
-        bias = by_id.get(BIAS, 0.0)
-        memo: dict[str, tuple] = {}
+        dense = np.zeros(SIZE)
+        dense[shared.value[0]] = shared.value[1]
+        table, bias = array("d", dense.tobytes()), float(dense[BIAS])
+        del dense
+        memo: dict[str, array] = {}  # ids with a weight, as plain integers: a worker keeps some 200 bytes for a word
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in common.slices(batches):
             scores, found = [], []
@@ -154,15 +157,15 @@ def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
                         if v is None:
                             if len(memo) >= MEMO:
                                 memo.clear()
-                            v = memo[w] = tuple((i, by_id[i]) for i in features(w) if i in by_id)
+                            v = memo[w] = array("i", [i for i in features(w) if table[i]])
                         if v:
                             if seen is None:
-                                seen = {}
+                                seen = set()
                             seen.update(v)
                     if seen is None:
                         quiet += 1
                         continue
-                    total += sum(seen.values())
+                    total += math.fsum(map(table.__getitem__, seen))  # the same in whatever order words come
                     p = 1 / (1 + np.exp(-min(30.0, max(-30.0, total))))
                     log_clean += np.log1p(-min(p, 1 - 1e-12))
                     spans.append((m.start(), m.end(), p))
