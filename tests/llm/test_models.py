@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planestack.llm import common, ftrl, quality, toxicity
 
@@ -130,3 +131,31 @@ def test_one_text_of_several_for_an_id(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, quality int")
     rows = common.training_rows(docs, labels, "quality", labels.doc_id >= 0, 10)
     assert {tuple(r) for r in rows.collect()} == {(1, "a", 1), (2, None, 0)}
+
+
+def test_a_round_is_the_mean_of_its_partitions(spark):
+    size, settings = 64, {"alpha": 0.5, "beta": 1.0, "l1": 0.01, "l2": 0.1}
+
+    def step(model, row):
+        at = np.array([row["doc_id"] % 7, 10 + row["doc_id"] % 50, 63])
+        w = model.weights(at)
+        model.update(at, w, np.full(3, 1 / (1 + np.exp(-w.sum())) - row["y"]))
+
+    rows = spark.createDataFrame([(i, i % 3 % 2) for i in range(90)], "doc_id long, y int").repartition(5, "doc_id").cache()
+    parts = rows.select("*", F.spark_partition_id().alias("part")).collect()
+    z, n = np.zeros(size), np.zeros(size)
+    for _ in range(3):
+        states = []
+        for part in sorted({r.part for r in parts}):
+            own = [r.asDict() for r in parts if r.part == part]
+            model = ftrl.Ftrl(size, z=z, n=n, **settings)
+            for row in own * -(-ftrl.LEAST // len(own)):
+                step(model, row)
+            states.append((len(own), model))
+        z = sum(k * m.z for k, m in states) / len(parts)
+        n = sum(k * m.n for k, m in states) / len(parts)
+    want = ftrl.Ftrl(size, z=z, n=n, **settings).weights(slice(None))
+    got = ftrl.train(rows, step, size, 3, **settings)
+    rows.unpersist()
+    assert np.abs(want).max() > 0.1 and got == pytest.approx(want, abs=1e-4)
+    assert not ftrl.train(rows.limit(0), step, size, 2, **settings).any()
