@@ -60,12 +60,12 @@ def initial_prompt(text: Column, parsed_object: Column, default: Column) -> Colu
 
 
 def evaluation(text: Column, parsed_object: Column) -> Column:
-    """struct(score, dice_used, issues, refined_prompt, should_stop) of a reply.
+    """struct(score, dice_used, detailed, issues, refined_prompt, should_stop, reasoning) of a reply.
 
     parsed_object: its JSON object as a string (fenced, or the first balanced one), null if none. Where that doesn't parse, the
     fields that are whole are salvaged one by one; without any, the score is 0.5 and the issue says so.
     """
-    shape = "score double, detailed_scores struct<tp_rate:double,fp_rate:double,fn_rate:double,boundary_quality:double,dice_score:double>, issues array<string>, refined_prompt string, should_stop boolean"
+    shape = "score double, detailed_scores struct<tp_rate:double,fp_rate:double,fn_rate:double,boundary_quality:double,dice_score:double>, issues array<string>, refined_prompt string, should_stop boolean, reasoning string"
     whole = F.from_json(parsed_object, shape)
     good = F.coalesce(F.get_json_object(parsed_object, "$").isNotNull(), F.lit(False))
     number = lambda n: F.expr("double(null)") if n is None else _field(text, n, NUMBER).try_cast("double")
@@ -77,15 +77,27 @@ def evaluation(text: Column, parsed_object: Column) -> Column:
     plain = F.when(good, whole["score"]).otherwise(number("score"))
     score = F.when(has_detail, F.coalesce(dice, F.lit(0.5))).otherwise(F.coalesce(plain, F.lit(0.5)))
     issues = F.when(good, F.coalesce(whole["issues"], F.array().cast("array<string>"))).when(some, F.coalesce(salvaged_issues, F.array().cast("array<string>"))).otherwise(F.array(F.lit(DEFAULT_ISSUE)))
+    part = lambda n: F.coalesce(F.when(good, whole["detailed_scores"][n]).otherwise(number(n)), F.lit(0.5)).alias(n)
     return F.struct(
         score.alias("score"),
         has_detail.alias("dice_used"),
+        F.when(has_detail, F.struct(*[part(n) for n in SUBSCORES])).alias("detailed"),
         issues.alias("issues"),
         F.when(good, whole["refined_prompt"]).otherwise(_field(text, "refined_prompt", STRING)).alias("refined_prompt"),
         F.coalesce(F.when(good, whole["should_stop"]).otherwise(_field(text, "should_stop", "(true|false)") == "true"), F.lit(False)).alias("should_stop"),
+        F.coalesce(F.when(good, whole["reasoning"]).otherwise(_field(text, "reasoning", STRING)), F.lit("")).alias("reasoning"),
     )
 
 
+def point_refinement(parsed_object: Column) -> Column:
+    """struct(removed, added) of a reply's object; null if it has none."""
+    kind = "point_refinement struct<add_points:array<struct<x:int,y:int,label:int,instance:int>>, remove_indices:array<int>>"
+    r = F.from_json(parsed_object, kind)["point_refinement"]
+    added = F.transform(r["add_points"], lambda p: p.withField("label", F.coalesce(p["label"], F.lit(1))))
+    none = F.array().cast("array<struct<x:int,y:int,label:int,instance:int>>")
+    return F.when(r.isNotNull(), F.struct(F.coalesce(r["remove_indices"], F.array().cast("array<int>")).alias("removed"), F.coalesce(added, none).alias("added")))
+
+
 def json_of(text: Column) -> Column:
     """The fenced JSON object of a text, else its first balanced one."""
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
@@ -149,6 +161,31 @@ def listed_points(parsed_object: Column, w: Column, h: Column) -> Column:
     return F.filter(shaped, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
 
+def loose_points(text: Column, w: Column, h: Column) -> Column:
+    """array<struct<x,y,label,instance>> of the points that stand whole in a text whose JSON is broken; each is its own instance."""
+    found = F.regexp_extract_all(text, F.lit(r'\{\s*"x"\s*:\s*\d+\s*,\s*"y"\s*:\s*\d+(?:\s*,\s*"label"\s*:\s*\d+)?\s*\}'), F.lit(0))
+    number = lambda m, name: F.regexp_extract(m, rf'"{name}"\s*:\s*(\d+)', 1)
+
+    def one(m: Column, i: Column) -> Column:
+        at = _point(number(m, "x").try_cast("int"), number(m, "y").try_cast("int"), w, h)
+        label = F.when(m.contains('"label"'), number(m, "label").try_cast("int")).otherwise(F.lit(1))
+        return F.struct(at["x"].alias("x"), at["y"].alias("y"), label.alias("label"), F.when(label == 1, i.cast("int")).alias("instance"))
+
+    return F.transform(found, one)
+
+
+def points(text: Column, parsed_object: Column, w: Column, h: Column) -> Column:
+    """array<struct<x,y,label,instance>> of a reply: its JSON object's points, else loose ones, else tuples by line, else the centre.
+
+    An object that parses and lists something settles it, even if none of what it lists is a point.
+    """
+    listed = F.from_json(parsed_object, "points array<string>")["points"]
+    by_line = F.transform(tuples(text, w, h), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(1).alias("label"), p["instance"].alias("instance")))
+    loose = loose_points(text, w, h)
+    none = F.array().cast("array<struct<x:int,y:int,label:int,instance:int>>")
+    return F.when(F.size(listed) > 0, F.coalesce(listed_points(parsed_object, w, h), none)).when(F.size(loose) > 0, loose).otherwise(by_line)
+
+
 def accepted(reply: Column, label: Column) -> Column:
     """Whether a point stays: background always does, and so does one whose reply doesn't parse or doesn't say."""
     body = F.trim(F.regexp_replace(F.when(reply.contains("```"), F.get(F.split(reply, "```"), F.lit(1))).otherwise(reply), "^json", ""))

@@ -12,6 +12,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 _GENERATORS: dict[str, Callable] = {}
 _CHAT: dict[str, Callable] = {}
+_PAINTERS: dict[str, Callable] = {}
+_JUDGES: dict[str, Callable] = {}
+
+#: Calls of a busy model for a row, and the seconds before the second one; the n-th wait is n times as long.
+TRIES, WAIT = 3, 30.0
+
+
+class Busy(Exception):
+    """A model that refuses for now. Raised for a whole call, or returned in place of a row's result; the row is asked again."""
 
 
 def generator(name: str):
@@ -24,6 +33,31 @@ def chat(name: str):
     return lambda f: _CHAT.setdefault(name, f)
 
 
+def painter(name: str):
+    """Register a factory: called once in a worker, it returns f(pandas frame of slices and parameters) -> list of images (bytes).
+
+    An exception in place of an image says that the row has none.
+    """
+    return lambda f: _PAINTERS.setdefault(name, f)
+
+
+def judge(name: str):
+    """Register a factory: called once in a worker, it returns f(pandas frame of slices, images, system and request) -> list of replies."""
+    return lambda f: _JUDGES.setdefault(name, f)
+
+
+def create_painter(name: str) -> Callable:
+    if name not in _PAINTERS:
+        raise ValueError(f"no painter {name}; there are {sorted(_PAINTERS)}")
+    return _PAINTERS[name]
+
+
+def create_judge(name: str) -> Callable:
+    if name not in _JUDGES:
+        raise ValueError(f"no judge {name}; there are {sorted(_JUDGES)}")
+    return _JUDGES[name]
+
+
 def create_generator(name: str) -> Callable:
     if name not in _GENERATORS:
         raise ValueError(f"no generator {name}; there are {sorted(_GENERATORS)}")
@@ -44,6 +78,65 @@ def threshold_generator():
     return lambda tiles: [(np.frombuffer(t, "<f8") > 0.1).astype(np.uint8).tobytes() for t in tiles["data"]]
 
 
+@painter("cut")
+def cut_painter():
+    """The foreground over a cut that the parameters move: a mask of 0 and 1 for a row's `tile` (array).
+
+    It stands for a generator whose parameters matter. The row's `offset` is the error that they have to make up for; a slice
+    whose `fails` is the iteration has no image.
+    """
+    import numpy as np
+
+    def paint(f):
+        strength = f["strength"].fillna(0.75)
+        cuts = 0.1 + f["offset"] + (f["guidance_scale"] - 3.5) / 50 + (strength - 0.75) / 10 + (f["num_inference_steps"] - 28) / 1000
+        masks = [(np.asarray(t, float) > c).astype(np.uint8).tobytes() for t, c in zip(f["tile"], cuts, strict=True)]
+        return [ValueError("no image") if fails == i else m for m, fails, i in zip(masks, f["fails"], f["iteration"], strict=True)]
+
+    return paint
+
+
+@judge("dice")
+def dice_judge():
+    """A reply in JSON with the overlap of an image and the foreground over 0.1, and a next prompt while that is under 0.9."""
+    import json
+
+    import numpy as np
+
+    def reply(tile, image, i):
+        true, said = np.asarray(tile, float) > 0.1, np.frombuffer(image, np.uint8) > 0
+        hit, extra, missed = int((true & said).sum()), int((~true & said).sum()), int((true & ~said).sum())
+        dice = 2.0 * hit / (2 * hit + extra + missed) if hit + extra + missed else 1.0
+        detail = {"tp_rate": hit / 64, "fp_rate": extra / 64, "fn_rate": missed / 64, "boundary_quality": 0.5, "dice_score": dice}
+        issues = ["too much"] * (extra > missed) + ["too little"] * (missed > extra)
+        return json.dumps({"score": 0.25, "detailed_scores": detail, "issues": issues, "refined_prompt": f"again, {i + 1}" if dice < 0.9 else None})
+
+    return lambda f: ["Sure: " + reply(t, m, i) for t, m, i in zip(f["tile"], f["image"], f["iteration"], strict=True)]
+
+
+@painter("often_busy")
+def often_busy_painter():
+    """The tile's sum as an image, from a model that refuses each row `busy` times."""
+    import numpy as np
+
+    refused: dict = {}
+
+    def paint(f):
+        out = []
+        for run, busy, tile in zip(f["run"], f["busy"], f["tile"], strict=True):
+            refused[run] = refused.get(run, -1) + 1
+            out.append(Busy("busy") if refused[run] < busy else np.asarray(tile, float).astype("<f8").tobytes())
+        return out
+
+    return paint
+
+
+@judge("none")
+def no_judge():
+    """Says nothing that could be read: for runs of a single iteration, which aren't judged."""
+    return lambda f: ["{}"] * len(f)
+
+
 @chat("echo")
 def echo_chat():
     """Points to the middle of whatever is asked about."""
@@ -86,3 +179,59 @@ def segment(slices: DataFrame, name: str, keys: list[str]) -> DataFrame:
         return pa.table({**{k: pa.array([table.column(k)[0].as_py()] * len(r), table.schema.field(k).type) for k in keys}, "row": r, "col": c})
 
     return slices.groupBy(*keys).applyInArrow(run, f"{of_keys}, row long, col long")
+
+
+def attempted(model: Callable, frame, tries: int = TRIES, wait: float = WAIT, sleep: Callable[[float], None] | None = None) -> tuple[list, list, list]:
+    """Results, errors and attempts of a model for the rows of a pandas frame.
+
+    Only rows that met a busy model are asked again, after a wait; those still refused at the end, and rows with another error,
+    have no result and the error's text.
+    """
+    import time
+
+    n = len(frame)
+    results, errors, attempts, left = [None] * n, [None] * n, [0] * n, list(range(n))
+    for attempt in range(1, tries + 1):
+        if not left:
+            break
+        if attempt > 1:
+            (sleep or time.sleep)(wait * (attempt - 1))
+        try:
+            got = model(frame.iloc[left])
+        except Busy as e:
+            got = [e] * len(left)
+        if len(got) != len(left):
+            raise ValueError(f"{len(got)} results for {len(left)} rows")
+        again = []
+        for i, value in zip(left, got, strict=True):
+            attempts[i] = attempt
+            failed = isinstance(value, Exception)
+            results[i], errors[i] = (None, str(value)) if failed else (value, None)
+            if isinstance(value, Busy):
+                again.append(i)
+        left = again
+    return results, errors, attempts
+
+
+def called(rows: DataFrame, factory: Callable, inputs: list[str], column: str, kind: str, tries: int = TRIES, wait: float = WAIT, batch: int = 64) -> DataFrame:
+    """rows with `column` (of SQL type kind), column_error and column_attempts: what a model returns for the columns `inputs`.
+
+    A worker makes the model once for its partition and asks it in batches. Exhausted rows keep their place, without a result.
+    """
+    from pyspark.sql.types import IntegerType, _parse_datatype_string
+
+    added = [StructField(column, _parse_datatype_string(kind)), StructField(f"{column}_error", StringType()), StructField(f"{column}_attempts", IntegerType())]
+    schema = StructType([*rows.schema.fields, *added])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        model, kinds = factory(), [to_arrow_type(f.dataType) for f in added]
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                some = whole.slice(at, batch)
+                found = attempted(model, some.select(inputs).to_pandas(), tries, wait)
+                yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array(v, k) for v, k in zip(found, kinds, strict=True)]], schema.names)
+
+    return rows.mapInArrow(run, schema)

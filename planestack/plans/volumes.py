@@ -224,12 +224,3 @@ def flow_loss(spark, sf):
 def position_ids(spark, sf):
     one = lambda n, c: spark.range(n).withColumnRenamed("id", c)
     return one(1, "t").crossJoin(one(6, "h")).crossJoin(one(9, "w")).crossJoin(one(1, "l"))  # fixed sizes: 54 rows
-
-
-def refine_loop(spark, sf):
-    """The refinement loop with deterministic stand-ins for the models."""
-    runs = table(spark, sf, "customer").select(F.col("c_custkey").alias("run"), F.lit(3.5).alias("start"))
-    return refine.refine(runs, lambda run, value: value, lambda run, value: 1 - abs(value - 3 - run % 5 / 4) / 4)
-
-
-query()(refine_loop)
