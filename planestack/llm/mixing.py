@@ -3,9 +3,8 @@
 Tokens are added up in cells of source, language and topic. Each marginal in turn is raked: the weights of its values are
 scaled so that the weighted tokens meet the targets, until the cells fit all three. A document of a cell is then kept with a
 probability in proportion to its cell's weight, found against a hash of its id, so a run can be repeated and any executor
-decides alike. The kept share is set so that the expected tokens are KEEP of all; a probability over 1 is cut to 1, and the
-others are scaled up by one factor without raking again. So the sample misses the raked marginals where cells are cut. A value
-whose target is over 1 / KEEP times its share of the input can't meet it at this KEEP: it has too few tokens. op4_shares tells
+decides alike. The kept share of all tokens is KEEP, or less where that would take a probability over 1: the cell with the
+largest weight is then kept whole, and no probability is cut, so the expected sample meets the raked marginals. op4_shares tells
 the target and the reached share of each value.
 
 Targets may be given as a table (marginal, value, share). Without one, the target of a value is its share of tokens to the power TEMPER, normalised, which evens out a dominant source. The topic is
@@ -117,36 +116,23 @@ def rake(cell_rows: DataFrame, rounds: int = ROUNDS, tolerance: float | None = N
     return rows
 
 
-def probabilities(raked: DataFrame, keep: float = KEEP, uncut: bool = False) -> DataFrame:
-    """source, lang, topic, p: weights scaled so that kept tokens are `keep` of all, cut to 1 (twice scaled, so nearly exact).
-
-    uncut: less is kept where a probability would be cut, so that the sample meets the raked shares.
-    """
-    if uncut:
-        most = raked.agg(F.max("weight")).first()[0] or 1.0
-        return raked.withColumn("p", F.col("weight") * F.lit(min(keep, 1 / most))).select("source", "lang", "topic", "weight", "p")
-    rows = raked.withColumn("p", F.col("weight"))
-    for _ in range(4):
-        s = rows.agg(
-            F.sum("tokens").alias("all"), F.sum(F.when(F.col("p") >= 1, F.col("tokens"))).alias("full"), F.sum(F.when(F.col("p") < 1, F.col("tokens") * F.col("p"))).alias("part")
-        ).first()
-        room = keep * (s["all"] or 0) - (s["full"] or 0)
-        factor = room / s["part"] if s["part"] and room > 0 else 1.0
-        rows = rows.withColumn("p", F.when(F.col("p") >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.col("p") * F.lit(factor))))
-    return rows.select("source", "lang", "topic", "weight", "p")
+def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
+    """source, lang, topic, weight, p: weights scaled by one factor, so that kept tokens are `keep` of all or p is 1 at most."""
+    most = raked.agg(F.max("weight")).first()[0] or 1.0
+    return raked.withColumn("p", F.col("weight") * F.lit(min(keep, 1 / most))).select("source", "lang", "topic", "weight", "p")
 
 
 def decided(docs: DataFrame, keep: float = KEEP, targets: DataFrame | None = None, tolerance: float = 1e-4) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, p, kept of every row (no text).
 
-    Without targets (see with_targets) the tempered ones hold, in ROUNDS rounds and with probabilities cut to 1. With targets the
-    cells are raked to the tolerance (MOST_ROUNDS at most) and no probability is cut; `shares` tells what is reached.
+    Without targets (see with_targets) the tempered ones hold, in ROUNDS rounds. With targets the cells are raked to the tolerance
+    (MOST_ROUNDS at most). `shares` tells what is reached.
     """
     rows = docs.select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
     rows, _ = common.materialize(rows, "mix")
     cell_rows, _ = common.materialize(cells(rows), "cells")
     cell_rows, _ = common.materialize(with_targets(cell_rows, TEMPER, targets), "cells")
-    p = probabilities(rake(cell_rows) if targets is None else rake(cell_rows, MOST_ROUNDS, tolerance), keep, targets is not None).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "weight", "p")
+    p = probabilities(rake(cell_rows) if targets is None else rake(cell_rows, MOST_ROUNDS, tolerance), keep).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "weight", "p")
     fits = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MARGINALS]
     rows = rows.join(p, fits[0] & fits[1] & fits[2], "left")
     rows = rows.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "p": F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(1.0))).otherwise(1.0)})
@@ -212,18 +198,12 @@ def _sql() -> str:
                 JOIN (SELECT y.{c} AS v, any_value(target) AS target, sum(tokens * weight) AS have FROM c{n} y JOIN t_{c} z ON y.{c} IS NOT DISTINCT FROM z.{c} GROUP BY y.{c}) s ON x.{c} IS NOT DISTINCT FROM s.v)"""
             )
             n += 1
-    parts.append(f"p0 AS (SELECT *, weight AS p FROM c{n})")
-    for k in range(4):
-        parts.append(
-            f"""f{k} AS (SELECT CASE WHEN part > 0 AND {KEEP} * a - f > 0 THEN ({KEEP} * a - f) / part ELSE 1.0 END AS x FROM
-            (SELECT sum(tokens) AS a, coalesce(sum(tokens) FILTER (p >= 1), 0) AS f, sum(tokens * p) FILTER (p < 1) AS part FROM p{k}))"""
-        )
-        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN p >= 1 THEN 1.0 ELSE least(1.0, p * (SELECT x FROM f{k})) END AS p) FROM p{k})")
+    parts.append(f"q AS (SELECT *, weight * least({KEEP}::DOUBLE, 1 / (SELECT max(weight) FROM c{n})) AS p FROM c{n})")
     return f"""WITH {', '.join(parts)}
 SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(coalesce(q.weight, 1.0), 6) AS weight,
     round(CASE WHEN d.tokens > 0 THEN coalesce(q.p, 1.0) ELSE 1.0 END, 6) AS p,
     ('0x' || substr(md5('mix-' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 7))::BIGINT < CASE WHEN d.tokens > 0 THEN coalesce(q.p, 1.0) ELSE 1.0 END * {DRAWS} AS kept
-FROM d LEFT JOIN p4 q ON d.source IS NOT DISTINCT FROM q.source AND d.lang IS NOT DISTINCT FROM q.lang AND d.topic IS NOT DISTINCT FROM q.topic"""
+FROM d LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.lang IS NOT DISTINCT FROM q.lang AND d.topic IS NOT DISTINCT FROM q.topic"""
 
 
 OP4_SQL = _sql()

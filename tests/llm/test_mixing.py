@@ -1,16 +1,21 @@
-"""Mixing where targets are missed."""
+"""Mixing to targets that are scarce or given."""
 
 from planestack.llm import mixing
 
 
-def test_shares_tell_a_target_that_is_missed(spark):
+def test_a_scarce_value_meets_its_target(spark):
     docs = [(i, "a", "en", "w " * 10) for i in range(400)] + [(1000 + i, "b", "es", "w " * 10) for i in range(4)]
     rows = mixing.decided(spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")).cache()
     got = {(r.marginal, r.value): r for r in mixing.shares(rows).collect()}
     b = got["source", "b"]
-    assert rows.filter("source = 'b' AND p < 1").isEmpty()
+    assert rows.filter("source = 'b' AND p < 0.999999").isEmpty() and rows.filter("p > 1.000001").isEmpty()
     assert abs(b.input - 4 / 404) < 1e-4 and abs(b.target - 4**0.7 / (4**0.7 + 400**0.7)) < 1e-4
-    assert abs(b.expected - 4 / (0.8 * 404)) < 1e-3 and b.expected < b.target
+    assert abs(b.expected - b.target) < 1e-3
+
+
+def test_reached_shares(spark):
+    for r in mixing.op4_shares(spark, "/root/testdata/sf0.1").collect():
+        assert abs(r.expected - r.target) < 1e-3
 
 
 def test_given_targets_are_met(spark):
