@@ -4,6 +4,12 @@ A sentence has the probability sigmoid(w.x + b) over its hashed distinct words a
 inflected forms of a stem share weight); a document combines its sentences by noisy-or, 1 - prod(1 - p). Training follows the gradient of the document's log-loss into every sentence (FTRL-proximal), so the
 sentences that make a document toxic are located without any sentence label. No feature is left out; l1 keeps most at 0.
 
+Noisy-or alone makes any text toxic that is long enough, as each harmless sentence adds a little. So a sentence counts once in a
+document, however often it is repeated, and a document longer than usual is held against what harmless text of that length adds
+up to: from the harmless training documents come the usual length, and mean and spread of what a sentence adds. Sentences beyond
+the usual length must exceed the mean by SURE standard errors together; or a stretch of STRETCH sentences must do so by itself,
+which finds a toxic passage in a text of any length.
+
 Defined results: a null or empty text, or one without words, has no sentence and scores 0. Repeated rows are scored each for
 itself. Further columns are left out.
 """
@@ -15,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +40,38 @@ PASSES = 3
 SETTINGS = {"alpha": 0.5, "beta": 1.0, "l1": 2.0, "l2": 0.2}
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 WORD = re.compile(r"\w+")
+#: Standard errors that a text must be over what harmless text adds up to; sentences of a stretch looked at for itself.
+SURE, STRETCH = 3.0, 8
+#: Share of the harmless training documents that are no longer than the usual length.
+USUAL = 0.9
 #: Distinct words whose weight a task remembers before it starts afresh.
 MEMO = 1 << 16
 
 
+class Model(NamedTuple):
+    """Weights, and what harmless text is like: the usual number of sentences, mean and spread of what one adds (-log(1 - p))."""
+
+    weights: np.ndarray
+    usual: float = math.inf
+    mean: float = 0.0
+    spread: float = 0.0
+
+    def expected(self, sentences: int) -> float:
+        """The most that so many sentences of harmless text are held to add up to."""
+        return self.mean * sentences + SURE * self.spread * math.sqrt(sentences)
+
+    def evidence(self, added: list[float]) -> float:
+        """What a document's distinct sentences add up to beyond harmless text; 1 - exp(-it) is the score."""
+        n = len(added)
+        if n <= self.usual:
+            return math.fsum(added)
+        sums = np.concatenate([[0.0], np.cumsum(added)])
+        whole = sums[-1] - self.expected(n - int(self.usual))
+        if n > STRETCH:
+            whole = max(whole, float((sums[STRETCH:] - sums[:-STRETCH]).max()) - self.expected(STRETCH))
+        return max(0.0, whole)
+
+
 def features(word: str) -> list[int]:
     """Ids of a word and of its beginnings."""
     parts = [word, *(f"^{word[:k]}" for k in range(3, min(6, len(word)) + 1))]
@@ -44,9 +79,9 @@ def features(word: str) -> list[int]:
 
 
 def _instances(text: str | None) -> tuple[list[int], list[int]]:
-    """Feature ids of all sentences in a row, and the count of each sentence's."""
+    """Feature ids of the distinct sentences in a row, and the count of each sentence's."""
     ids, counts = [], []
-    for sentence in SENTENCE.findall((text or "").lower()):
+    for sentence in dict.fromkeys(s.strip() for s in SENTENCE.findall((text or "").lower())):
         if words := set(WORD.findall(sentence)):
             own = {i for w in words for i in features(w)}
             ids += sorted(own)
@@ -90,15 +125,44 @@ def _step(model: ftrl.Ftrl, row: dict) -> None:
     model.update(at, w, g)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: F.Column | None = None, most: int = MOST) -> np.ndarray:
-    """Weights learned from a bounded sample of the labelled rows for which held_out is not true."""
+def _harmless(rows: DataFrame, weights: np.ndarray) -> Model:
+    """The model with the background of the harmless training rows (those that don't score 0.5 against their label)."""
+    at = np.flatnonzero(weights).astype(np.int32)
+    shared = rows.sparkSession.sparkContext.broadcast((at, weights[at]))
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        dense = np.zeros(SIZE)
+        dense[shared.value[0]] = shared.value[1]
+        for batch in batches:
+            out = []
+            for ids, counts in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                ids, counts = np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32)
+                if len(counts):
+                    z = np.add.reduceat(dense[ids], np.cumsum(counts) - counts) + dense[BIAS]
+                    x = -np.log1p(-np.minimum(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 - 1e-12))
+                    if x.sum() < math.log(2):
+                        out.append((len(x), float(x.sum()), float((x * x).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.float64()) for i in range(3)], ["n", "x", "xx"])
+
+    found = rows.filter("y = 0").select("ids", "counts").mapInArrow(add, "n double, x double, xx double")
+    r = found.agg(F.percentile("n", F.lit(USUAL)).alias("usual"), F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx")).first()
+    if not r["n"]:
+        return Model(weights)
+    mean = r["x"] / r["n"]
+    return Model(weights, r["usual"], mean, math.sqrt(max(0.0, r["xx"] / r["n"] - mean * mean)))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: F.Column | None = None, most: int = MOST) -> Model:
+    """A model learned from a bounded sample of the labelled rows for which held_out is not true."""
     keep = ~held_out if held_out is not None else F.lit(True)
     rows, path = common.materialize(_featurised(ftrl.spread(common.training_rows(docs, labels, label, keep, most))), "mil")
     # A bag of sentences starts out improbable: the bias is set so that w = -6 there.
     z = 6 * (SETTINGS["beta"] / SETTINGS["alpha"] + SETTINGS["l2"]) + SETTINGS["l1"]
-    weights = ftrl.train(ftrl.spread(rows), _step, SIZE, ROUNDS, {BIAS: z}, PASSES, **SETTINGS)
+    model = _harmless(rows, ftrl.train(ftrl.spread(rows), _step, SIZE, ROUNDS, {BIAS: z}, PASSES, **SETTINGS))
     common.drop(docs.sparkSession, path)
-    return weights
+    return model
 
 
 def _located(spans: list[tuple], threshold: float) -> list[tuple]:
@@ -118,13 +182,15 @@ def _span(start: int, end: int, p: float, place: np.ndarray | None) -> dict:
     return {"start": start, "end": end, "score": float(p)}
 
 
-def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
+def score(rows: DataFrame, weights: Model | np.ndarray, threshold: float = 0.5) -> DataFrame:
     """row, score, sentences: array of (start, end, score), in the order of the text.
 
     sentences: those at or over the threshold; if a document is over it with none of these enough, also the fewest others, the
     likeliest first, whose noisy-or reaches the threshold together. So each document over the threshold has some. rows: boxed
-    documents. Positions are code points of the text itself.
+    documents. Positions are code points of the text itself. Bare weights make no allowance for length.
     """
+    model = weights if isinstance(weights, Model) else Model(weights)
+    weights, model = model.weights, model._replace(weights=None)
     at = np.flatnonzero(weights).astype(np.int32)
     shared = rows.sparkSession.sparkContext.broadcast((at, weights[at]))
 
@@ -135,22 +201,23 @@ def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
         dense[shared.value[0]] = shared.value[1]
         table, bias = array("d", dense.tobytes()), float(dense[BIAS])
         del dense
+        quiet = -math.log1p(-1 / (1 + math.exp(-min(30.0, max(-30.0, bias)))))
         memo: dict[str, array] = {}  # ids with a weight, as plain integers: a worker keeps some 200 bytes for a word
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in common.slices(batches):
             scores, found = [], []
             for text in batch.column("row").field("text").to_pylist():
-                log_clean, spans = 0.0, []
+                added, spans, said = [], [], set()
                 text = text or ""
                 low = text.lower()
                 place = None  # where lower case has another length: the end of each character in it
                 if len(low) != len(text):
                     place = np.cumsum([len(c.lower()) for c in text])
-                quiet = 0
                 for m in SENTENCE.finditer(low):
                     words = set(WORD.findall(m[0]))
-                    if not words:
+                    if not words or (sentence := m[0].strip()) in said:
                         continue
+                    said.add(sentence)
                     total, seen = bias, None
                     for w in words:
                         v = memo.get(w)
@@ -163,21 +230,20 @@ def score(rows: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataF
                                 seen = set()
                             seen.update(v)
                     if seen is None:
-                        quiet += 1
+                        added.append(quiet)
                         continue
                     total += math.fsum(map(table.__getitem__, seen))  # the same in whatever order words come
-                    p = 1 / (1 + np.exp(-min(30.0, max(-30.0, total))))
-                    log_clean += np.log1p(-min(p, 1 - 1e-12))
+                    p = 1 / (1 + math.exp(-min(30.0, max(-30.0, total))))
+                    added.append(-math.log1p(-min(p, 1 - 1e-12)))
                     spans.append((m.start(), m.end(), p))
-                log_clean += quiet * np.log1p(-1 / (1 + np.exp(-min(30.0, max(-30.0, bias)))))
-                scores.append(float(-np.expm1(log_clean)))
+                scores.append(-math.expm1(-model.evidence(added)))
                 found.append([_span(a, b, p, place) for a, b, p in _located(spans, threshold)] if scores[-1] >= threshold else [])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64()), pa.array(found, kind)], ["row", "score", "sentences"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, sentences array<struct<start:int,end:int,score:double>>")
 
 
-def clean(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, weights: Model | np.ndarray, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score under the threshold; all columns unchanged."""
     return common.unboxed(score(common.boxed(docs), weights, threshold).filter(F.col("score") < threshold))
 

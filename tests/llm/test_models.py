@@ -52,6 +52,45 @@ def test_toxicity_scores(spark, bias):
     assert seen > 2
 
 
+@pytest.fixture(scope="module")
+def learned(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    return docs, labels, toxicity.train(docs, labels, held_out=common.crc_remainder(5) == 0)
+
+
+def test_harmless_text_of_any_length_stays_harmless(spark, learned):
+    docs, labels, model = learned
+    clean = docs.join(labels.filter("toxic = 0"), "doc_id").select("doc_id", "text").orderBy("doc_id")
+    kept = toxicity.score(common.boxed(clean), model).filter("score < 0.5").select("row.text").collect()
+    sentences = [s for r in kept for s in re.findall(r"[^.!?\n]+[.!?\n]+", r.text or "")]
+    draw = np.random.default_rng(3)
+    texts = [" ".join(sentences[i] for i in draw.integers(0, len(sentences), n)) for n in (10, 100, 300, 1000, 3000, 10_000, 50_000) for _ in range(4)]
+    texts += ["The weather is fine today. " * n for n in (1, 1000, 50_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    over = {r.row.doc_id: r.score for r in toxicity.score(common.boxed(df), model).filter("score >= 0.5").collect()}
+    assert over == {}
+
+
+def test_a_toxic_passage_shows_in_a_long_text(spark, learned):
+    docs, labels, model = learned
+    both = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id")
+    toxic = toxicity.score(common.boxed(both.filter("toxic = 1")), model).filter("score >= 0.95").select("row.text").collect()
+    clean = [r.text or "" for r in both.filter("toxic = 0").limit(300).collect()]
+    texts = ["\n".join([*clean[i : i + 60], r.text, *clean[i + 60 : i + 120]]) for i, r in enumerate(toxic[:40])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = toxicity.score(common.boxed(df), model).filter("score >= 0.5").count()
+    assert found >= 0.9 * len(texts)
+
+
+def test_allowance_for_length():
+    model = toxicity.Model(None, 20, 0.001, 0.01)
+    assert model.evidence([0.5] * 20) == pytest.approx(10)
+    assert model.evidence([0.001] * 10_000) == 0
+    assert model.evidence([0.001] * 5000 + [1.0] * 3 + [0.001] * 5000) == pytest.approx(3.005 - 0.008 - 0.03 * 8**0.5)
+    assert model.evidence([]) == 0
+
+
 def test_few_sentences_locate_a_document_together():
     spans = [(0, 5, 0.3), (6, 9, 0.1), (10, 20, 0.4), (21, 30, 0.2)]
     assert toxicity._located(spans, 0.5) == [(0, 5, 0.3), (10, 20, 0.4)]
