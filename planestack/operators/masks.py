@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planestack.operators import graph
-from planestack.sources import scratch
+from planestack.functions import pixels
+from planestack.operators import tiles
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
@@ -16,28 +16,25 @@ def disk(radius: int) -> list[tuple[int, int]]:
 
 def dilate(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     """Pixels within the footprint of a foreground pixel, inside the image."""
-    offsets = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("dy"), F.lit(b).cast("long").alias("dx")) for a, b in disk(radius)]))
-    moved = mask.select("img_id", "y", "x", offsets.alias("o")).select("img_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    return moved.filter((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)).distinct()
+    return tiles.morphed(mask, [("dilate", radius)], height, width)
 
 
 def erode(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    """Pixels whose whole footprint, as far as it lies in the image, is foreground: hits are counted against the footprint's size."""
-    offsets = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("dy"), F.lit(b).cast("long").alias("dx")) for a, b in disk(radius)]))
-    hits = mask.select("img_id", "y", "x", offsets.alias("o")).select("img_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    hits = hits.filter((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)).groupBy("img_id", "y", "x").agg(F.count(F.lit(1)).alias("n"))
-    inside = sum(
-        (((F.col("y") + a >= 0) & (F.col("y") + a < height) & (F.col("x") + b >= 0) & (F.col("x") + b < width)).cast("int") for a, b in disk(radius)), F.lit(0)
-    )
-    return hits.filter(F.col("n") == inside).select("img_id", "y", "x")
+    """Pixels whose whole footprint, as far as it lies in the image, is foreground."""
+    return tiles.morphed(mask, [("erode", radius)], height, width)
 
 
 def opening(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    return dilate(erode(mask, radius, height, width), radius, height, width)
+    return tiles.morphed(mask, tiles.opened(radius), height, width)
 
 
 def closing(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    return erode(dilate(mask, radius, height, width), radius, height, width)
+    return tiles.morphed(mask, tiles.closed(radius), height, width)
+
+
+def smooth(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
+    """Opened, then closed, in one pass."""
+    return tiles.morphed(mask, tiles.smoothed(radius), height, width)
 
 
 def components(mask: DataFrame, eight: bool = True, width: int = 1 << 20) -> DataFrame:
@@ -77,42 +74,17 @@ def components(mask: DataFrame, eight: bool = True, width: int = 1 << 20) -> Dat
     return mask.groupBy("img_id").applyInArrow(label, "img_id long, y long, x long, first long")
 
 
-def tiled_components(mask: DataFrame, tile: int, width: int, eight: bool = True) -> DataFrame:
+def tiled_components(mask: DataFrame, tile: int, width: int, eight: bool = True, height: int | None = None) -> DataFrame:
     """As components(), for images of any size: tiles are labelled apart, then joined where they touch.
 
-    Only pixels on the tiles' edges meet in a join; the components of tiles that touch form a graph, whose roots replace the
-    tiles' own labels.
+    Without a height the lowest pixel of all masks ends the images (one number comes back).
     """
-    ty, tx = F.expr(f"y div {tile}"), F.expr(f"x div {tile}")
-    tiles = F.xxhash64("img_id", ty, tx)
-    own = components(mask.select(tiles.alias("img_id"), "y", "x"), eight, width).toDF("tile", "ty", "tx", "first")
-    placed = mask.select("img_id", tiles.alias("tile"), "y", "x")
-    same = (F.col("o.tile") == F.col("p.tile")) & (F.col("ty") == F.col("y")) & (F.col("tx") == F.col("x"))
-    named = own.alias("o").join(placed.alias("p"), same).select("img_id", "y", "x", "first")
-    named, _ = scratch.materialize(named, "tiles")
-    edge = named.filter(f"y % {tile} IN (0, {tile - 1}) OR x % {tile} IN (0, {tile - 1})")
-    steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if eight else [(0, 1), (1, 0)]
-    to = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("dy"), F.lit(b).cast("long").alias("dx")) for a, b in steps]))
-    moved = edge.select("img_id", "first", to.alias("o"), "y", "x").select("img_id", F.col("first").alias("f"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    name = lambda c: F.xxhash64("img_id", c)
-    links = moved.join(edge, ["img_id", "y", "x"]).filter("f <> first").select(name("f").alias("a"), name("first").alias("b"))
-    roots = graph.components(links)
-    rows = named.join(roots, name("first") == F.col("node"), "left").withColumn("set", F.coalesce("root", name("first")))
-    least = rows.groupBy("img_id", "set").agg(F.min("first").alias("least"))
-    return rows.join(least, ["img_id", "set"]).select("img_id", "y", "x", F.col("least").alias("first"))
-
-
-def large_enough(labelled: DataFrame, least: int) -> DataFrame:
-    """Pixels of components (img_id, first) with at least so many pixels."""
-    sizes = labelled.groupBy("img_id", "first").agg(F.count(F.lit(1)).alias("area")).filter(F.col("area") >= least)
-    return labelled.join(sizes.select("img_id", "first"), ["img_id", "first"], "left_semi")
-
-
-def relabelled(labelled: DataFrame) -> DataFrame:
-    """img_id, y, x, label: components numbered from 1 in the order of their first pixels (the list of labels is per image)."""
-    numbers = labelled.select("img_id", "first").distinct()
-    numbers = numbers.withColumn("label", F.row_number().over(Window.partitionBy("img_id").orderBy("first")).cast("long"))
-    return labelled.join(numbers, ["img_id", "first"]).select("img_id", "y", "x", "label")
+    if height is None:
+        height = (mask.agg(F.max("y")).first()[0] or 0) + 1
+    return tiles.labelled(mask, [], height, width, eight, tile=tile)
+
+
+large_enough, relabelled = tiles.large_enough, tiles.relabelled
 
 
 def areas(labelled: DataFrame) -> DataFrame:
@@ -122,29 +94,53 @@ def areas(labelled: DataFrame) -> DataFrame:
 
 def instance_mask(mask: DataFrame, height: int, width: int, least: int = 50, radius: int = 2) -> DataFrame:
     """Foreground, opened and closed, split into components, small ones dropped, numbered."""
-    smooth = closing(opening(mask, radius, height, width), radius, height, width)
-    return relabelled(large_enough(components(smooth, True, width), least))
+    return tiles.instances(mask, tiles.smoothed(radius), height, width, least)
 
 
 def direct_mask(mask: DataFrame, height: int, width: int, least: int = 50, radius: int = 2) -> DataFrame:
     """Foreground, opened and closed, without small components."""
-    smooth = closing(opening(mask, radius, height, width), radius, height, width)
-    return large_enough(components(smooth, True, width), least).select("img_id", "y", "x")
+    return tiles.instances(mask, tiles.smoothed(radius), height, width, least).select("img_id", "y", "x")
 
 
 def inverted(mask: DataFrame, images: DataFrame, height: int, width: int) -> DataFrame:
     """The background of each image in `images` (img_id)."""
-    spark = mask.sparkSession
-    grid = spark.range(height * width).select(F.expr(f"id div {width}").alias("y"), (F.col("id") % width).alias("x"))
-    return images.crossJoin(F.broadcast(grid)).join(mask, ["img_id", "y", "x"], "left_anti")  # the grid has height * width rows
+    return tiles.morphed(mask.join(images.select("img_id").distinct(), "img_id", "left_semi"), [("invert", 0)], height, width, images)
 
 
 def invert_mask(edges: DataFrame, images: DataFrame, height: int, width: int, least: int = 50) -> DataFrame:
     """Instances as the parts of the background that edges leave: smooth, invert, open and close with a larger disk, number."""
-    smooth = closing(opening(edges, 2, height, width), 2, height, width)
-    rest = inverted(smooth, images, height, width)
-    rest = closing(opening(rest, 3, height, width), 3, height, width)
-    return relabelled(large_enough(components(rest, True, width), least))
+    own = edges.join(images.select("img_id").distinct(), "img_id", "left_semi")
+    return tiles.instances(own, [*tiles.smoothed(2), ("invert", 0), *tiles.smoothed(3)], height, width, least, images=images)
+
+
+def foreground(image: DataFrame, mode: str, above: float = 30) -> DataFrame:
+    """img_id, y, x that a mode starts from, of coloured pixels (img_id, y, x, r, g, b): saturated ones for instances, else bright ones."""
+    value = pixels.saturation([F.col(c) for c in "rgb"]) if mode == "instance" else pixels.luma(F.col("r"), F.col("g"), F.col("b"))
+    return image.filter(value > above).select("img_id", "y", "x")
+
+
+def mode_of(instance: bool, mask_mode: str) -> str:
+    """The way a coloured image becomes a mask: inverted edges, else direct, else instances, else the colour's score."""
+    if mask_mode in ("invert", "direct"):
+        return mask_mode
+    return "instance" if instance else "semantic"
+
+
+def extracted(image: DataFrame, instance: bool, mask_mode: str, target: tuple[int, int, int], height: int, width: int, above: float = 30, least: int = 50) -> DataFrame:
+    """img_id, y, x, label of coloured images by their mode; the bound is on saturation or brightness, and a semantic mask has none.
+
+    label: the instance's number, 255 for a direct mask, and for a semantic one the colour's score where it isn't 0.
+    """
+    mode = mode_of(instance, mask_mode)
+    if mode == "semantic":
+        score = pixels.target_score([F.col(c) for c in "rgb"], target).cast("long")
+        return image.select("img_id", "y", "x", score.alias("label")).filter("label > 0")
+    found = foreground(image, mode, above)
+    if mode == "invert":
+        return invert_mask(found, image.select("img_id").distinct(), height, width, least)
+    if mode == "direct":
+        return direct_mask(found, height, width, least).withColumn("label", F.lit(255).cast("long"))
+    return instance_mask(found, height, width, least)
 
 
 def markers(scored: DataFrame, above: float, width: int, least: int = 5, most: int = 2000) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from planestack.functions import geometry
 
+#: Positions of an axis that one task looks at together.
+BUCKET = 4096
 #: plane -> (axis it is cut along, axes of the slice)
 PLANES = {"xy": ("z", "y", "x"), "xz": ("y", "z", "x"), "yz": ("x", "z", "y")}
 
@@ -45,21 +47,42 @@ def ortho_planes(voxels: DataFrame, step: int, value: str = "v") -> DataFrame:
     return planes(voxels, at, value)
 
 
-def nearest_sampled(n: DataFrame, sampled: DataFrame) -> DataFrame:
-    """index, source for each row of n (index): the nearest sampled index, the lower one of two equally near.
+def _carried(at: DataFrame, low: int, high: int) -> DataFrame:
+    """at (pos, least, most) with before and after: the largest `most` of smaller positions, the smallest `least` of larger ones.
 
-    An as-of join both ways: the last sampled index below and the first above, by running windows over the positions of one
-    axis. They are slice numbers, not voxels, so they lie in one ordered partition.
+    Positions from low to high lie in buckets of BUCKET. Windows run within a bucket; what comes from the buckets before and after
+    is found in the same way among the buckets, of which there are so many times fewer.
     """
     from pyspark.sql import Window
 
+    rows = at.withColumn("bucket", F.expr(f"(pos - {low}) div {BUCKET}"))
+    up = Window.partitionBy("bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("bucket").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"before": F.max("most").over(up), "after": F.min("least").over(down)})
+    buckets = (high - low) // BUCKET + 1
+    if buckets == 1:
+        return rows.drop("bucket")
+    edges = at.groupBy(F.expr(f"(pos - {low}) div {BUCKET}").alias("pos")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    edges = _carried(edges, 0, buckets - 1).select(F.col("pos").alias("bucket"), F.col("before").alias("b"), F.col("after").alias("a"))
+    return rows.join(edges, "bucket").withColumns({"before": F.coalesce("before", "b"), "after": F.coalesce("after", "a")}).drop("bucket", "a", "b")
+
+
+def nearest_sampled(n: DataFrame, sampled: DataFrame) -> DataFrame:
+    """index, source for each distinct index of n and sampled: the nearest sampled index, the lower one of two equally near.
+
+    An as-of join both ways: the last sampled index below and the first above, carried into buckets of neighbouring positions
+    (see _carried), so that no task holds more than a bucket. Without a sampled index the source is null; null indices are left
+    out.
+    """
     rows = n.select("index", F.lit(None).cast("long").alias("s")).unionByName(sampled.select("index", F.col("index").alias("s")))
-    rows = rows.groupBy("index").agg(F.max("s").alias("s"))
-    order = Window.partitionBy(F.lit(0)).orderBy("index")
-    below = F.last("s", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("s", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = F.when(F.col("below").isNull(), F.col("above")).when(F.col("above").isNull(), F.col("below")).when(F.col("index") - F.col("below") <= F.col("above") - F.col("index"), F.col("below")).otherwise(F.col("above"))
-    return rows.withColumns({"below": below, "above": above}).select("index", near.alias("source"))
+    rows = rows.filter("index IS NOT NULL").groupBy(F.col("index").alias("pos")).agg(F.max("s").alias("s"))
+    ends = rows.agg(F.min("pos").alias("low"), F.max("pos").alias("high")).first()
+    if ends["low"] is None:
+        return rows.select(F.col("pos").alias("index"), F.col("s").alias("source"))
+    found = _carried(rows.select("pos", F.col("s").alias("least"), F.col("s").alias("most")), ends["low"], ends["high"])
+    before, after = F.col("before"), F.col("after")
+    near = F.when(F.col("most").isNotNull(), F.col("most")).when(before.isNull(), after).when(after.isNull() | (F.col("pos") - before <= after - F.col("pos")), before).otherwise(after)
+    return found.select(F.col("pos").alias("index"), near.alias("source"))
 
 
 def filled(slices: DataFrame, plane: str, n: int) -> DataFrame:

@@ -190,7 +190,7 @@ _LOW = MASK.replace("0.1::DOUBLE", "-0.1::DOUBLE")
 
 @query(f"WITH {_LOW}, {_smooth('mask', 2, 's')} SELECT img_id, y, x FROM s4")
 def opening_closing(spark, sf):
-    return masks.closing(masks.opening(mask(spark, sf, -0.1), 2, 8, 8), 2, 8, 8)
+    return masks.smooth(mask(spark, sf, -0.1), 2, 8, 8)
 
 
 @query(f"WITH {_LOW}, {_smooth('mask', 3, 's')} SELECT img_id, y, x FROM s4")
@@ -223,6 +223,28 @@ def invert_mask(spark, sf):
     return masks.invert_mask(mask(spark, sf), images, 8, 8, 14)
 
 
+def _mode(name: str, start: str, above: int, after: str, label: str):
+    sql = f"WITH RECURSIVE {RGB}, mask AS (SELECT img_id, y, x FROM rgb WHERE {start} > {above}), {_smooth('mask', 2, 's')}, {after} SELECT c.img_id, c.y, c.x, {label} AS label FROM c JOIN k USING (img_id, first)"
+
+    def extract(spark, sf):
+        return masks.extracted(rgb(spark, sf), name == "instance", name if name != "instance" else "overlay", RED, 8, 8, above, 14)
+
+    extract.__name__ = f"extract_{name}"
+    return query(sql)(extract)
+
+
+_LUMA, _SATURATION = "((19595 * r + 38470 * g + 7471 * b + 32768) >> 16)", "(greatest(r, g, b) - least(r, g, b))"
+_REST = "u AS (SELECT img_id, y, x FROM rgb ANTI JOIN s4 USING (img_id, y, x))"
+extract_instance = _mode("instance", _SATURATION, 15, _labels("s4"), "k.label")
+extract_direct = _mode("direct", _LUMA, 108, _labels("s4"), "255")
+extract_invert = _mode("invert", _LUMA, 108, f"{_REST}, {_smooth('u', 3, 't')}, {_labels('t4')}", "k.label")
+
+
+@query(f"WITH {RGB} SELECT img_id, y, x, least(r - greatest(g, b), 255) AS label FROM rgb WHERE r > greatest(g, b)")
+def extract_semantic(spark, sf):
+    return masks.extracted(rgb(spark, sf), False, "overlay", RED, 8, 8)
+
+
 @query(
     f"""WITH {VOX}, n AS (SELECT z, count(*) FILTER (v > 0.1::DOUBLE AND v > 0.05::DOUBLE) AS tp, count(*) FILTER (v > 0.1::DOUBLE OR v > 0.05::DOUBLE) AS a FROM vox GROUP BY z)
 SELECT z AS img_id, 2 * tp / (tp + a)::DOUBLE AS dice FROM n WHERE a > 0"""

@@ -185,14 +185,6 @@ def test_settings(tmp_path):
     assert config.merged({"z_step": 1, "roi": None}, file, {"z_step": 2, "lora_rank": None}) == {"z_step": 2, "roi": None, "lora_rank": 8, "lora_lr_decay": 0.5}
 
 
-def test_refinement_loop_climbs(spark):
-    runs = spark.createDataFrame([(1, 3.5)], "run long, start double")
-    rows = refine.refine(runs, lambda run, v: v, lambda run, v: 1 - abs(v - 3.9) / 4, 6, 0.999).orderBy("i").collect()
-    assert [r.i for r in rows] == list(range(1, len(rows) + 1))
-    assert max(r.score for r in rows) > rows[0].score
-    assert all(1.0 <= r.value <= 30.0 for r in rows)
-
-
 def test_multiscale_metadata_without_translation(spark):
     from planestack.operators import catalog
 
@@ -221,3 +213,35 @@ def test_components_of_paths_stars_and_rings(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in root}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tiles_give_what_the_whole_image_gives(spark):
+    from planestack.operators import tiles
+
+    draw = np.random.default_rng(8)
+    grids = {1: draw.random((37, 45)) < 0.6, 2: draw.random((37, 45)) < 0.75, 3: np.zeros((37, 45), bool), 4: np.ones((37, 45), bool), 5: draw.random((37, 45)) < 0.3}
+    rows = [(i, int(y), int(x)) for i, g in grids.items() for y, x in zip(*np.nonzero(g), strict=True)]
+    mask = spark.createDataFrame([*rows, rows[0], (1, None, 3), (None, 1, 1), (1, -1, 0), (2, 37, 0)], "img_id long, y long, x long").repartition(3)
+    images = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 5)], "img_id long")
+    steps = [*tiles.smoothed(2), ("invert", 0), *tiles.smoothed(3)]
+    collected = lambda df: sorted(map(tuple, df.collect()))
+    for s in (tiles.smoothed(2), tiles.smoothed(3), steps, [("erode", 1)], []):
+        whole = collected(tiles.instances(mask, s, 37, 45, 4, images=images))
+        assert collected(tiles.morphed(mask, s, 37, 45, images, tile=8)) == collected(tiles.morphed(mask, s, 37, 45, images))
+        assert collected(tiles.instances(mask, s, 37, 45, 4, images=images, tile=16)) == whole
+        assert collected(tiles.instances(mask, s, 37, 45, 4, False, images, 7)) == collected(tiles.instances(mask, s, 37, 45, 4, False, images))
+    assert {r[0] for r in collected(tiles.morphed(mask, [("invert", 0)], 37, 45, images))} == {1, 2, 3, 5}
+    assert collected(tiles.instances(mask.limit(0), steps, 37, 45, 4)) == []
+
+
+def test_nearest_sampled_in_buckets(spark, monkeypatch):
+    from planestack.operators import volume
+
+    monkeypatch.setattr(volume, "BUCKET", 4)
+    draw = np.random.default_rng(2)
+    for n, sampled in ((150, [0, 7, 8, 90]), (150, [149]), (90, []), (70, sorted(draw.choice(70, 20, False).tolist())), (1, [0])):
+        frame = lambda v: spark.createDataFrame([(i,) for i in v], "index long")
+        found = volume.nearest_sampled(frame(range(-3, n)), frame(sampled))
+        got = {r["index"]: r["source"] for r in found.collect()}
+        assert got == {i: min(sampled, key=lambda s: (abs(s - i), s)) if sampled else None for i in range(-3, n)}
+        assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
