@@ -169,7 +169,7 @@ def _pixels(files):
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 p = images.decode_png(content)
                 y, x = np.nonzero(p)
-                yield pa.RecordBatch.from_pydict({"name": [name] * len(y), "y": y, "x": x, "label": p[y, x].astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(y), pa.string()), "y": y, "x": x, "label": p[y, x].astype(np.int64)})
 
     return files.mapInArrow(decode, "name string, y long, x long, label long")
 
