@@ -31,7 +31,7 @@ REGIONS, REGION_CELLS = 4, 8
 CELLS = REGIONS * REGION_CELLS
 #: Rounds of peeling; each takes out all pure cells at once.
 ROUNDS = 10
-#: Digests of a pair for each table of a larger sketch, and tries, each with four times as many tables as the one before.
+#: Digests of a pair for each table of a larger sketch, and tries; each try deals what is left to four times as many tables.
 LOAD, TRIES = 6, 12
 #: Rows of a range of ids, about, and ranges at most (so many ids come to the driver as edges).
 ROWS, RANGES = 2048, 16_384
@@ -75,14 +75,20 @@ def dealt(keys: str, tables: str, seed: str) -> str:
 
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
-    """SQL: array of (k, n) of the digests in which the sets a and b (columns) differ, through their sketches."""
-    nothing = "cast(null AS array<struct<k:bigint,n:int>>)"
+    """SQL: array of (k, n) of the digests in which the sets a and b (columns) differ, through their sketches.
+
+    What a table gives up stays found; only the tables that don't peel are dealt out anew, each to four with other hashes. So the
+    work beyond the first deal is in proportion to the few tables that fail.
+    """
     first = f"transform(array({peeled(cells_a, cells_b)}), r -> if(r.ok, r.found, null))[0]"
-    tables = f"int(greatest(1, ceil(log2(greatest(1, (size({a}) + size({b})) / {LOAD}))))) + 2 * (i - 1)"
-    one = peeled(cells("x", "i"), cells("y", "i"), "i")
-    every = f"transform(array({tables}), n -> zip_with({dealt(a, 'n', 'i')}, {dealt(b, 'n', 'i')}, (x, y) -> {one}))[0]"
-    again = f"transform(array({every}), rs -> if(forall(rs, r -> r.ok), flatten(transform(rs, r -> r.found)), {nothing}))[0]"
-    larger = f"aggregate(sequence(1, {TRIES}), {nothing}, (found, i) -> if(found IS NULL, {again}, found))"
+    tables = f"if(i = 1, int(greatest(1, ceil(log2(greatest(1, (size({a}) + size({b})) / {LOAD}))))), 2)"
+    split = f"flatten(transform(st.open, o -> transform(array({tables}), n -> zip_with({dealt('o.x', 'n', 'i')}, {dealt('o.y', 'n', 'i')}, (x, y) -> named_struct('x', x, 'y', y)))[0]))"
+    tried = f"transform({split}, t -> named_struct('t', t, 'r', {peeled(cells('t.x', 'i'), cells('t.y', 'i'), 'i')}))"
+    kept = "concat(st.found, flatten(transform(filter(qs, q -> q.r.ok), q -> q.r.found)))"
+    step = f"transform(array({tried}), qs -> named_struct('found', {kept}, 'open', transform(filter(qs, q -> NOT q.r.ok), q -> q.t)))[0]"
+    start = f"named_struct('found', cast(array() AS array<struct<k:bigint,n:int>>), 'open', array(named_struct('x', {a}, 'y', {b})))"
+    done = "if(size(st.open) = 0, st.found, cast(null AS array<struct<k:bigint,n:int>>))"
+    larger = f"aggregate(sequence(1, {TRIES}), {start}, (st, i) -> if(size(st.open) = 0, st, {step}), st -> {done})"
     return f"coalesce({first}, {larger}, raise_error('a sketch did not peel'))"
 
 

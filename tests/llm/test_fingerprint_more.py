@@ -44,11 +44,18 @@ def test_one_document_and_none(spark, tmp_path):
     assert fingerprint.followed(spark.read.parquet(f"{sf}/documents.parquet").limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [12_000])
-def test_time_follows_the_lines_of_a_text(spark, tmp_path, n):
+def timed(spark, tmp_path, n, step):
+    """Seconds for two documents of n lines, of which the second's start `step` lines on; both likenesses are checked."""
     text = lambda k: "\n".join(f"line {i}" for i in range(k, k + n))
-    sf = saved(spark, tmp_path, [(1, text(0), "", ""), (2, text(n // 2), "", "")])
+    sf = saved(spark, tmp_path, [(1, text(0), "", ""), (2, text(step), "", "")])
     began = time.time()
     rows = {r.doc_id: r for r in fingerprint.op9_fingerprint(spark, sf).select("doc_id", "near_next").collect()}
-    assert rows[1].near_next == pytest.approx(1 / 3) and rows[2].near_next == pytest.approx(1 / 3)
-    assert time.time() - began < 120
+    want = max(0, n - step) / (n + min(n, step))
+    assert rows[1].near_next == pytest.approx(want) and rows[2].near_next == pytest.approx(want)
+    return time.time() - began
+
+
+def test_time_follows_the_lines_of_a_text(spark, tmp_path):
+    timed(spark, tmp_path / "a", 12_000, 6_000)
+    few, many = timed(spark, tmp_path / "b", 50_000, 50_000), timed(spark, tmp_path / "c", 100_000, 100_000)
+    assert many < 60 and many < 2.5 * few + 5
