@@ -14,6 +14,7 @@ _GENERATORS: dict[str, Callable] = {}
 _CHAT: dict[str, Callable] = {}
 _PAINTERS: dict[str, Callable] = {}
 _JUDGES: dict[str, Callable] = {}
+_TRACKERS: dict[str, Callable] = {}
 
 #: Calls of a busy model for a row, and the seconds before the second one; the n-th wait is n times as long.
 TRIES, WAIT = 3, 30.0
@@ -46,6 +47,17 @@ def judge(name: str):
     return lambda f: _JUDGES.setdefault(name, f)
 
 
+def tracker(name: str):
+    """Register a factory: called once in a worker, it returns f(mask of the frame before (bytes), tile of this one (array)) -> mask or None."""
+    return lambda f: _TRACKERS.setdefault(name, f)
+
+
+def create_tracker(name: str) -> Callable:
+    if name not in _TRACKERS:
+        raise ValueError(f"no tracker {name}; there are {sorted(_TRACKERS)}")
+    return _TRACKERS[name]
+
+
 def create_painter(name: str) -> Callable:
     if name not in _PAINTERS:
         raise ValueError(f"no painter {name}; there are {sorted(_PAINTERS)}")
@@ -131,6 +143,18 @@ def often_busy_painter():
     return paint
 
 
+@tracker("fading")
+def fading_tracker():
+    """What was foreground stays so where the next tile isn't under -0.1."""
+    import numpy as np
+
+    def track(mask, tile):
+        left = (np.frombuffer(mask, np.uint8) > 0) & (np.asarray(tile, float) > -0.1)
+        return left.astype(np.uint8).tobytes() if left.any() else None
+
+    return track
+
+
 @judge("none")
 def no_judge():
     """Says nothing that could be read: for runs of a single iteration, which aren't judged."""

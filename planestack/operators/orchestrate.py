@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planestack import models
 from planestack.functions import replies
-from planestack.operators import volume
+from planestack.operators import propagate, refine, volume
 
 
 def zstack(voxels: DataFrame, step: int, generator: str) -> DataFrame:
@@ -35,3 +35,20 @@ def detected_points(slices: DataFrame, chat: str, width: int, height: int) -> Da
     """index, x, y that a chat model points at in each slice (index, prompt); slices without a point are left out."""
     asked = models.ask(slices.select("index", "prompt"), chat)
     return asked.select("index", F.explode(replies.coordinates(F.col("reply"), F.lit(width), F.lit(height))).alias("p")).select("index", "p.x", "p.y")
+
+
+def stack(frames: DataFrame, mode: str, painter: str = "", judge: str = "", tracker: str = "", seeds: DataFrame | None = None, points: DataFrame | None = None, **settings) -> DataFrame:
+    """The masks of a stack's slices by one of three modes, with mask (bytes).
+
+    video: frames (vol, frame, tile) and seeds (vol, frame, mask) through a tracking model, both ways.
+    slices: each slice (frame, ...) refined by itself; its best image is the mask. Slices whose images all failed have none.
+    points: as slices, with a slice's own points (frame, points) where some were found for it.
+    """
+    if mode == "video":
+        return propagate.propagated(frames, seeds, tracker, **settings)
+    if mode not in ("slices", "points"):
+        raise ValueError(f"no mode {mode}")
+    slices = frames.withColumnRenamed("frame", "run")
+    if mode == "points":
+        slices = slices.join(points.select(F.col("frame").alias("run"), "points"), "run", "left")
+    return refine.refine(slices, painter, judge, **settings).best().select(F.col("run").alias("frame"), F.col("image").alias("mask"), "score")

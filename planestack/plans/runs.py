@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planestack import models
 from planestack.functions import replies, requests
-from planestack.operators import orchestrate, refine
+from planestack.operators import orchestrate, propagate, refine
 from planestack.plans.base import VOX, query, table, voxels
 
 _EVEN = "SELECT DISTINCT CASE WHEN k = m - 1 THEN 7 ELSE floor(k * (7 / (m - 1)::DOUBLE))::BIGINT END AS i FROM range(8) t(k), (SELECT least(8, (max(vec_id) // 50) + 1) AS m FROM embeddings) WHERE k < m"
@@ -143,3 +143,49 @@ def busy_calls(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("run"), (F.col("vec_id") % 5).alias("busy"), F.col("embedding").cast("array<double>").alias("tile"))
     got = models.called(rows, models.create_painter("often_busy"), ["run", "busy", "tile"], "image", "binary", wait=0.0)
     return got.select("run", F.col("image_attempts").alias("attempts"), F.col("image_error").alias("error"), F.octet_length("image").alias("bytes"))
+
+
+_TRACK = f"""{VOX}, fr AS (SELECT vec_id AS z, label::BIGINT AS vol, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings),
+px AS (SELECT fr.vol, fr.frame, y, x, v, fr.frame % 25 = 10 AS seed FROM fr JOIN vox USING (z)),
+fs AS (SELECT *, max(CASE WHEN seed THEN frame END) OVER (PARTITION BY vol, y, x ORDER BY frame) AS s, min(CASE WHEN seed THEN frame END) OVER (PARTITION BY vol, y, x ORDER BY frame DESC) AS t FROM px),
+alive AS (SELECT vol, frame, y, x, s IS NOT NULL AND bool_and(CASE WHEN seed THEN v > 0.1::DOUBLE ELSE v > -0.1::DOUBLE END) OVER (PARTITION BY vol, y, x, s ORDER BY frame) AS f,
+    t IS NOT NULL AND bool_and(CASE WHEN seed THEN v > 0.1::DOUBLE ELSE v > -0.1::DOUBLE END) OVER (PARTITION BY vol, y, x, t ORDER BY frame DESC) AS r FROM fs),
+merged AS (SELECT vol, frame, y, x, CASE WHEN bool_or(f) OVER (PARTITION BY vol, frame) THEN f ELSE r END AS on_ FROM alive)"""
+
+
+def tracked_frames(spark, sf):
+    """frames and seeds: the slices of a label as the frames of a volume; every 25th one, from the eleventh on, is seeded by its foreground."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("vol"), "vec_id", F.col("embedding").cast("array<double>").alias("tile"))
+    frames = e.select("vol", (F.row_number().over(Window.partitionBy("vol").orderBy("vec_id")) - 1).cast("long").alias("frame"), "tile")
+    seeds = frames.filter("frame % 25 = 10").withColumn("v", F.transform("tile", lambda v: F.when(v > 0.1, F.lit("01")).otherwise(F.lit("00"))))
+    return frames, seeds.select("vol", "frame", F.unhex(F.array_join("v", "")).alias("mask"))
+
+
+@query(f"WITH {_TRACK} SELECT vol, frame, y, x FROM merged WHERE on_")
+def frame_propagation(spark, sf):
+    """Masks carried from seeded frames forward and back through their volume; where both passes have one, the forward one counts."""
+    frames, seeds = tracked_frames(spark, sf)
+    return propagate.pixels_of(propagate.propagated(frames, seeds, "fading", span=64), 8)
+
+
+@query(f"WITH {_TRACK} SELECT vol, frame, y, x FROM merged WHERE on_ AND frame % 3 = 0")
+def zstack_video(spark, sf):
+    """A stack of every third slice by the propagating model, seeded at its own frames."""
+    frames, seeds = tracked_frames(spark, sf)
+    found = orchestrate.stack(frames, "video", tracker="fading", seeds=seeds)
+    return propagate.pixels_of(found.filter("frame % 3 = 0"), 8)
+
+
+@query(
+    f"""{_LOOP}, m AS (SELECT * FROM loop WHERE ok AND run % 5 = 0), b AS (SELECT run, arg_min(i, struct_pack(a := -score, b := i)) AS i FROM m GROUP BY run), p AS (SELECT m.run, generate_subscripts(e, 1) - 1 AS k, unnest(e) AS v, c FROM m JOIN b USING (run, i))
+SELECT run AS frame, k // 8 AS y, k % 8 AS x FROM p WHERE v > c"""
+)
+def zstack_per_slice(spark, sf):
+    """Every fifth slice refined by itself; its best mask is kept."""
+    e, n = table(spark, sf, "embeddings"), F.col("vec_id")
+    fails = F.when(n % 11 == 5, 1).when(n % 13 == 4, 0).otherwise(-1)
+    slices = e.filter(n % 5 == 0).select(n.alias("frame"), F.col("embedding").cast("array<double>").alias("tile"), ((n % 7 - 3) / 100).alias("offset"), fails.alias("fails"), F.lit("first").alias("prompt"))
+    found = orchestrate.stack(slices, "slices", painter="cut", judge="dice")
+    return propagate.pixels_of(found, 8, ["frame"])
