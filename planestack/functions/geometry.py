@@ -44,6 +44,22 @@ def padded_square(w: Column, h: Column) -> Column:
     return F.struct(size.alias("size"), F.floor((size - w) / 2).alias("left"), F.floor((size - h) / 2).alias("top"))
 
 
+def unpadded_box(w: Column, h: Column, target: int) -> Column:
+    """struct(left, top, right, bottom): where the centred image lies in its padded square after that is resized to target, ties to even."""
+    s = padded_square(w, h)
+    scale = F.lit(float(target)) / s["size"]
+    at = lambda v: F.rint(v * scale).cast("long")
+    return F.struct(at(s["left"]).alias("left"), at(s["top"]).alias("top"), at(s["left"] + w).alias("right"), at(s["top"] + h).alias("bottom"))
+
+
+def unpadded(pixels: DataFrame, w: int, h: int, target: int) -> DataFrame:
+    """Pixels (y, x, ...) of a square image of `target` a side that show the image, moved to its corner."""
+    size, left, top = max(w, h), (max(w, h) - w) // 2, (max(w, h) - h) // 2
+    begin_y, end_y, begin_x, end_x = (round(v * (target / size)) for v in (top, top + h, left, left + w))
+    cut = box(pixels, y=(begin_y, end_y), x=(begin_x, end_x))
+    return cut.withColumns({"y": F.col("y") - begin_y, "x": F.col("x") - begin_x})
+
+
 def nearest_source(i: Column, out: int, into: int) -> Column:
     """Source index of output index i when `into` pixels are resized to `out` by nearest centre."""
     return F.floor((i + 0.5) * (into / out)).cast("long")

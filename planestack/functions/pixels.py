@@ -66,7 +66,16 @@ def valid_label(v: Column) -> Column:
     return (v > 0) & (v != 255)
 
 
-def augmented(v: Column, mean: Column, brightness: float, contrast: float, gamma: float) -> Column:
-    """Brightness, contrast about the mean and gamma of a grey value from 0 to 255 (noise is added apart)."""
+def noisy(v: Column, sigma: Column, normal: Column) -> Column:
+    """A grey value with noise of a spread, cut to 0 .. 255 and truncated."""
+    return clip(v + sigma * normal, 0.0, 255.0).cast("int")
+
+
+def is_grey(r: Column, g: Column, b: Column) -> Column:
+    return (r == g) & (g == b)
+
+
+def augmented(v: Column, mean: Column, brightness, contrast, gamma) -> Column:
+    """Brightness, contrast about the mean and gamma of a grey value from 0 to 255 (see noisy for the noise)."""
     lit = clip((v + brightness - (mean + brightness)) * contrast + (mean + brightness), 0.0, 255.0)
-    return F.pow(lit / 255, F.lit(gamma)) * 255
+    return F.pow(lit / 255, gamma if isinstance(gamma, Column) else F.lit(gamma)) * 255

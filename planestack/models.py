@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 _GENERATORS: dict[str, Callable] = {}
@@ -161,12 +162,36 @@ def no_judge():
     return lambda f: ["{}"] * len(f)
 
 
+@chat("marks")
+def marks_chat():
+    """Points to where the prompt says that a mark is, `mark x y` in thousandths; says so if there is none."""
+    import re
+
+    def reply(prompt):
+        found = re.findall(r"mark (\d+) (\d+)", prompt)
+        return "".join(f'<points coords="{i + 1} {x} {y}"/>' for i, (x, y) in enumerate(found)) or "There are none."
+
+    return lambda prompts: [reply(p) for p in prompts]
+
+
 @chat("echo")
 def echo_chat():
     """Points to the middle of whatever is asked about."""
     return lambda prompts: ['<points coords="1 500 500"/>' for _ in prompts]
 
 
+#: Classes of generator backends, and the names that their parameters go by.
+BACKENDS = {"SAM3Backend": "sam3", "FluxBackend": "flux", "GLMImageBackend": "glm", "QwenImageEditBackend": "qwen", "GeminiImageBackend": "gemini"}
+
+
+def backend_name(class_name: Column) -> Column:
+    """The name of a backend from that of its class; flux if it isn't known."""
+    name = F.lit("flux")
+    for known, short in BACKENDS.items():
+        name = F.when(class_name == known, short).otherwise(name)
+    return name
+
+
 def ask(rows: DataFrame, name: str, prompt: str = "prompt") -> DataFrame:
     """rows with `reply` of a chat model to their prompts; a worker loads the model once for its partition."""
     import pandas as pd

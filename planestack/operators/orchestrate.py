@@ -37,6 +37,25 @@ def detected_points(slices: DataFrame, chat: str, width: int, height: int) -> Da
     return asked.select("index", F.explode(replies.coordinates(F.col("reply"), F.lit(width), F.lit(height))).alias("p")).select("index", "p.x", "p.y")
 
 
+def points_per_slice(slices: DataFrame, chat: str, width: int, height: int, sample: int | None = None) -> DataFrame:
+    """index, points of each slice (index, prompt): a model is asked about `sample` slices spread evenly (all, if None).
+
+    Slices are told by their place in the order of their indices. One that isn't asked about, or that nothing is found in, has an
+    empty list; every point is foreground and an instance of its own.
+    """
+    n = slices.count()
+    asked = slices
+    if sample and sample < n:
+        spark = slices.sparkSession
+        placed = volume.numbered(slices.select("index"))
+        asked = slices.join(placed.join(volume.even_indices(spark, n, sample).withColumnRenamed("index", "place"), "place", "left_semi").select("index"), "index", "left_semi")
+    found = models.ask(asked.select("index", "prompt"), chat)
+    point = lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(1).alias("label"), i.cast("int").alias("instance"))
+    found = found.select("index", F.transform(replies.coordinates(F.col("reply"), F.lit(width), F.lit(height)), point).alias("points"))
+    none = F.array().cast("array<struct<x:int,y:int,label:int,instance:int>>")
+    return slices.select("index").join(found, "index", "left").select("index", F.coalesce("points", none).alias("points"))
+
+
 def stack(frames: DataFrame, mode: str, painter: str = "", judge: str = "", tracker: str = "", seeds: DataFrame | None = None, points: DataFrame | None = None, **settings) -> DataFrame:
     """The masks of a stack's slices by one of three modes, with mask (bytes).
 

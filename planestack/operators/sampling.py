@@ -44,6 +44,37 @@ def subcrop(origin: Column, extent: Column, size: Column, unit: Column) -> Colum
     return F.when(extent > size, origin + unit * (extent - size)).otherwise(origin)
 
 
+def normal(seed: str, *keys: str) -> Column:
+    """A standard normal number from a seed and the row's keys."""
+    u = 1 - draw(f"{seed}-u", *keys)  # never 0
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * draw(f"{seed}-v", *keys))
+
+
+def between(low: float, high: float, seed: str, *keys: str) -> Column:
+    return low + draw(seed, *keys) * (high - low)
+
+
+def intensity(seed: str, *keys: str) -> dict[str, Column]:
+    """brightness, contrast, gamma and noise of an image's augmentation, drawn for its keys."""
+    return {
+        "brightness": between(-20.0, 20.0, f"{seed}-b", *keys), "contrast": between(0.8, 1.2, f"{seed}-c", *keys),
+        "gamma": between(0.8, 1.2, f"{seed}-g", *keys), "noise": between(0.0, 5.0, f"{seed}-n", *keys),
+    }
+
+
+def placed(samples: DataFrame, crops: DataFrame, group: str, sample: str, seed: str = "p") -> DataFrame:
+    """samples (group, sample) with a crop of their group and a slice of it, each alike likely: crop_id and z_index.
+
+    crops: group, crop_id, depth. Crops are numbered within their group, and a sample's draw picks the number. A group without
+    crops leaves its samples out.
+    """
+    order = Window.partitionBy(group).orderBy("crop_id")
+    numbered = crops.select(group, "crop_id", "depth").withColumn("_k", F.row_number().over(order) - 1)
+    many = numbered.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    rows = samples.join(many, group).withColumn("_k", F.floor(draw(f"{seed}-crop", sample) * F.col("_n")).cast("int"))
+    return rows.join(numbered, [group, "_k"]).withColumn("z_index", F.floor(draw(f"{seed}-z", sample) * F.col("depth")).cast("long")).drop("_k", "_n", "depth")
+
+
 def logit_normal(normal: Column) -> Column:
     """Noise level from a normal number."""
     return 1 / (1 + F.exp(-normal))

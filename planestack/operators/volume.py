@@ -25,6 +25,22 @@ def even_indices(spark, n: int, m: int) -> DataFrame:
     return spark.range(m).select(geometry.even_index(F.col("id"), F.lit(n), F.lit(m)).alias("index")).distinct()
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """index, place: distinct indices with their place in order, from 0. Ranges are counted, then numbered each for itself."""
+    from pyspark.sql import Window
+
+    from planestack.sources import scratch
+
+    spread = rows.select("index").distinct().repartitionByRange("index").withColumn("part", F.spark_partition_id())
+    spread, _ = scratch.materialize(spread, "places")  # ranges are drawn once
+    counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("part", F.col("n"), F.lit(0).alias("one"))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("one").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    starts = starts.select("part", first.alias("first"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("index")) - 1
+    return spread.withColumn("at", within).join(starts, "part").select("index", (F.col("at") + F.col("first")).cast("long").alias("place"))
+
+
 def strided(voxels: DataFrame, step: int, first: int = 0) -> DataFrame:
     """Every step-th slice; the predicate stands on the stored column."""
     return voxels.filter((F.col("z") >= first) & ((F.col("z") - first) % step == 0))

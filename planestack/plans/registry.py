@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planestack.plans import base, catalogs, images, reply_queries, runs, stores, volumes, walks  # noqa: F401  (each module registers its queries)
+from planestack.plans import base, catalogs, details, images, reply_queries, runs, stores, volumes, walks  # noqa: F401  (each module registers its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

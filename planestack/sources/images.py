@@ -80,8 +80,11 @@ def _unfiltered(kind: int, line, above, step: int):
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content of the images in a folder, whatever the case of their suffix."""
-    return spark.read.format("binaryFile").load(folder).filter(F.col("path").rlike(SUFFIXES)).select("path", "content")
+    """path, content of the images in a folder in the order of their paths, whatever the case of their suffix; an error if there are none."""
+    found = spark.read.format("binaryFile").load(folder).filter(F.col("path").rlike(SUFFIXES)).select("path", "content")
+    if found.select("path").isEmpty():
+        raise ValueError(f"no images in {folder}")
+    return found.orderBy("path")
 
 
 def pixels_of(images: DataFrame) -> DataFrame:
