@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from planestack import dims
 from planestack.functions import pixels
 from planestack.operators import tiles
 
@@ -113,6 +114,17 @@ def invert_mask(edges: DataFrame, images: DataFrame, height: int, width: int, le
     return tiles.instances(own, [*tiles.smoothed(2), ("invert", 0), *tiles.smoothed(3)], height, width, least, images=images)
 
 
+def instance_overlay(image: DataFrame, labelled: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """img_id, y, x, r, g, b of an image with its instances (img_id, y, x, label) blended in, in the palette's colours by their rank.
+
+    Ranks are over the distinct labels of an image; the palette is twelve rows.
+    """
+    ranks = labelled.select("img_id", "label").distinct().withColumn("slot", (F.dense_rank().over(Window.partitionBy("img_id").orderBy("label")) - 1) % len(dims.INSTANCE_COLORS))
+    coloured = labelled.join(ranks, ["img_id", "label"]).join(F.broadcast(dims.palette(image.sparkSession)), "slot")
+    rows = image.join(coloured.select("img_id", "y", "x", "pr", "pg", "pb"), ["img_id", "y", "x"], "left")
+    return rows.select("img_id", "y", "x", *[F.when(F.col(f"p{c}").isNotNull(), pixels.blended(F.col(c), F.col(f"p{c}"), alpha)).otherwise(F.col(c)).alias(c) for c in "rgb"])
+
+
 def foreground(image: DataFrame, mode: str, above: float = 30) -> DataFrame:
     """img_id, y, x that a mode starts from, of coloured pixels (img_id, y, x, r, g, b): saturated ones for instances, else bright ones."""
     value = pixels.saturation([F.col(c) for c in "rgb"]) if mode == "instance" else pixels.luma(F.col("r"), F.col("g"), F.col("b"))

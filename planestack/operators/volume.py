@@ -110,6 +110,33 @@ def filled(slices: DataFrame, plane: str, n: int) -> DataFrame:
     return rows.select(F.col("at").alias(axis), F.col("row").alias(row), F.col("col").alias(col)).select("z", "y", "x")
 
 
+def fitted(slices: DataFrame, plane: str, have: dict[str, int], want: dict[str, int]) -> DataFrame:
+    """index, row, col of mask slices brought to the volume's sizes by nearest centres (have, want: sizes of the axes z, y, x).
+
+    Both index maps have a row for each row and column of the wanted slice, and meet the pixels by their source.
+    """
+    spark, (_, row, col) = slices.sparkSession, PLANES[plane]
+    out = slices
+    for c, axis in (("row", row), ("col", col)):
+        if have[axis] != want[axis]:
+            to = spark.range(want[axis]).select(F.col("id").alias("_to"), geometry.nearest_source(F.col("id"), want[axis], have[axis]).alias(c))
+            out = out.join(to, c).drop(c).withColumnRenamed("_to", c)
+    return out.select("index", "row", "col")
+
+
+def rebuilt(slices: DataFrame, plane: str, have: dict[str, int], want: dict[str, int]) -> DataFrame:
+    """z, y, x of a mask volume from the slices (index, row, col) of one plane: each brought to size, gaps from the nearest slice."""
+    return filled(fitted(slices, plane, have, want), plane, want[PLANES[plane][0]])
+
+
+def thinned(voxels: DataFrame, most: int = 500_000) -> DataFrame:
+    """Voxels of slices with more than `most` values at every n-th row and column, n the root of how many times more there are."""
+    sizes = voxels.groupBy("z").agg(F.count(F.lit(1)).alias("_size"))
+    step = F.when(F.col("_size") > most, F.greatest(F.lit(1), F.sqrt(F.col("_size") / most).cast("int"))).otherwise(1)
+    rows = voxels.join(sizes, "z").withColumn("_step", step)
+    return rows.filter((F.col("y") % F.col("_step") == 0) & (F.col("x") % F.col("_step") == 0)).drop("_size", "_step")
+
+
 def majority(masks: list[DataFrame]) -> DataFrame:
     """z, y, x of the voxels in at least max(1, (n + 1) // 2) of the n masks (of two, one is enough)."""
     votes = masks[0].select("z", "y", "x")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from planestack import dims, models
 from planestack.functions import geometry, pixels, replies
-from planestack.operators import normalize, orchestrate, sampling
+from planestack.operators import masks, normalize, orchestrate, sampling, volume
 from planestack.plans import runs
-from planestack.plans.base import GREY, VOX, grey, query, table, voxels
+from planestack.plans.base import GREY, RGB, VOX, grey, query, rgb, table, voxels
 from planestack.sources import reports, scratch
 
 _ORG = "org(organelle_key, name, color_name) AS (VALUES " + ", ".join(f"('{o[0]}', '{o[1]}', '{o[2]}')" for o in dims.ORGANELLES) + ")"
@@ -141,6 +141,50 @@ def sampled_points(spark, sf):
     return found.select("index", F.array_join(said, ";").alias("points"))
 
 
+_PALETTE = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(dims.INSTANCE_COLORS))
+
+
+@query(
+    f"""WITH {RGB}, l AS (SELECT z AS img_id, y, x, g // 24 AS label FROM grey WHERE g // 24 > 3), d AS (SELECT *, (dense_rank() OVER (PARTITION BY img_id ORDER BY label) - 1) % 12 AS slot FROM l), p(slot, pr, pg, pb) AS (VALUES {_PALETTE}),
+c AS (SELECT * FROM d JOIN p USING (slot)) SELECT rgb.img_id, rgb.y, rgb.x, """
+    + ", ".join(f"CASE WHEN p{k} IS NULL THEN {k} ELSE trunc({k} * 0.5::DOUBLE + p{k} * 0.5::DOUBLE)::BIGINT END AS {k}" for k in "rgb")
+    + " FROM rgb LEFT JOIN c ON c.img_id = rgb.img_id AND c.y = rgb.y AND c.x = rgb.x"
+)
+def instance_overlay(spark, sf):
+    """Images with the levels of another slice as their instances, blended in by the colours of their ranks."""
+    labels = grey(spark, sf).select(F.col("z").alias("img_id"), "y", "x", F.expr("g div 24").alias("label")).filter("label > 3")
+    return masks.instance_overlay(rgb(spark, sf), labels)
+
+
+@query(
+    f"""WITH {VOX}, m AS (SELECT z, y, x FROM vox WHERE v > 0.1::DOUBLE AND z % 5 = 0 AND y < 4 AND x < 4), n AS (SELECT a, arg_min(i, struct_pack(d := abs(a - i), i := i)) AS i FROM (SELECT DISTINCT z AS a FROM vox), (SELECT DISTINCT z AS i FROM m) GROUP BY a),
+u AS (SELECT i, floor((i + 0.5) * (4 / 8.0::DOUBLE))::BIGINT AS s FROM range(8) r(i)) SELECT n.a AS z, uy.i AS y, ux.i AS x FROM m JOIN n ON m.z = n.i JOIN u uy ON uy.s = m.y JOIN u ux ON ux.s = m.x"""
+)
+def rebuilt_volume(spark, sf):
+    """Masks of every fifth slice at half size, brought to size; the slices between take the nearest one's."""
+    v = voxels(spark, sf)
+    depth = v.agg(F.max("z") + 1).first()[0]
+    small = v.filter("v > 0.1 AND z % 5 = 0 AND y < 4 AND x < 4").select(F.col("z").alias("index"), F.col("y").alias("row"), F.col("x").alias("col"))
+    return volume.rebuilt(small, "xy", {"z": depth, "y": 4, "x": 4}, {"z": depth, "y": 8, "x": 8})
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey % 40 AS z, l_partkey // 50 AS y, l_partkey % 50 AS x, l_quantity::DOUBLE AS v FROM lineitem), n AS (SELECT z, count(*) AS n FROM p GROUP BY z),
+s AS (SELECT z, CASE WHEN n > 300 THEN greatest(1, floor(sqrt(n / 300.0::DOUBLE))::INTEGER) ELSE 1 END AS step FROM n) SELECT p.* FROM p JOIN s USING (z) WHERE y % step = 0 AND x % step = 0"""
+)
+def thinned_slices(spark, sf):
+    """Large slices at a step that follows from their size."""
+    p = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 40).alias("z"), F.expr("l_partkey div 50").alias("y"), (F.col("l_partkey") % 50).alias("x"), F.col("l_quantity").cast("double").alias("v"))
+    return volume.thinned(p, 300)
+
+
+@query("SELECT user_id, round(avg(sg * (value / 100 - sg) * (value / 100 - sg)), 9) AS loss FROM (SELECT user_id, value, 1 / (1 + exp(-(value / 50 - 1))) AS sg FROM events) GROUP BY user_id")
+def weighted_loss(spark, sf):
+    """The mean squared error of each user's values, weighted by their noise level."""
+    e = table(spark, sf, "events").select("user_id", (F.col("value") / 100).alias("v"), sampling.logit_normal(F.col("value") / 50 - 1).alias("sg"))
+    return e.groupBy("user_id").agg(F.round(F.avg(F.col("sg") * (F.col("v") - F.col("sg")) * (F.col("v") - F.col("sg"))), 9).alias("loss"))
+
+
 def _documents(spark, files):
     root = f"{scratch.shared_dir(spark)}/documents-{uuid.uuid4().hex}"
     reports.save(files, root)

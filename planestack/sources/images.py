@@ -104,14 +104,17 @@ def pixels_of(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, "path string, y long, x long, r int, g int, b int")
 
 
-def png_of(masks: DataFrame, height: int, width: int) -> DataFrame:
-    """img_id, content: a 16-bit PNG of each labelled mask (img_id, y, x, label); one image is put together in one task."""
+def png_of(masks: DataFrame, height: int, width: int, deep: bool = True) -> DataFrame:
+    """img_id, content: a PNG of each labelled mask (img_id, y, x, label), of 16 bits, or of 8 with labels up to 255.
+
+    One image is put together in one task.
+    """
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        grid = np.zeros((height, width), np.uint16)
+        grid = np.zeros((height, width), np.uint16 if deep else np.uint8)
         grid[table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("label").to_numpy()
         return pa.table({"img_id": pa.array([table.column("img_id")[0].as_py()], pa.int64()), "content": pa.array([encode_png(grid)], pa.binary())})
 
