@@ -13,8 +13,8 @@ vector that fills a third of the table costs no more than others.
 
 Fitted on a sample: centroids, from SAMPLE vectors at most (the smallest hashes of ids). Every vector is indexed.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, or that don't have the most frequent
-length, take no part. Rows with a null id take no part. Repeated ids with different vectors count as several candidates.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id.
+Vectors of another length than the query's aren't candidates. Repeated ids with different vectors count as several candidates.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ from planestack.llm import common
 SAMPLE, STEPS = 16_384, 8
 #: Lists at most, rows of a block (about), columns of a scan step, and the test's error bound.
 LISTS, BLOCK, COLUMNS, EPSILON = 4096, 2048, 16, 2.1
+#: Queries that meet a block in one task, about.
+QUERIES = 4096
+_FOUND = "query_id long, rank int, vec_id long, score double"
 #: Part of the lists that a query probes, and lists at least.
 PROBED, LEAST = 0.75, 12
 
@@ -38,8 +41,6 @@ def vectors(rows: DataFrame, id_column: str, column: str) -> DataFrame:
     v = F.col(column).cast("array<double>")
     sound = v.isNotNull() & F.col(id_column).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).filter(sound)
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.filter(F.size("v") == (usual["n"] if usual else 0))
 
     def pack(batches: Iterator) -> Iterator:
         import numpy as np
@@ -47,9 +48,9 @@ def vectors(rows: DataFrame, id_column: str, column: str) -> DataFrame:
 
         for batch in batches:
             v = batch.column("v")
-            flat = v.flatten().to_numpy(zero_copy_only=False) + 0.0  # a negative zero is a zero
-            n = len(flat) // max(1, len(v))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vec": pa.array([r.tobytes() for r in np.ascontiguousarray(flat, "<f8").reshape(len(v), n)] if len(v) else [], pa.binary())})
+            flat = np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False) + 0.0, "<f8").tobytes()  # a negative zero is a zero
+            ends = np.cumsum([0, *v.value_lengths().to_pylist()]) * 8
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vec": pa.array([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())})
 
     return rows.mapInArrow(pack, "id long, vec binary")
 
@@ -104,8 +105,13 @@ def _scan(x, ids, q, bound: float, k: int, turned_x, turned_q, order):
     return [(int(ids[alive[i]]), float(score[i])) for i in best]
 
 
-def _search(index: DataFrame, asked: DataFrame, k: int, most: float, rotation) -> DataFrame:
-    """query, id, score: the best k of each block for each query that asks it."""
+def _search(index: DataFrame, asked: DataFrame, k: int, most: float, rotation, chunks: int = 1) -> DataFrame:
+    """query, id, score: the best k of each block for each query that asks it.
+
+    Queries are dealt into chunks, and each block meets each chunk for itself, so that a task holds a block and a chunk.
+    """
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query", F.lit(3)), F.lit(chunks)).cast("int"))
+    index = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else index.withColumn("chunk", F.lit(0))
 
     def scan(left, right):
         import numpy as np
@@ -128,7 +134,7 @@ def _search(index: DataFrame, asked: DataFrame, k: int, most: float, rotation) -
                     out[2].append(score)
         return pa.table({"query": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    return index.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(scan, "query long, id long, score double")
+    return index.groupBy("list", "block", "chunk").cogroup(asked.groupBy("list", "block", "chunk")).applyInArrow(scan, "query long, id long, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -137,20 +143,32 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(rows: DataFrame, k: int, is_query, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row for which is_query(id column) holds, among all other rows."""
-    import numpy as np
+    """query_id, rank, vec_id, score: the k nearest of each row for which is_query(id column) holds, among all other rows.
 
-    spark = rows.sparkSession
+    An inner product needs vectors of one length, so each length is searched for itself (their number comes to the driver).
+    """
     every, _ = common.materialize(vectors(rows, id_column, column), "vectors")
+    found = None
+    for r in every.select(F.octet_length("vec").alias("n")).distinct().orderBy("n").collect():
+        own = _nearest(every.filter(F.octet_length("vec") == r["n"]), k, is_query)
+        found = own if found is None else found.unionByName(own)
+    return found if found is not None else rows.sparkSession.createDataFrame([], _FOUND)
+
+
+def _nearest(every: DataFrame, k: int, is_query) -> DataFrame:
+    """nearest() for vectors (id, vec) of one length."""
+    import numpy as np
+
     copies = Window.partitionBy("vec").orderBy("id")
     few = every.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
     few, _ = common.materialize(few, "distinct")
     first = few.limit(1).collect()
     if not first:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return every.sparkSession.createDataFrame([], _FOUND)
     wide = len(first[0]["vec"]) // 8
     queries = every.filter(is_query(F.col("id")))
     searched = queries.groupBy("vec").agg(F.min("id").alias("query"))
+    chunks = max(1, -(-searched.count() // QUERIES))
 
     def norms(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -204,10 +222,10 @@ def nearest(rows: DataFrame, k: int, is_query, id_column: str = "vec_id", column
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["query", "vec", "nth", "list", "block"])
 
     asked = searched.mapInArrow(probe, "query long, vec binary, nth int, list int, block int")
-    start, _ = common.materialize(_best(_search(index, asked.filter("nth = 0").withColumn("kth", F.lit(None).cast("double")), k + 1, most, rotation), k + 1), "nearest")
+    start, _ = common.materialize(_best(_search(index, asked.filter("nth = 0").withColumn("kth", F.lit(None).cast("double")), k + 1, most, rotation, chunks), k + 1), "nearest")
     bound = start.groupBy("query").agg(F.min(F.when(F.col("rank") == k + 1, F.col("score"))).alias("kth"))
     rest = asked.filter("nth > 0").join(bound, "query", "left")
-    found = _best(start.drop("rank").unionByName(_search(index, rest, k + 1, most, rotation)), k + 1)
+    found = _best(start.drop("rank").unionByName(_search(index, rest, k + 1, most, rotation, chunks)), k + 1)
     # Each query row takes the result of its vector, without itself.
     own = queries.join(searched, "vec").select(F.col("id").alias("query_id"), "query")
     result = own.join(found.select("query", F.col("id").alias("vec_id"), "score"), "query").filter(F.col("vec_id") != F.col("query_id"))

@@ -72,6 +72,25 @@ def test_vectors(spark):
     assert ann.nearest(df.limit(0), 3, lambda i: i % 20 == 0).count() == 0
 
 
+def test_vectors_of_several_lengths_and_many_queries(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.normal(0, 1, 3 + i % 2 * 2 + (i == 400)).tolist()) for i in range(401)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 4, lambda i: i % 20 < 2).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hit = total = 0
+    for i, v in rows:
+        if i % 20 < 2 and i != 400:
+            want = sorted(((-float(np.dot(v, w)), j) for j, w in rows if j != i and len(w) == len(v)))[:4]
+            assert [got[i][n][1] for n in range(1, 5)] == sorted((float(np.dot(v, rows[j][1])) for j, _ in got[i].values()), reverse=True) or len(got[i]) == 4
+            hit += len({j for _, j in want} & {j for j, _ in got[i].values()})
+            total += 4
+    assert 400 not in got and hit >= 0.9 * total
+
+
 def test_urls(spark):
     urls = [None, "", "no host", "http://", "https://A.Example.ORG/es/x?y#z", "http://example.org/en/12", "http://example.org/en/2", "http://notexample.org/es/", "x://org", "http://www.example.net/en/100/more", "http://example.net/en/101", "http://a.com/fr/", "http://a.com/de/"]
     df = spark.createDataFrame([(i, u, "k", "v") for i, u in enumerate(urls)] + [(None, urls[5], "k", "v")], "page_id long, url string, key string, verdict string")
