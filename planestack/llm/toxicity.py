@@ -148,6 +148,7 @@ def _harmless(rows: DataFrame, weights: np.ndarray) -> Model:
 
     found = rows.filter("y = 0").select("ids", "counts").mapInArrow(add, "n double, x double, xx double")
     r = found.agg(F.percentile("n", F.lit(USUAL)).alias("usual"), F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx")).first()
+    shared.destroy()
     if not r["n"]:
         return Model(weights)
     mean = r["x"] / r["n"]
