@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from planestack import dims, schemas
 
+# Patterns of what replies hold, here and in the parsers below.
 NUMBER = r"([0-9.]+)"
 STRING = r'"((?:[^"\\]|\\.)*)"'
 DEFAULT_ISSUE = "Could not parse VLM response"

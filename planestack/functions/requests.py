@@ -1,4 +1,7 @@
-"""Requests to an evaluating model, built from a slice's state: current parameters, earlier attempts, the best so far."""
+"""Requests to an evaluating model, built from a slice's state: current parameters, earlier attempts, the best so far.
+
+The wordings are fixed values: what a model replies depends on them.
+"""
 
 from __future__ import annotations
 

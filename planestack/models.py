@@ -180,7 +180,7 @@ def echo_chat():
     return lambda prompts: ['<points coords="1 500 500"/>' for _ in prompts]
 
 
-#: Classes of generator backends, and the names that their parameters go by.
+# Classes of generator backends, and the names that their parameters go by.
 BACKENDS = {"SAM3Backend": "sam3", "FluxBackend": "flux", "GLMImageBackend": "glm", "QwenImageEditBackend": "qwen", "GeminiImageBackend": "gemini"}
 
 
