@@ -47,16 +47,17 @@ def crops(classes: DataFrame, raw: DataFrame, targets: DataFrame, least: float =
     """Crops with the classes that are targets: dataset, crop_id, annotated (sorted), origin, extent.
 
     classes: dataset, crop_id, cls_name, resolution, offset, shape (finest scales); raw: dataset, resolution; targets: cls_name.
-    The bounding box is that of the first class by name. Crops under `least` raw voxels along any axis are left out.
+    The bounding box is that of the first class by name. Crops under `least` raw voxels along any axis are left out. Targets and
+    raw stores (a row for each class, for each dataset) are sent to all tasks, as their few keys would not spread the crops.
     """
-    c = classes.filter(F.col("crop_id").startswith("crop")).join(targets, "cls_name", "left_semi")
+    c = classes.filter(F.col("crop_id").startswith("crop")).join(F.broadcast(targets), "cls_name", "left_semi")
     boxed = c.groupBy("dataset", "crop_id").agg(
         F.sort_array(F.collect_set("cls_name")).alias("annotated"),  # a crop has as many classes as there are targets at most
         F.min_by(F.struct("offset", "resolution", "shape"), "cls_name").alias("ref"),
     )
     extent = F.zip_with("ref.shape", "ref.resolution", lambda n, r: n * r)
     rows = boxed.select("dataset", "crop_id", "annotated", F.col("ref.offset").alias("origin"), extent.alias("extent"))
-    rows = rows.join(raw.select("dataset", F.col("resolution").alias("_r")), "dataset")
+    rows = rows.join(F.broadcast(raw.select("dataset", F.col("resolution").alias("_r"))), "dataset")
     return rows.filter(F.forall(F.zip_with("extent", "_r", lambda e, r: e / r), lambda n: n >= least)).drop("_r")
 
 
@@ -65,9 +66,14 @@ def is_small(extent: Column, resolution: Column) -> Column:
     return (extent[1] / resolution[1] < SMALL) & (extent[2] / resolution[2] < SMALL)
 
 
-def by_organelle(crop_classes: DataFrame, bridge: DataFrame) -> DataFrame:
-    """organelle_key, dataset, crop_id of the crops with any of an organelle's classes (crop_classes: dataset, crop_id, cls_name)."""
-    return crop_classes.join(bridge.select("organelle_key", "cls_name"), "cls_name").select("organelle_key", "dataset", "crop_id").distinct()
+def by_organelle(crop_classes: DataFrame, bridge: DataFrame, partitions: int | None = None) -> DataFrame:
+    """organelle_key, dataset, crop_id of the crops with any of an organelle's classes (crop_classes: dataset, crop_id, cls_name).
+
+    The bridge has a row for each fine class and is sent to all tasks, as a shuffle by class would have a few keys for all crops.
+    partitions: by crop, into as many as the caller knows to fit; otherwise they are the session's.
+    """
+    rows = crop_classes.join(F.broadcast(bridge.select("organelle_key", "cls_name")), "cls_name").select("organelle_key", "dataset", "crop_id")
+    return (rows.repartition(partitions, "dataset", "crop_id") if partitions else rows).distinct()
 
 
 def cache_key(arguments: Column) -> Column:

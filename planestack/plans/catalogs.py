@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planestack import dims
 from planestack.operators import catalog, normalize, sampling
-from planestack.plans.base import query, table
+from planestack.plans.base import parts_of, query, table
 
 _BRIDGE = "bridge(organelle_key, ordinal, cls_name) AS (VALUES " + ", ".join(f"('{k}', {i}, '{c}')" for k, v in dims.FINE_CLASSES.items() for i, c in enumerate(v)) + ")"
 _CLASSES = ["mito_mem", "er_lum", "hchrom", "echrom", "pm", "ld_mem", "np_out"]
@@ -16,11 +16,16 @@ _CROP = f"cls AS (SELECT DISTINCT o_orderpriority AS dataset, 'crop' || o_orderk
 
 
 def crop_classes(spark, sf):
-    """dataset, crop_id, cls_name: orders as crops, line numbers as classes."""
+    """dataset, crop_id, cls_name: orders as crops, line numbers as classes.
+
+    The line numbers of an order become one number, so that orders meet one row each; an order's classes are distinct as they are.
+    """
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    cls = F.element_at(F.array(*[F.lit(c) for c in _CLASSES]), F.col("l_linenumber") % 7 + 1)
-    rows = o.join(li, o["o_orderkey"] == li["l_orderkey"])
-    return rows.select(F.col("o_orderpriority").alias("dataset"), F.concat(F.lit("crop"), F.col("o_orderkey").cast("string")).alias("crop_id"), cls.alias("cls_name")).distinct()
+    n = parts_of(li)
+    lines = li.select("l_orderkey", "l_linenumber").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.bit_or(F.expr("shiftleft(1, l_linenumber % 7)")).alias("on"))
+    rows = o.select("o_orderkey", "o_orderpriority").repartition(n, "o_orderkey").distinct().hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    cls = F.array_compact(F.array(*[F.when(F.col("on").bitwiseAND(1 << i) != 0, c) for i, c in enumerate(_CLASSES)]))
+    return rows.select(F.col("o_orderpriority").alias("dataset"), F.concat(F.lit("crop"), F.col("o_orderkey").cast("string")).alias("crop_id"), F.explode(cls).alias("cls_name"))
 
 
 @query("SELECT s_suppkey, s_name, coalesce(n.lo, 0.0) AS min, coalesce(n.hi, 255.0) AS max FROM supplier LEFT JOIN (SELECT n_nationkey, n_nationkey * 10.0 AS lo, n_nationkey * 20.0 AS hi FROM nation WHERE n_regionkey < 3) n ON s_nationkey = n_nationkey")
@@ -41,12 +46,12 @@ def norms_last_wins(spark, sf):
 
 @query(f"WITH {_BRIDGE}, {_CROP} SELECT DISTINCT b.organelle_key, c.dataset, c.crop_id FROM cls c JOIN bridge b USING (cls_name)")
 def class_semi_join(spark, sf):
-    return catalog.by_organelle(crop_classes(spark, sf), dims.fine_classes(spark))
+    return catalog.by_organelle(crop_classes(spark, sf), dims.fine_classes(spark), parts_of(table(spark, sf, "lineitem")))
 
 
 @query(f"WITH {_BRIDGE}, {_CROP} SELECT c.dataset, c.crop_id, string_agg(DISTINCT b.organelle_key, ',' ORDER BY b.organelle_key) AS organelles FROM cls c JOIN bridge b USING (cls_name) GROUP BY ALL")
 def reverse_index(spark, sf):
-    by = catalog.by_organelle(crop_classes(spark, sf), dims.fine_classes(spark))
+    by = catalog.by_organelle(crop_classes(spark, sf), dims.fine_classes(spark), parts_of(table(spark, sf, "lineitem")))
     return by.groupBy("dataset", "crop_id").agg(F.array_join(F.sort_array(F.collect_set("organelle_key")), ",").alias("organelles"))
 
 
