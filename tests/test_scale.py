@@ -1,7 +1,9 @@
 """Steps that must not grow into a few tasks: what a plan deals out, and how many rounds a job takes."""
 
 from planestack import dims
+from planestack.operators import propagate
 from planestack.plans import registry
+from planestack.sources import scratch
 
 
 def plan(df):
@@ -23,3 +25,21 @@ def test_repeated_orders_and_lines_are_one_crop(spark, tmp_path):
     classes = {("a", "crop1"): {"mito_mem", "hchrom"}, ("b", "crop1"): {"mito_mem", "hchrom"}, ("a", "crop2"): {"np_out"}}
     want = {(k, d, c) for k, names in dims.FINE_CLASSES.items() for (d, c), have in classes.items() if have & set(names)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_propagation_takes_rounds_by_stretch_not_by_volume(spark, monkeypatch):
+    written = []
+    whole = scratch.materialize
+    monkeypatch.setattr(scratch, "materialize", lambda df, tag: written.append(tag) or whole(df, tag))
+    on, off = bytes([1, 1]), bytes([0, 0])
+    frames = spark.createDataFrame([(v, f, [1.0, -1.0 if f % 10 == 3 else 1.0]) for v in (1, 2) for f in range(200)], "vol long, frame long, tile array<double>")
+    seeds = spark.createDataFrame([(1, f, on) for f in range(5, 200, 10)] + [(2, 100, on), (2, 101, off)], "vol long, frame long, mask binary")
+    few = propagate.propagated(frames.filter("vol = 1"), seeds, "fading", span=8).collect()
+    assert len(written) <= 10  # 25 ranges of 8 frames, each way
+    assert len(few) == 200
+    got = {(r.vol, r.frame): r.mask for r in propagate.propagated(frames, seeds, "fading", span=8).collect()}
+    for f in range(200):
+        seed = max((s for s in range(5, 200, 10) if s <= f), default=None)
+        left = b"\x01\x00" if (any(g % 10 == 3 for g in range(seed + 1, f + 1)) if seed is not None else f <= 3) else on
+        assert got[(1, f)] == left
+    assert got[(2, 101)] == off and (2, 102) not in got and got[(2, 94)] == on and got[(2, 93)] == got[(2, 0)] == b"\x01\x00"
