@@ -1,9 +1,11 @@
 """Steps that must not grow into a few tasks: what a plan deals out, and how many rounds a job takes."""
 
+import glob
+
 from planestack import dims
-from planestack.operators import propagate
-from planestack.plans import registry
-from planestack.sources import scratch
+from planestack.operators import masks, propagate, refine, tiles
+from planestack.plans import registry, walks
+from planestack.sources import images, scratch
 
 
 def plan(df):
@@ -43,3 +45,44 @@ def test_propagation_takes_rounds_by_stretch_not_by_volume(spark, monkeypatch):
         left = b"\x01\x00" if (any(g % 10 == 3 for g in range(seed + 1, f + 1)) if seed is not None else f <= 3) else on
         assert got[(1, f)] == left
     assert got[(2, 101)] == off and (2, 102) not in got and got[(2, 94)] == on and got[(2, 93)] == got[(2, 0)] == b"\x01\x00"
+
+
+def test_slices_of_one_file_are_dealt_out(spark, tmp_path):
+    rows = [(i, [0.2] * 4, 0.0, -1, "first") for i in range(40)]
+    spark.createDataFrame(rows, "run long, tile array<double>, offset double, fails int, prompt string").coalesce(1).write.parquet(f"{tmp_path}/s")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    found = refine.refine(spark.read.parquet(f"{tmp_path}/s"), "cut", "dice")
+    assert found.history.count() == 40 and spark.conf.get(name) == before
+    assert len(glob.glob(f"{found.paths[0].removeprefix('file://')}/part-*.parquet")) > 1
+
+
+def test_joined_tiles_are_dealt_out_by_count(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "PIXELS", 4)
+    mask = spark.createDataFrame([(i, y, 3) for i in (1, 2) for y in range(8)] + [(2, 0, 7)], "img_id long, y long, x long")
+    found = masks.tiled_components(mask, 4, 8)
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(i, y, 3, 3) for i in (1, 2) for y in range(8)} | {(2, 0, 7, 7)}
+
+
+def test_many_images_are_labelled_and_encoded_together(spark):
+    mask = spark.createDataFrame([(i, y, x) for i in range(-5, 300) for y, x in [(0, 0), (1, 1), (3, 7), (4, 0)]] + [(None, 0, 0)], "img_id long, y int, x int")
+    for size in (3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = masks.components(mask, True, 8)
+            assert "FlatMapGroups" not in plan(found)
+            got = sorted(tuple(r) for r in found.collect())
+            pngs = {r.img_id: images.decode_png(bytes(r.content)) for r in images.png_of(masks.relabelled(found), 8, 8).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == sorted((i, y, x, f) for i in range(-5, 300) for y, x, f in [(0, 0, 0), (1, 1, 0), (3, 7, 31), (4, 0, 32)])
+        assert len(pngs) == 305 and all((p[0, 0], p[1, 1], p[3, 7], p[4, 0], int((p > 0).sum())) == (1, 1, 2, 3, 4) for p in pngs.values())
+
+
+def test_small_files_are_read_many_to_a_task(spark, monkeypatch):
+    read = walks._read_back
+    monkeypatch.setattr(walks, "_read_back", lambda *a: (lambda d: seen.append(d.rdd.getNumPartitions()) or d)(read(*a)))
+    seen = []
+    assert registry.queries()["mask_png_files"](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen[0] <= spark.sparkContext.defaultParallelism
