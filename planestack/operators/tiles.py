@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from planestack.operators import graph
 from planestack.sources import scratch
 
-#: Side of a tile, and cells of a stack.
-TILE, STACK = 1024, 1 << 23
+#: Side of a tile, cells of a stack, and pixels that a task joins at once.
+TILE, STACK, PIXELS = 1024, 1 << 23, 1 << 18
 Steps = list[tuple[str, int]]
 
 
@@ -184,17 +184,20 @@ def labelled(mask: DataFrame, steps: Steps, height: int, width: int, eight: bool
 
 
 def _joined(own: DataFrame, tile: int, eight: bool) -> DataFrame:
-    """Tiles' components put together where they touch; only pixels on edges meet in a join."""
+    """Tiles' components put together where they touch; only pixels on edges meet in a join, PIXELS or so in a task."""
     named, _ = scratch.materialize(own, "tiles")
+    n = max(named.sparkSession.sparkContext.defaultParallelism, -(-named.count() // PIXELS))
     edge = named.filter(f"y % {tile} IN (0, {tile - 1}) OR x % {tile} IN (0, {tile - 1})")
     steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if eight else [(0, 1), (1, 0)]
     to = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("dy"), F.lit(b).cast("long").alias("dx")) for a, b in steps]))
     moved = edge.select("img_id", F.col("first").alias("f"), "y", "x", to.alias("o")).select("img_id", "f", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
     node = lambda c: F.struct(F.col("img_id"), F.col(c).alias("first"))
-    links = moved.join(edge, ["img_id", "y", "x"]).filter("f <> first").select(node("f").alias("a"), node("first").alias("b"))
-    roots = graph.components(links).select("node.img_id", "node.first", F.col("root.first").alias("least"))
+    at = ["img_id", "y", "x"]
+    links = moved.repartition(n, *at).join(edge.select(*at, "first").repartition(n, *at), at).filter("f <> first").select(node("f").alias("a"), node("first").alias("b"))
+    roots = graph.components(links, n).select("node.img_id", "node.first", F.col("root.first").alias("least"))
     # the root is the smallest node of its component, so it is the first pixel of the whole
-    return named.join(roots, ["img_id", "first"], "left").select("img_id", "y", "x", F.coalesce("least", "first").alias("first"))
+    of = ["img_id", "first"]
+    return named.repartition(n, *of).join(roots.repartition(n, *of), of, "left").select("img_id", "y", "x", F.coalesce("least", "first").alias("first"))
 
 
 def large_enough(found: DataFrame, least: int) -> DataFrame:
