@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planestack import dims
 from planestack.functions import pixels
 from planestack.operators import tiles
+from planestack.sources import images
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
@@ -41,25 +42,27 @@ def smooth(mask: DataFrame, radius: int, height: int, width: int) -> DataFrame:
 def components(mask: DataFrame, eight: bool = True, width: int = 1 << 20) -> DataFrame:
     """img_id, y, x, first: pixels with the raster index (y * width + x) of their component's first pixel.
 
-    One image is one group: its foreground is labelled by numpy in one task. Volumes of larger planes are cut into tiles, whose
+    An image is labelled by numpy within one task, many small ones at once. Volumes of larger planes are cut into tiles, whose
     components are then joined by tiled_components.
     """
 
-    def label(table):
+    def label(img, y, x):
         import numpy as np
         import pyarrow as pa
 
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
         at = y * width + x
-        order = np.argsort(at, kind="stable")
-        at, y, x = at[order], y[order], x[order]
+        _, of = np.unique(img, return_inverse=True)
+        low = int(at.min())
+        apart = of * (int(at.max()) - low + width + 2) + at - low  # images follow each other, too far apart to touch
+        order = np.argsort(apart, kind="stable")
+        apart, at, img, y, x = apart[order], at[order], img[order], y[order], x[order]
         root = np.arange(len(at))
         steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if eight else [(0, 1), (1, 0)]
         ends = []
         for dy, dx in steps:
-            to = np.searchsorted(at, at + dy * width + dx)
+            to = np.searchsorted(apart, apart + dy * width + dx)
             ok = (to < len(at)) & (x + dx >= 0) & (x + dx < width)
-            ok[ok] = at[to[ok]] == at[ok] + dy * width + dx
+            ok[ok] = apart[to[ok]] == apart[ok] + dy * width + dx
             ends.append((np.flatnonzero(ok), to[ok]))
         a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
         while len(a):
@@ -70,9 +73,13 @@ def components(mask: DataFrame, eight: bool = True, width: int = 1 << 20) -> Dat
             root = root[root]
             if (root == before).all():
                 break
-        return pa.table({"img_id": table.column("img_id").take(pa.array(order)), "y": y, "x": x, "first": at[root]})
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (img, y, x, at[root])], ["img_id", "y", "x", "first"])
 
-    return mask.groupBy("img_id").applyInArrow(label, "img_id long, y long, x long, first long")
+    def run(batches):
+        for img, y, x in images.whole(batches, ["img_id", "y", "x"]):
+            yield label(img, y, x)
+
+    return images.by_image(mask, ["y", "x"]).mapInArrow(run, "img_id long, y long, x long, first long")
 
 
 def tiled_components(mask: DataFrame, tile: int, width: int, eight: bool = True, height: int | None = None) -> DataFrame:

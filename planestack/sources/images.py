@@ -104,21 +104,59 @@ def pixels_of(images: DataFrame) -> DataFrame:
     return images.mapInArrow(run, "path string, y long, x long, r int, g int, b int")
 
 
+def by_image(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """img_id and columns (all as long) with the rows of an image in one partition, one after the other. Rows of no image are left out."""
+    long = rows.select(*[F.col(c).cast("long").alias(c) for c in ("img_id", *columns)]).filter("img_id IS NOT NULL")
+    return long.repartition("img_id").sortWithinPartitions("img_id")
+
+
+def whole(batches: Iterator, columns: list[str]) -> Iterator:
+    """Arrays of the columns, img_id first, of whole images: an image that goes on in the next batch waits for it."""
+    import numpy as np
+
+    held: list = []
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in columns]
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # ids ascend, so the last image begins here
+        if held and cut:
+            first = int(np.searchsorted(rows[0], held[0][0][0], "right"))
+            yield [np.concatenate([*(h[k] for h in held), rows[k][:first]]) for k in range(len(columns))]
+            if first < cut:
+                yield [c[first:cut] for c in rows]
+            held = [[c[cut:] for c in rows]]
+        elif held and rows[0][0] != held[0][0][0]:
+            yield [np.concatenate([h[k] for h in held]) for k in range(len(columns))]
+            held = [rows]
+        else:
+            if cut:
+                yield [c[:cut] for c in rows]
+            held.append([c[cut:] for c in rows])
+    if held:
+        yield [np.concatenate([h[k] for h in held]) for k in range(len(columns))]
+
+
 def png_of(masks: DataFrame, height: int, width: int, deep: bool = True) -> DataFrame:
     """img_id, content: a PNG of each labelled mask (img_id, y, x, label), of 16 bits, or of 8 with labels up to 255.
 
-    One image is put together in one task.
+    One image is put together in one task, one after the other.
     """
 
-    def run(table):
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        grid = np.zeros((height, width), np.uint16 if deep else np.uint8)
-        grid[table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("label").to_numpy()
-        return pa.table({"img_id": pa.array([table.column("img_id")[0].as_py()], pa.int64()), "content": pa.array([encode_png(grid)], pa.binary())})
+        for img, y, x, label in whole(batches, ["img_id", "y", "x", "label"]):
+            ids, starts = np.unique(img, return_index=True)
+            content = []
+            for a, b in zip(starts, [*starts[1:], len(img)], strict=True):
+                grid = np.zeros((height, width), np.uint16 if deep else np.uint8)
+                grid[y[a:b], x[a:b]] = label[a:b]
+                content.append(encode_png(grid))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(content, pa.binary())], ["img_id", "content"])
 
-    return masks.groupBy("img_id").applyInArrow(run, "img_id long, content binary")
+    return by_image(masks, ["y", "x", "label"]).mapInArrow(run, "img_id long, content binary")
 
 
 def windowed_sinc(out: int, into: int, lobes: int = 3):
