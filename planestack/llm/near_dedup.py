@@ -232,7 +232,9 @@ def _screened(pairs: DataFrame, odd: DataFrame) -> DataFrame:
 
 
 def _filter(ids: DataFrame):
-    """A bitmap of FILTER_BITS for the hashes of the ids (eight of them meet on the driver)."""
+    """A bitmap of FILTER_BITS for the hashes of the ids (eight of them meet on the driver, compressed, as most are sparse)."""
+    import zlib
+
     import numpy as np
 
     def fill(batches: Iterator) -> Iterator:
@@ -241,11 +243,11 @@ def _filter(ids: DataFrame):
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
             bits[(Shingles.mix(batch.column("id").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
+        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in ids.repartition(8).mapInArrow(fill, "bits binary").collect():
-        bits |= np.frombuffer(r["bits"], np.uint8)
+        bits |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return bits
 
 
