@@ -48,7 +48,7 @@ def initial_prompts(spark, sf):
     whole = F.concat(F.lit('so: {"reasoning": "a {b}", "prompt": "color {x} of '), n, F.lit('"} end'))
     cut = F.concat(F.lit('{"prompt": "cut '), n, F.lit('", "reasoning": "no e'))
     text = F.when(kind == 0, whole).when(kind == 1, cut).when(kind == 2, F.lit('{"prompt": ""}')).when(kind == 3, F.lit('{"other": 1}')).otherwise(F.lit("plain"))
-    rows = table(spark, sf, "events").select("event_id", F.left(text, F.lit(4000)).alias("text"))
+    rows = table(spark, sf, "events").select("event_id", text.alias("text"))
     rows = rows.withColumn("object", replies.first_object(F.col("text")))
     return rows.select("event_id", replies.initial_prompt(F.col("text"), F.col("object"), F.lit("default")).alias("prompt"))
 

@@ -109,6 +109,37 @@ def test_one_iteration_is_not_judged_and_no_slices_give_no_rows(spark):
     assert refine.refine(slices.limit(0), "plain", "plain", 3).history.count() == 0
 
 
+@models.judge("long")
+def _long_judge():
+    """Replies that come to their point late: thoughts first, and a long text within the object or one that is cut off."""
+
+    def reply(m, r, i):
+        said = reply_to(m, r, i)
+        body = json.dumps({"reasoning": "x\ny " * 40_000, **said} if r % 3 else {"reasoning": "short", **said, "refined_prompt": 'a "b" ' * 20_000})
+        return "thought " * 1000 + (body if r % 2 else "```json\n" + body + "\n```")
+
+    return lambda f: [reply(m, r, i) for m, r, i in zip(f["image"], f["run"], f["iteration"], strict=True)]
+
+
+def test_whole_replies_are_read(spark):
+    """What a reply says behind its first 4000 characters counts like the rest."""
+    slices = spark.createDataFrame([(r, -1, "start") for r in range(6)], "run long, fails int, prompt string")
+    rows = refine.refine(slices, "plain", "long", 2, 2.0).history.collect()
+    for r in (r for r in rows if r.i == 0):
+        want = reply_to(json.dumps([3.5, 0.75, 28, "start", 0]), r.run, 0)
+        assert (r.score, r.issues) == (pytest.approx(want["score"], abs=1e-9), ["i0"])
+    later = {r.run: r.prompt for r in rows if r.i == 1}
+    assert later[0] == later[3] == 'a "b" ' * 20_000 and later[2] == "short"
+
+
+def test_long_strings_of_broken_objects(spark):
+    """A string is salvaged however long it is and however many escapes it has."""
+    body = r'long \n \" \u00e9 ' * 20_000
+    rows = spark.createDataFrame([("z " * 5000 + '{"refined_prompt": "' + body + '", "issues": ["i"], "score": 0.5, "reasoning": "cut ' + body,)], "t string").withColumn("o", replies.json_of(F.col("t")))
+    r = rows.select(replies.evaluation(F.col("t"), F.col("o")).alias("r"), replies.initial_prompt(F.regexp_replace("t", "refined_prompt", "prompt"), F.col("o"), F.lit("d")).alias("p")).first()
+    assert (r.r.refined_prompt, r.p, r.r.score, r.r.issues, r.r.reasoning) == (body, body, 0.5, ["i"], "")
+
+
 def test_all_images_fail(spark):
     slices = spark.createDataFrame([(1, 0)], "run long, fails int")
     refined = refine.refine(slices, "plain", "plain", 1)
