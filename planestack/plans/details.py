@@ -10,7 +10,7 @@ from planestack import dims, models
 from planestack.functions import geometry, pixels, replies
 from planestack.operators import masks, normalize, orchestrate, sampling, volume
 from planestack.plans import runs
-from planestack.plans.base import FILES, GREY, RGB, VOX, grey, parts_of, query, rgb, table, voxels
+from planestack.plans.base import GREY, RGB, VOX, grey, query, read_back, rgb, table, voxels
 from planestack.sources import reports, scratch
 
 _ORG = "org(organelle_key, name, color_name) AS (VALUES " + ", ".join(f"('{o[0]}', '{o[1]}', '{o[2]}')" for o in dims.ORGANELLES) + ")"
@@ -188,9 +188,7 @@ def weighted_loss(spark, sf):
 def _documents(spark, files):
     root = f"{scratch.shared_dir(spark)}/documents-{uuid.uuid4().hex}"
     reports.save(files, root)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
-    # some thousand files to a task: Spark counts each as 4 MB, so that a task would get 32
-    return read.select(F.substring_index("path", "/", -3).alias("name"), F.decode("content", "UTF-8").alias("json")).coalesce(parts_of(files, FILES))
+    return read_back(files, root, "json")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from planestack.operators import catalog, masks
 from planestack.plans import runs
-from planestack.plans.base import FILES, GREY, grey, mask, parts, query, table
+from planestack.plans.base import FILES, GREY, grey, mask, parts, query, read_back, table
 from planestack.plans.images import EIGHT
 from planestack.sources import formats, images, scratch, windows, zarr
 
@@ -174,15 +174,14 @@ def _pixels(files):
     return files.mapInArrow(decode, "name string, y long, x long, label long")
 
 
-def _read_back(spark, root, n):
-    """name, content of n files, some thousand to a task: Spark counts each as 4 MB, so that a task would get 32."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root)
-    return files.select(F.substring_index("path", "/", -2).alias("name"), "content").coalesce(parts(spark, n, FILES))
+def _read_back(files, root):
+    """name, content of the files."""
+    return read_back(files, root, "content", text=False)
 
 
 @query(f"{EIGHT}, n AS (SELECT DISTINCT img_id, first FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY first) AS label FROM n) SELECT img_id, y, x, label FROM c JOIN k USING (img_id, first)")
 def mask_png_files(spark, sf):
-    """Instance masks as PNG files in folders of ten, written by tasks, listed and decoded again."""
+    """Instance masks as PNG files in folders of ten, written by tasks and decoded again."""
     found = masks.relabelled(masks.components(mask(spark, sf), True, 8))
     name = F.concat(F.expr("img_id div 10").cast("string"), F.lit("/z"), F.format_string("%04d", "img_id"), F.lit(".png"))
     root = _folder(spark, "masks")
@@ -191,7 +190,7 @@ def mask_png_files(spark, sf):
     files = files.repartition(parts(spark, files.count(), FILES))
     for _ in range(2):  # a second run leaves the same files
         files.write.format("files").mode("append").save(root)
-    return _pixels(_read_back(spark, root, files.count())).select(F.regexp_extract("name", r"z(\d+)\.png", 1).cast("long").alias("img_id"), "y", "x", "label")
+    return _pixels(_read_back(files, root)).select(F.regexp_extract("name", r"z(\d+)\.png", 1).cast("long").alias("img_id"), "y", "x", "label")
 
 
 @query(f"{runs._LOOP} SELECT run, i, len(list_filter(e, lambda x: x > c)) AS foreground FROM loop WHERE ok AND len(list_filter(e, lambda x: x > c)) > 0")
@@ -210,6 +209,7 @@ def iteration_files(spark, sf):
     name = F.concat(F.lit("iteration_"), F.format_string("%02d", "i"), F.lit("/mask_"), F.col("run").cast("string"), F.lit(".png"))
     root = _folder(spark, "iterations")
     formats.register(spark)
-    h.select(name.alias("name"), "image").mapInArrow(encode, "name string, content binary").write.format("files").mode("append").save(root)
-    found = _pixels(_read_back(spark, root, h.count())).select(F.regexp_extract("name", r"mask_(\d+)\.png", 1).cast("long").alias("run"), F.regexp_extract("name", r"iteration_(\d+)", 1).cast("int").alias("i"))
+    files = h.select(name.alias("name"), "image")
+    files.mapInArrow(encode, "name string, content binary").write.format("files").mode("append").save(root)
+    found = _pixels(_read_back(files, root)).select(F.regexp_extract("name", r"mask_(\d+)\.png", 1).cast("long").alias("run"), F.regexp_extract("name", r"iteration_(\d+)", 1).cast("int").alias("i"))
     return found.groupBy("run", "i").agg(F.count(F.lit(1)).alias("foreground"))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
 from planestack.sources import zarr
 
@@ -41,28 +41,27 @@ def _pieces(items: list, size: int) -> Iterator[list]:
         yield items[at : at + size]
 
 
-def _text(path: str | None) -> str | None:
+def _bytes(path: str | None) -> bytes | None:
     if path is None:
         return None
     store, file = zarr._store(path)
     try:
         with store.open_input_stream(file, compression=None) as stream:
-            return stream.read().decode("utf-8", "replace")
+            return stream.read()
     except (FileNotFoundError, NotADirectoryError):
         return None
 
 
-def contents(rows: DataFrame, path: Column | str, column: str) -> DataFrame:
-    """rows with a column that holds the text of a small file; null if there is none."""
-    schema = StructType([*rows.schema.fields, StructField(column, StringType())])
+def contents(rows: DataFrame, path: Column | str, column: str, text: bool = True) -> DataFrame:
+    """rows with a column that holds the text (or the bytes) of a small file; null if there is none."""
+    schema = StructType([*rows.schema.fields, StructField(column, StringType() if text else BinaryType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = []
-            for at in batch.column("_path").to_pylist():
-                texts.append(_text(at))
-            yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_path"], pa.array(texts, pa.string())], schema.names)
+            found = [_bytes(at) for at in batch.column("_path").to_pylist()]
+            held = pa.array([b if b is None else b.decode("utf-8", "replace") for b in found], pa.string()) if text else pa.array(found, pa.binary())
+            yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_path"], held], schema.names)
 
     return rows.withColumn("_path", path if not isinstance(path, str) else F.col(path)).mapInArrow(run, schema)

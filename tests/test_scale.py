@@ -4,8 +4,8 @@ import glob
 
 from planestack import dims
 from planestack.operators import masks, propagate, refine, tiles
-from planestack.plans import registry, walks
-from planestack.sources import images, scratch
+from planestack.plans import base, registry, walks
+from planestack.sources import images, reports, scratch
 
 
 def plan(df):
@@ -86,3 +86,19 @@ def test_small_files_are_read_many_to_a_task(spark, monkeypatch):
     seen = []
     assert registry.queries()["mask_png_files"](spark, "/root/testdata/sf0.001").count() > 0
     assert seen[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_written_files_are_not_listed_by_the_driver(spark, monkeypatch, tmp_path):
+    from pyspark.sql import DataFrameReader
+
+    asked = []
+    load = DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, name: asked.append(name) or load(self, name))
+    for name in ("stack_summaries", "mask_png_files"):
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert "binaryFile" not in asked
+    files = spark.createDataFrame([("a/1.json", "é"), ("a/2.json", ""), ("b/3.json", "x" * 9)], "name string, content string")
+    reports.save(files, str(tmp_path / "f"))
+    more = files.unionByName(spark.createDataFrame([("c/none.json", None)], "name string, content string"))
+    assert {(r.name, r.t) for r in base.read_back(more, str(tmp_path / "f"), "t").collect()} == {("a/1.json", "é"), ("a/2.json", ""), ("b/3.json", "x" * 9), ("c/none.json", None)}
+    assert {bytes(r.b) for r in base.read_back(files, str(tmp_path / "f"), "b", text=False).collect()} == {"é".encode(), b"", b"x" * 9}
