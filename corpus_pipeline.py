@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again as the next one's documents.
 
 toxicity: documents that score 0.5 or more go. near_dedup: the first document of each component stays. secrets: spans are
-replaced by their kind. mixing: documents are sampled to the target weights. bpe: token ids.
+replaced by their kind. mixing: documents are sampled to the target weights, those of scarce values more than once where that is
+needed. bpe: token ids.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mix(docs, repeat=True)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are added up in cells of source, language and topic. Each marginal in turn is raked: the weights of its values are
-scaled so that the weighted tokens meet the targets, until the cells fit all three. A document of a cell is then kept with a
+scaled so that the weighted tokens meet the targets, until the cells fit all three. A document of a cell is then taken with a
 probability in proportion to its cell's weight, found against a hash of its id, so a run can be repeated and any executor
-decides alike. The kept share of all tokens is KEEP, or less where that would take a probability over 1: the cell with the
-largest weight is then kept whole, and no probability is cut, so the expected sample meets the raked marginals. op4_shares tells
-the target and the reached share of each value.
+decides alike. The probability `p` of one pass is at most 1: the cell with the largest weight is then taken whole. The sample holds
+KEEP of all tokens: where one pass gives less, it takes several, in which documents of scarce cells repeat (`copies`: the whole
+part of weight times KEEP, and one more by the hash for the rest). So neither is a probability cut nor the sample made smaller,
+and the expected sample meets the raked marginals. op4_shares tells the target and the reached share of each value.
 
 Targets may be given as a table (marginal, value, share). Without one, the target of a value is its share of tokens to the power TEMPER, normalised, which evens out a dominant source. The topic is
 the form of the text (a table, shouting, symbols, repeated words, prose), as no subject column exists.
@@ -34,7 +35,7 @@ MOST_ROUNDS = 50
 SHARES = ["input", "target", "expected", "kept"]
 #: Cells up to which their table is sent to all tasks, so that texts needn't be shuffled, and a value's cells may meet in one task.
 FEW_CELLS = 20_000
-#: Values of the hash that decides: a document is kept if its hash is below its probability times this.
+#: Values of the hash that decides: a document is taken once more if its hash is below the rest of its expected copies times this.
 DRAWS = 1 << 28
 
 
@@ -60,6 +61,12 @@ def draw_of(doc_id: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix-"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+def copies_of(doc_id: F.Column, expected: F.Column) -> F.Column:
+    """How often a document is in the sample, from its expected number of copies."""
+    whole = F.floor(expected)
+    return whole + (draw_of(doc_id) < (expected - whole) * DRAWS).cast("long")
+
+
 def cells(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).filter("tokens > 0")
 
@@ -131,13 +138,16 @@ def rake(cell_rows: DataFrame, rounds: int = ROUNDS, tolerance: float | None = N
 
 
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
-    """source, lang, topic, weight, p: weights scaled by one factor, so that kept tokens are `keep` of all or p is 1 at most."""
+    """source, lang, topic, weight, p, expected: weights scaled by one factor, so that a pass takes `keep` of all tokens or p is 1
+    at most; copies of a document that are expected in the sample, which holds `keep` of all tokens.
+    """
     most = raked.agg(F.max("weight")).first()[0] or 1.0
-    return raked.withColumn("p", F.col("weight") * F.lit(min(keep, 1 / most))).select("source", "lang", "topic", "weight", "p")
+    rows = raked.withColumns({"p": F.col("weight") * F.lit(min(keep, 1 / most)), "expected": F.col("weight") * F.lit(keep)})
+    return rows.select("source", "lang", "topic", "weight", "p", "expected")
 
 
 def decided(docs: DataFrame, keep: float = KEEP, targets: DataFrame | None = None, tolerance: float = 1e-4) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, p, kept of every row (no text).
+    """doc_id, source, lang, topic, tokens, weight, p, expected, copies, kept (it has copies) of every row (no text).
 
     Without targets (see with_targets) the tempered ones hold, in ROUNDS rounds. With targets the cells are raked to the tolerance
     (MOST_ROUNDS at most). `shares` tells what is reached.
@@ -146,30 +156,35 @@ def decided(docs: DataFrame, keep: float = KEEP, targets: DataFrame | None = Non
     rows, _ = common.materialize(rows, "mix")
     cell_rows, _ = common.materialize(cells(rows), "cells")
     cell_rows, _ = common.materialize(with_targets(cell_rows, TEMPER, targets), "cells")
-    p = probabilities(rake(cell_rows) if targets is None else rake(cell_rows, MOST_ROUNDS, tolerance), keep).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "weight", "p")
+    p = probabilities(rake(cell_rows) if targets is None else rake(cell_rows, MOST_ROUNDS, tolerance), keep).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "weight", "p", "expected")
     fits = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MARGINALS]
     rows = rows.join(p, fits[0] & fits[1] & fits[2], "left")
-    rows = rows.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "p": F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(1.0))).otherwise(1.0)})
-    return rows.withColumn("kept", draw_of(F.col("doc_id")) < F.col("p") * DRAWS).select("doc_id", *MARGINALS, "tokens", "weight", "p", "kept")
+    told = {c: F.when(F.col("tokens") > 0, F.coalesce(c, F.lit(1.0))).otherwise(1.0) for c in ("p", "expected")}
+    rows = rows.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), **told}).withColumn("copies", copies_of(F.col("doc_id"), F.col("expected")))
+    return rows.withColumn("kept", F.col("copies") > 0).select("doc_id", *MARGINALS, "tokens", "weight", "p", "expected", "copies", "kept")
 
 
-def mix(docs: DataFrame, keep: float = KEEP, targets: DataFrame | None = None, tolerance: float = 1e-4) -> DataFrame:
-    """The rows of docs that are kept, all columns unchanged. The small table of cells meets the texts, which stay in place."""
+def mix(docs: DataFrame, keep: float = KEEP, targets: DataFrame | None = None, tolerance: float = 1e-4, repeat: bool = False) -> DataFrame:
+    """The rows of docs that are kept, all columns unchanged. The small table of cells meets the texts, which stay in place.
+
+    repeat: a row for each copy, which makes the sample whole; else each kept row comes once.
+    """
     found = decided(docs, keep, targets, tolerance)
-    cut = found.groupBy(*MARGINALS).agg(F.max(F.when(F.col("tokens") > 0, F.col("p"))).alias("_p"))
-    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "_p")
+    cut = found.groupBy(*MARGINALS).agg(F.max(F.when(F.col("tokens") > 0, F.col("expected"))).alias("_expected"))
+    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], "_expected")
     if cut.count() <= FEW_CELLS:
         cut = F.broadcast(cut)  # its size has just been checked; a larger table is joined by shuffle
     text = F.col("row.text")
     rows = common.boxed(docs).withColumns({"_of": topic_of(text), "_tokens": tokens_of(text)})
     fits = F.col("row.source").eqNullSafe(F.col("_source")) & F.col("row.lang").eqNullSafe(F.col("_lang")) & F.col("_of").eqNullSafe(F.col("_topic"))
-    kept = rows.join(cut, fits, "left").filter((F.col("_tokens") == 0) | (draw_of(F.col("row.doc_id")) < F.coalesce("_p", F.lit(1.0)) * DRAWS))
-    return common.unboxed(kept)
+    expected = F.when(F.col("_tokens") > 0, F.coalesce("_expected", F.lit(1.0))).otherwise(1.0)
+    kept = rows.join(cut, fits, "left").withColumn("_copies", copies_of(F.col("row.doc_id"), expected)).filter("_copies > 0")
+    return common.unboxed(kept.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))) if repeat else kept)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decided(common.documents(spark, sf_dir))
-    return rows.select("doc_id", *MARGINALS, "tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept")
+    return rows.select("doc_id", *MARGINALS, "tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept", "copies")
 
 
 def shares(rows: DataFrame) -> DataFrame:
@@ -177,7 +192,7 @@ def shares(rows: DataFrame) -> DataFrame:
     out = None
     for column, power in TEMPER.items():
         t = F.col("tokens")
-        by = rows.groupBy(F.col(column).alias("value")).agg(F.sum(t).alias("input"), F.sum(t * F.col("p")).alias("expected"), F.sum(F.when(F.col("kept"), t).otherwise(0)).alias("kept"))
+        by = rows.groupBy(F.col(column).alias("value")).agg(F.sum(t).alias("input"), F.sum(t * F.col("p")).alias("expected"), F.sum(t * F.col("copies")).alias("kept"))
         by = by.filter("input > 0").withColumn("target", F.pow(F.col("input").cast("double"), F.lit(power)))
         total = by.agg(*[F.sum(c).alias(f"all_{c}") for c in SHARES])
         by = by.crossJoin(F.broadcast(total))  # one row
@@ -187,7 +202,7 @@ def shares(rows: DataFrame) -> DataFrame:
 
 
 def op4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = common.materialize(decided(common.documents(spark, sf_dir)).select(*MARGINALS, "tokens", "p", "kept"), "shares")
+    rows, _ = common.materialize(decided(common.documents(spark, sf_dir)).select(*MARGINALS, "tokens", "p", "copies"), "shares")
     return shares(rows)
 
 
@@ -212,12 +227,14 @@ def _sql() -> str:
                 JOIN (SELECT y.{c} AS v, any_value(target) AS target, sum(tokens * weight) AS have FROM c{n} y JOIN t_{c} z ON y.{c} IS NOT DISTINCT FROM z.{c} GROUP BY y.{c}) s ON x.{c} IS NOT DISTINCT FROM s.v)"""
             )
             n += 1
-    parts.append(f"q AS (SELECT *, weight * least({KEEP}::DOUBLE, 1 / (SELECT max(weight) FROM c{n})) AS p FROM c{n})")
-    return f"""WITH {', '.join(parts)}
-SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(coalesce(q.weight, 1.0), 6) AS weight,
-    round(CASE WHEN d.tokens > 0 THEN coalesce(q.p, 1.0) ELSE 1.0 END, 6) AS p,
-    ('0x' || substr(md5('mix-' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 7))::BIGINT < CASE WHEN d.tokens > 0 THEN coalesce(q.p, 1.0) ELSE 1.0 END * {DRAWS} AS kept
-FROM d LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.lang IS NOT DISTINCT FROM q.lang AND d.topic IS NOT DISTINCT FROM q.topic"""
+    parts.append(f"q AS (SELECT *, weight * least({KEEP}::DOUBLE, 1 / (SELECT max(weight) FROM c{n})) AS p, weight * {KEEP}::DOUBLE AS expected FROM c{n})")
+    parts.append(
+        f"""e AS (SELECT d.*, round(coalesce(q.weight, 1.0), 6) AS weight, round(CASE WHEN d.tokens > 0 THEN coalesce(q.p, 1.0) ELSE 1.0 END, 6) AS p,
+            CASE WHEN d.tokens > 0 THEN coalesce(q.expected, 1.0) ELSE 1.0 END AS expected, ('0x' || substr(md5('mix-' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 7))::BIGINT AS draw
+            FROM d LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.lang IS NOT DISTINCT FROM q.lang AND d.topic IS NOT DISTINCT FROM q.topic)"""
+    )
+    parts.append(f"f AS (SELECT *, floor(expected)::BIGINT + (draw < (expected - floor(expected)) * {DRAWS})::BIGINT AS copies FROM e)")
+    return f"""WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, tokens, weight, p, copies > 0 AS kept, copies FROM f"""
 
 
 OP4_SQL = _sql()
@@ -225,7 +242,7 @@ OP4_SQL = _sql()
 
 def _shares_sql() -> str:
     one = lambda c: f"""SELECT '{c}' AS marginal, {c} AS value, sum(tokens) AS input, pow(sum(tokens), {TEMPER[c]}) AS target,
-    sum(tokens * p) AS expected, coalesce(sum(tokens) FILTER (kept), 0) AS kept FROM r GROUP BY {c} HAVING sum(tokens) > 0"""
+    sum(tokens * p) AS expected, sum(tokens * copies) AS kept FROM r GROUP BY {c} HAVING sum(tokens) > 0"""
     share = ", ".join(f"round(({c} / sum({c}) OVER (PARTITION BY marginal))::DOUBLE, 4) AS {c}" for c in SHARES)
     return f"WITH r AS ({OP4_SQL}) SELECT marginal, value, {share} FROM ({' UNION ALL '.join(one(c) for c in TEMPER)})"
 

@@ -34,3 +34,23 @@ def test_given_targets_are_met(spark):
     assert rows.filter("doc_id = 9002").first().p == 0.0  # its source isn't named
     kept = mixing.mix(df, 0.8, targets, 1e-6)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in rows.filter("kept").collect()}
+
+
+def test_the_sample_holds_the_kept_share_and_meets_the_targets(spark):
+    """0.8 of the tokens, though a value has too few of them to meet its target in one pass: its documents repeat."""
+    docs = [(i, "a", "en", "w " * 10) for i in range(400)] + [(1000 + i, "b", "es", "w " * 10) for i in range(4)] + [(2000, "a", "en", None)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string")
+    rows = mixing.decided(df).cache()
+    told = rows.filter("tokens > 0").selectExpr("sum(tokens * expected) / sum(tokens)", "sum(tokens * copies) / sum(tokens)").first()
+    assert abs(told[0] - 0.8) < 1e-9 and abs(told[1] - 0.8) < 0.08
+    b = rows.filter("source = 'b'").collect()
+    assert len(b) == 4 and all(r.expected > 2 and r.copies in (int(r.expected), int(r.expected) + 1) and r.kept for r in b)
+    assert rows.filter("kept <> (copies > 0)").isEmpty() and rows.filter("doc_id = 2000").first().copies == 1
+    want = {r.doc_id: r.copies for r in rows.filter("kept").collect()}
+    assert {r.doc_id: r["count"] for r in mixing.mix(df, repeat=True).groupBy("doc_id").count().collect()} == want
+    assert sorted(r.doc_id for r in mixing.mix(df).collect()) == sorted(want)
+
+
+def test_kept_tokens_of_the_query(spark):
+    rows = mixing.op4_mixing(spark, "/root/testdata/sf0.1").selectExpr("sum(tokens * copies) / sum(tokens)", "count(*)").first()
+    assert abs(rows[0] - mixing.KEEP) < 0.01 and rows[1] == 10_000
