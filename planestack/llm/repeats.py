@@ -7,9 +7,11 @@ documents are brought together as follows.
    windows share their minimizer wherever they stand. Within a block of documents equal runs are put together first; the block
    sends the minimizer, a hash of the run and the smallest id once for each different run, however often it repeats there.
 2. For each minimizer, equal runs count once, with their smallest id; a copy with a larger id is covered whole. A minimizer that
-   occurs in one document only, or in equal runs only, needs no more. Blocks learn this from one code for each run they sent.
+   occurs in one document only, or in equal runs only, needs no more. Nor does a run that no other one resembles beside the
+   smallest gram: a window of 50 bytes has 15 bytes before or after it, whose hashes are sent along. The more text there is, the
+   more runs have a gram in common by chance, but not what is beside it. Blocks learn this from one code for each run they sent.
 3. The first copies of different runs under one minimizer are sent as bytes, dealt out by minimizer (if a minimizer has very
-   many, by window, so that they spread). A task splits its runs into shards, sorts each shard's rotations,
+   many, by window, so that they spread: each different one of a block once, and those that stand alone aren't merged). A task splits its runs into shards, sorts each shard's rotations,
    and merges the transforms by interleave refinement for 50 rounds, which give the common prefixes of neighbours; intervals of
    rotations with a common prefix of 50 bytes are the equal windows, and those with a smaller id in their interval are covered.
 4. Each block puts its covered windows together and cuts them out.
@@ -25,6 +27,8 @@ document. Further columns are left out.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,10 @@ from planestack.llm import bwt, common
 from planestack.llm.packed import pack, ragged, unpack
 
 LENGTH, GRAM = 50, 20
+#: Bytes beside the smallest gram that are looked at: one of the two sides of it in a window has so many.
+SIDE = (LENGTH - GRAM) // 2
+#: Mark of a run whose smallest gram is there more than once: no place of it tells what a window holds beside it.
+ANY_SIDE = 0
 #: Bytes of text for a block, for one look at it, and for a bucket of minimizers.
 BLOCK, PIECE, BUCKET = 4 << 20, 1 << 20, 12 << 20
 #: Different runs of a minimizer over which its windows are dealt out one by one.
@@ -41,17 +49,20 @@ MERGED, SHARD = 1 << 20, 1 << 17
 LAST = (1 << 63) - 1
 
 
+@cache
+def _powers(n: int):
+    """Powers of the base and of its inverse, made once in a worker."""
+    import numpy as np
+
+    base = 0xD1342543DE82EF95
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(b)))) for b in (base, pow(base, -1, 1 << 64)))
+
+
 class Runs:
     """The runs of windows of a block of documents, always in the same order."""
 
     def __init__(self) -> None:
-        import numpy as np
-
-        self.base = np.uint64(0xD1342543DE82EF95)
-        inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        n = PIECE + LENGTH
-        self.powers = np.cumprod(np.append(np.uint64(1), np.full(n, self.base)))
-        self.inverses = np.cumprod(np.append(np.uint64(1), np.full(n, inverse)))
+        self.powers, self.inverses = _powers(PIECE + LENGTH)
 
     @staticmethod
     def mix(h):
@@ -71,8 +82,8 @@ class Runs:
             wide = wide[..., :-k] | wide[..., k:] << np.uint64(8 * k)
         return cls.mix(wide)
 
-    def __call__(self, texts: list[bytes]):
-        """(data, offsets of texts, start, windows, minimizer, hash, text number) with an entry for each run."""
+    def __call__(self, texts: list[bytes], sided: bool = False):
+        """(data, offsets of texts, start, windows, minimizer, hash, text number) with an entry for each run; sided: and its sides."""
         import numpy as np
 
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -85,22 +96,23 @@ class Runs:
             inside = int(np.searchsorted(offsets, end, "left"))
             if offsets[inside] != end and offsets[inside - 1] > at:
                 end = int(offsets[inside - 1])
-            found.append(self._piece(data[at:end], np.unique(np.clip(offsets, at, end)) - at, at))
+            found.append(self._piece(data[at:end], np.unique(np.clip(offsets, at, end)) - at, at, sided))
             at = end if end == len(data) or end in offsets else end - LENGTH + 1
-        start, windows, minimizer, name = (np.concatenate(c) if found else np.empty(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 4))
+        start, windows, minimizer, name, sides = (np.concatenate(c) if found else np.empty(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 5))
         number = np.searchsorted(offsets, start, "right") - 1
-        return data, offsets, start.astype(np.int64), windows.astype(np.int64), minimizer.astype(np.uint64), name.astype(np.uint64), number
+        out = data, offsets, start.astype(np.int64), windows.astype(np.int64), minimizer.astype(np.uint64), name.astype(np.uint64), number
+        return (*out, sides.astype(np.uint64)) if sided else out
 
-    def _piece(self, data, edges, at: int):
+    def _piece(self, data, edges, at: int, sided: bool):
         import numpy as np
 
         n, w = len(data), LENGTH - GRAM + 1
         if n < LENGTH:
-            return tuple(np.empty(0, np.int64) for _ in range(4))
+            return tuple(np.empty(0, np.int64) for _ in range(5))
         eights = self.eights(data)
         sums = np.cumsum(np.append(np.uint64(0), eights * self.powers[: len(eights)]))
         own = GRAM - 7  # eights of a gram
-        least = self.mix((sums[own:] - sums[:-own]) * self.inverses[: n - GRAM + 1])
+        grams = least = self.mix((sums[own:] - sums[:-own]) * self.inverses[: n - GRAM + 1])
         reach = 1
         while 2 * reach <= w:
             least = np.minimum(least[:-reach], least[reach:])
@@ -115,7 +127,41 @@ class Runs:
         ends = np.flatnonzero(whole & np.append((least[1:] != least[:-1]) | ~whole[1:], True)) + 1
         last = ends + LENGTH - 8
         name = self.mix((sums[last] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
-        return starts + at, ends - starts, least[starts], name
+        sides = self._sides(grams, least, sums, starts, ends - starts) if sided else np.zeros(len(starts), np.uint64)
+        return starts + at, ends - starts, least[starts], name, sides
+
+    def _sides(self, grams, least, sums, starts, windows):
+        """For each run: 16 bits of hash of its smallest gram with the SIDE bytes before it, and 16 bits of it with those after it
+        (each 0 if that leaves the run); ANY_SIDE if the gram is there more than once.
+
+        A window that two runs have in common holds the gram in one place, with SIDE bytes before or after it at least.
+        """
+        import numpy as np
+
+        # Places of grams that are the smallest of a window: in the windows that hold them, the largest of the minima is theirs.
+        w = LENGTH - GRAM + 1
+        most = np.pad(least, w - 1)
+        reach = 1
+        while 2 * reach <= w:
+            most = np.maximum(most[:-reach], most[reach:])
+            reach *= 2
+        if reach < w:
+            most = np.maximum(most[: len(most) - (w - reach)], most[w - reach :])
+        places = np.flatnonzero(grams == most)
+        low = np.searchsorted(places, starts)
+        near = np.searchsorted(places, starts + windows + LENGTH - GRAM) - low
+        at, run = places[ragged(low, near)], np.repeat(np.arange(len(starts)), near)
+        own = grams[at] == least[starts][run]
+        at, run = at[own], run[own]
+        place = np.empty(len(starts), np.int64)
+        place[run] = at
+        n = GRAM + SIDE - 7  # eights of the gram and a side
+        told = []
+        for begin, inside in ((place - SIDE, place - SIDE >= starts), (place, place + SIDE + GRAM <= starts + windows + LENGTH - 1)):
+            b = np.where(inside, begin, 0)
+            h = self.mix((sums[np.where(inside, b + n, 0)] - sums[b]) * self.inverses[b]) >> np.uint64(48)
+            told.append(np.where(inside, np.maximum(h, np.uint64(1)), np.uint64(0)))
+        return np.where(np.bincount(run, minlength=len(starts)) > 1, np.uint64(ANY_SIDE), told[0] << np.uint64(16) | told[1])
 
 
 def _documents(table) -> tuple[list, list[bytes]]:
@@ -170,10 +216,10 @@ def _announced(blocks: DataFrame, buckets: int) -> DataFrame:
         import pyarrow as pa
 
         ids, texts = _documents(table)
-        _, _, _, _, minimizer, name, number = Runs()(texts)
+        _, _, _, _, minimizer, name, number, sides = Runs()(texts, sided=True)
         runs, _, first, several = _different(minimizer, name, _order(ids)[number])
-        minimizer, name = minimizer[runs], name[runs]
-        rows = [(table.column("block")[0].as_py(), 1, b, pack(_steps(first[own])), pack(minimizer[own], 4), pack(name[own]), pack(several[own], 1), None) for b, own in _by_bucket(_high(minimizer, buckets))]
+        minimizer, name, sides = minimizer[runs], name[runs], sides[runs]
+        rows = [(table.column("block")[0].as_py(), 1, b, pack(_steps(first[own])), pack(minimizer[own], 4), pack(name[own]), pack(several[own], 1), pack(sides[own], 4)) for b, own in _by_bucket(_high(minimizer, buckets))]
         return _table(rows, _SENT, pa)
 
     return blocks.groupBy("block").applyInArrow(send, _SENT)
@@ -215,16 +261,18 @@ def _answered(sent: DataFrame) -> DataFrame:
         minimizer = np.concatenate([unpack(x, 4) for x in table.column("minimizers").to_pylist()])
         name = np.concatenate([unpack(x) for x in table.column("names").to_pylist()])
         more = np.concatenate([unpack(x, 1) for x in table.column("lengths").to_pylist()]) > 0
+        sides = np.concatenate([unpack(x, 4) for x in table.column("data").to_pylist()]).astype(np.uint64)
         order = np.lexsort((of, name, minimizer))
         m, s, d = minimizer[order], name[order], of[order]
         new_m = np.append(True, m[1:] != m[:-1])
         new_s = new_m | np.append(True, s[1:] != s[:-1])
         first_m, first_s = np.flatnonzero(new_m), np.flatnonzero(new_s)
         of_m, of_s = np.cumsum(new_m) - 1, np.cumsum(new_s) - 1
-        different = np.bincount(of_m[first_s], minlength=len(first_m))[of_m]
+        near = _beside(of_m[first_s], sides[order][first_s])
+        different = np.bincount(of_m[first_s][near], minlength=len(first_m))[of_m]
         several = ((np.minimum.reduceat(d, first_m) != np.maximum.reduceat(d, first_m)) | (np.add.reduceat(more[order].astype(np.int64), first_m) > 0))[of_m]
         copied = d[first_s][of_s] < d
-        codes = np.where(copied, 1, np.where((different > 1) & several, np.where(different > HOT, 3, 2), 0)).astype(np.uint8)
+        codes = np.where(copied, 1, np.where(near[of_s] & several, np.where(different > HOT, 3, 2), 0)).astype(np.uint8)
         back = np.empty(len(codes), np.uint8)
         back[order] = codes
         rows = [(b, 1, k, pack(c, 1)) for b, k, c in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), np.split(back, np.cumsum(sizes)[:-1]), strict=True)]
@@ -233,6 +281,22 @@ def _answered(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(answer, _REPLY)
 
 
+def _beside(of, sides):
+    """Which of the different runs (each with the number of its minimizer, ascending) may have a window in common with another one of
+    that minimizer: one of its sides is the other's too, or one of them tells no side.
+    """
+    import numpy as np
+
+    out = (np.bincount(of, weights=sides == ANY_SIDE) > 0)[of] & (np.bincount(of)[of] > 1) if len(of) else np.zeros(0, bool)
+    for side in (sides >> np.uint64(16), sides & np.uint64(0xFFFF)):
+        key = of.astype(np.uint64) << np.uint64(16) | side
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        twin = np.append(False, same) | np.append(same, False) if len(of) else np.zeros(0, bool)
+        out[order[twin & (side[order] > 0)]] = True
+    return out
+
+
 def _codes(replies, minimizer, name, of, buckets: int):
     """The codes of a block's runs, put in place from its replies."""
     import numpy as np
@@ -245,13 +309,23 @@ def _codes(replies, minimizer, name, of, buckets: int):
     return np.where(of > first[which], 1, codes[which]).astype(np.uint8) if len(of) else codes
 
 
-def _to_merge(codes, start, windows):
-    """(start, windows, count of runs, runs) of what a block sends as bytes: runs with code 2, and the windows of those with 3."""
+def _to_merge(codes, start, windows, data):
+    """(start, windows, runs, hash, single, first) of what a block sends as bytes: runs with code 2, and (with its hash) each different
+    window of those with 3. single: all windows of those; first: for each, which of the sent ones it equals (the block's first copy).
+    """
     import numpy as np
 
     runs, hot = np.flatnonzero(codes == 2), np.flatnonzero(codes == 3)
-    single = ragged(start[hot], windows[hot])
-    return np.concatenate([start[runs], single]), np.concatenate([windows[runs], np.ones(len(single), np.int64)]), len(runs), runs
+    single = np.sort(ragged(start[hot], windows[hot]))
+    h = _hashed(data, single)
+    _, at, which = np.unique(h, return_index=True, return_inverse=True)
+    copy = at[which]
+    for a in range(0, len(single), 8192):  # equal hashes are believed only if the bytes are equal
+        own, other = single[a : a + 8192, None] + np.arange(LENGTH), single[copy[a : a + 8192], None] + np.arange(LENGTH)
+        differs = (data[own] != data[other]).any(axis=1)
+        copy[a : a + 8192][differs] = np.flatnonzero(differs) + a
+    sent, first = np.unique(copy, return_inverse=True)
+    return np.concatenate([start[runs], single[sent]]), np.concatenate([windows[runs], np.ones(len(sent), np.int64)]), runs, h[sent], single, first
 
 
 def _shipped(blocks: DataFrame, replies: DataFrame, buckets: int, targets: int) -> DataFrame:
@@ -265,31 +339,36 @@ def _shipped(blocks: DataFrame, replies: DataFrame, buckets: int, targets: int)
         make = Runs()
         data, offsets, start, windows, minimizer, name, number = make(texts)
         codes = _codes(right, minimizer, name, _order(ids)[number], buckets)
-        at, many, n_runs, runs = _to_merge(codes, start, windows)
-        target = _target(data, at, n_runs, minimizer[runs], targets)
+        at, many, runs, hashes, _, _ = _to_merge(codes, start, windows, data)
+        target = _target(minimizer[runs], hashes, targets)
         of = _order(ids)[np.searchsorted(offsets, at, "right") - 1]
         rows = []
         for b, own in _by_bucket(target):
             lengths = many[own] + LENGTH - 1
-            rows.append((left.column("block")[0].as_py(), 2, b, pack(_steps(of[own])), None, None, pack(lengths, 4), _squeezed(data[ragged(at[own], lengths)])))
+            rows.append((left.column("block")[0].as_py(), 2, b, pack(_steps(of[own])), None, pack(own >= len(runs), 1), pack(lengths, 4), _squeezed(data[ragged(at[own], lengths)])))
         return _table(rows, _SENT, pa)
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, _SENT)
 
 
-def _target(data, at, n_runs: int, minimizer, targets: int):
+def _target(minimizer, hashes, targets: int):
     """Where each piece is merged: by minimizer, or by the hash of the window for single ones."""
     import numpy as np
 
-    out = np.empty(len(at), np.int64)
-    out[:n_runs] = (Runs.mix(minimizer) % np.uint64(targets)).astype(np.int64)
-    for a in range(n_runs, len(at), 8192):
-        own = np.arange(a, min(len(at), a + 8192))
-        window = data[at[own][:, None] + np.arange(LENGTH)].astype(np.uint64)
-        h = np.zeros(len(own), np.uint64)
+    return (Runs.mix(np.concatenate([minimizer, hashes])) % np.uint64(targets)).astype(np.int64)
+
+
+def _hashed(data, at):
+    """A number for each window that starts at these places."""
+    import numpy as np
+
+    out = np.zeros(len(at), np.uint64)
+    for a in range(0, len(at), 8192):
+        window = data[at[a : a + 8192][:, None] + np.arange(LENGTH)].astype(np.uint64)
+        h = np.zeros(len(window), np.uint64)
         for k in range(LENGTH):
             h = (h + window[:, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        out[own] = (Runs.mix(h) % np.uint64(targets)).astype(np.int64)
+        out[a : a + 8192] = h
     return out
 
 
@@ -347,9 +426,11 @@ def _merged(sent: DataFrame) -> DataFrame:
         raw = [np.frombuffer(zstandard.decompress(x), np.uint8) for x in table.column("data").to_pylist()]
         sizes = np.array([len(r) for r in raw])
         data, length, of = np.concatenate(raw), np.concatenate(lengths), np.concatenate(ids)
-        # Parts of bounded size: pieces with the same minimizer stay together, as their smallest grams are equal.
-        part = _parts(data, length)
+        single = np.concatenate([unpack(x, 1) for x in table.column("names").to_pylist()]) > 0
         starts = np.cumsum(length) - length
+        left = np.flatnonzero(~single | _twins(data, starts, single))
+        # Parts of bounded size: pieces with the same minimizer stay together, as their smallest grams are equal.
+        part = [left[own] for own in _parts(data[ragged(starts[left], length[left])], length[left])] if len(left) else []
         out = np.zeros(len(data), bool)
         for own in part:
             at = ragged(starts[own], length[own])
@@ -360,6 +441,16 @@ def _merged(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, _REPLY)
 
 
+def _twins(data, starts, single):
+    """Which single windows may be there twice: those dealt out one by one meet only each other, and most of them stand alone."""
+    import numpy as np
+
+    out, at = np.zeros(len(single), bool), np.flatnonzero(single)
+    _, which, often = np.unique(_hashed(data, starts[at]), return_inverse=True, return_counts=True)
+    out[at] = often[which] > 1
+    return out
+
+
 def _parts(data, length):
     """Sets of pieces of about MERGED bytes; pieces with a window in common fall into one set."""
     import numpy as np
@@ -394,15 +485,24 @@ def _cut(blocks: DataFrame, replies: DataFrame, buckets: int, targets: int) -> D
         whole = codes == 1
         np.add.at(change, start[whole], 1)
         np.add.at(change, start[whole] + windows[whole] + LENGTH - 1, -1)
-        at, many, n_runs, runs = _to_merge(codes, start, windows)
-        target = _target(data, at, n_runs, minimizer[runs], targets)
+        at, many, runs, hashes, single, first = _to_merge(codes, start, windows, data)
+        target = _target(minimizer[runs], hashes, targets)
+        covered = np.zeros(len(at), bool)  # of the single windows that were sent
         by = {b: c for b, k, c in zip(right.column("bucket").to_pylist(), right.column("kind").to_pylist(), right.column("codes").to_pylist(), strict=True) if k == 2}
         for b, own in _by_bucket(target):
             lengths = many[own] + LENGTH - 1
             bits = np.unpackbits(np.frombuffer(zstandard.decompress(by[b]), np.uint8))[: int(lengths.sum())].astype(bool)
-            hits = ragged(at[own], lengths)[bits]
+            alone = own >= len(runs)
+            covered[own[alone]] = bits[(np.cumsum(lengths) - lengths)[alone]]
+            hits = ragged(at[own], lengths)[bits & np.repeat(~alone, lengths)]
             np.add.at(change, hits, 1)
             np.add.at(change, hits + LENGTH, -1)
+        of = np.searchsorted(offsets, single, "right") - 1
+        sent = np.searchsorted(offsets, at[len(runs) :], "right") - 1
+        order = _order(ids)
+        hits = single[covered[len(runs) :][first] | (order[of] > order[sent][first])] if len(single) else single
+        np.add.at(change, hits, 1)
+        np.add.at(change, hits + LENGTH, -1)
         gone = np.cumsum(change[:-1]) > 0
         out = ([], [], [], [])
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):

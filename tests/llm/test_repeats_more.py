@@ -34,3 +34,57 @@ def test_strings_that_collide_under_plain_powers():
     eights = [make.eights(np.frombuffer(t, np.uint8)) for t in (one, two)]
     sums = [int(np.sum(e * make.powers[: len(e)], dtype=np.uint64)) for e in eights]
     assert sums[0] != sums[1]
+
+
+def _codes_of(spark, texts, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    blocks = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts)], "block int, doc_id long, text binary")
+    return np.concatenate([unpack(r.codes, 1) for r in repeats._answered(repeats._announced(blocks, 16)).collect()])
+
+
+def test_runs_with_a_gram_in_common_by_chance_are_not_sent(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    own = lambda n: bytes(draw.integers(97, 123, n, dtype=np.uint8))
+    gram = own(30)
+    chance = [own(200) + gram + own(200) for _ in range(40)]
+    assert (_codes_of(spark, chance, monkeypatch, 4096) == 0).all()  # before: 2 for each run about the gram
+    line = own(80)
+    assert (_codes_of(spark, [own(200) + line + own(200) for _ in range(40)], monkeypatch, 4096) == 2).any()
+
+
+def test_windows_of_hot_runs_go_once_for_a_block_and_meet_only_their_twins(monkeypatch):
+    draw = np.random.default_rng(4)
+    own = lambda n: draw.integers(97, 123, n, dtype=np.uint8)
+    line = own(90)
+    data = np.concatenate([x for _ in range(50) for x in (own(40), line)])
+    start, windows = np.arange(0, len(data), 130), np.full(50, 130 - repeats.LENGTH + 1)
+    at, _, runs, _, single, first = repeats._to_merge(np.full(50, 3), start, windows, data)
+    assert len(runs) == 0 and len(single) == 50 * 81 and len(at) == len({bytes(data[a : a + 50]) for a in single}) < 2050  # before: 50 * 81
+    assert all(bytes(data[a : a + 50]) == bytes(data[b : b + 50]) and a >= b for a, b in zip(single, at[first], strict=True))
+    pieces = data[at[:, None] + np.arange(repeats.LENGTH)].reshape(-1)
+    alone = repeats._twins(np.concatenate([pieces, data[at[-1] : at[-1] + 50]]), np.arange(0, len(pieces) + 50, 50), np.ones(len(at) + 1, bool))
+    assert alone.sum() == 2 and alone[-1]
+
+
+def test_whole_result_at_every_alignment(spark, monkeypatch):
+    """Copies with all lengths beside the smallest gram, periodic texts, and lines whose runs are hot."""
+    draw = np.random.default_rng(5)
+    own = lambda n: bytes(draw.integers(97, 105, n, dtype=np.uint8))
+    base, line = own(400), own(64)
+    texts = [base] + [own(30) + base[k : k + 50 + k % 3] + own(30) for k in range(0, 340, 3)]
+    texts += [b"ab" * 60, b"x" + b"ab" * 40, b"-" * 130, own(20) + b"-" * 70, own(9) + line + own(9)] + [own(25) + line + own(25) for _ in range(30)]
+    want, seen = {}, {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for a in range(len(t) - 49):
+            if seen.get(t[a : a + 50], i) < i:
+                gone[a : a + 50] = True
+        for a in range(len(t) - 49):
+            seen.setdefault(t[a : a + 50], i)
+        want[i] = bytes(np.frombuffer(t, np.uint8)[~gone])
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    for hot, block in ((4096, 1 << 22), (3, 1 << 22), (3, 2000)):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        monkeypatch.setattr(repeats, "HOT", hot)
+        got = {r.doc_id: bytes(r.kept) for r in repeats.cut_repeats(df).collect()}
+        assert got == want, (hot, block)
